@@ -5,12 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table, tokenizer_file
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def held_out():
+    """Documents that language ID must not learn from."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import predict_language, train_model
+
+    docs = table(spark, sf_dir, "documents")
+    model = train_model(docs, train=F.coalesce(~held_out(), F.lit(False)))
+    out = predict_language(docs, model)
+    return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), words=3, num=9, den=10)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -29,7 +50,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_mixing, op7_secret_scan, op9_sentencepiece)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_ngram_join, op5_mixing, op7_secret_scan, op9_sentencepiece)}
 
 OP5_SQL = """
 WITH sized AS (
