@@ -32,6 +32,12 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), words=3, num=9, den=10)
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -50,7 +56,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_ngram_join, op5_mixing, op7_secret_scan, op9_sentencepiece)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_ngram_join, op3_embedding_dedup, op5_mixing, op7_secret_scan, op9_sentencepiece)}
 
 OP5_SQL = """
 WITH sized AS (
