@@ -44,6 +44,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import scan_secrets
 
@@ -56,7 +62,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_ngram_join, op3_embedding_dedup, op5_mixing, op7_secret_scan, op9_sentencepiece)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_ngram_join, op3_embedding_dedup, op5_mixing, op6_warc, op7_secret_scan, op9_sentencepiece)}
 
 OP5_SQL = """
 WITH sized AS (
@@ -88,4 +94,16 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
 FROM rated
 """
 
-ORACLES: dict[str, str] = {"op5_mixing": OP5_SQL}
+OP6_SQL = """
+WITH base AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), first AS (
+  SELECT payload_digest, min(page_id) AS f FROM base WHERE payload_bytes >= 100 GROUP BY payload_digest
+)
+SELECT b.page_id, b.payload_bytes, b.payload_digest,
+  CASE WHEN b.page_id > f.f THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN b.page_id > f.f THEN f.f END AS refers_to
+FROM base b LEFT JOIN first f ON b.payload_digest = f.payload_digest AND b.payload_bytes >= 100
+"""
+
+ORACLES: dict[str, str] = {"op6_warc": OP6_SQL, "op5_mixing": OP5_SQL}
