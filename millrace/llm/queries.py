@@ -68,7 +68,13 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_ngram_join, op3_embedding_dedup, op5_mixing, op6_warc, op7_secret_scan, op8_pii_surrogates, op9_sentencepiece)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_ngram_join, op3_embedding_dedup, op5_mixing, op6_warc, op7_secret_scan, op8_pii_surrogates, op9_sentencepiece, op10_quality)}
 
 OP5_SQL = """
 WITH sized AS (
