@@ -32,7 +32,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,8 +41,8 @@ from .components import connected_components
 
 #: A shingle in the searched part of more nodes than this is frequent.
 FREQUENT = 32
-#: Longs in a parity bitmap.
-BITMAP = 8
+#: Fewest bits of a parity bitmap; a set of n gets the next power of two from n / 2 on.
+BITMAP = 512
 #: Ids of candidate nodes up to which the list is broadcast (16 MB); beyond it a shuffled join is used.
 BROADCAST_IDS = 1_000_000
 #: Remaining pairs for each indexed row beyond which another hub round comes first, and the most of these rounds.
@@ -162,8 +162,8 @@ def _signed(docs: DataFrame, key: str, text: str, words: int, bound: Threshold)
                 fp2.append(b)
                 linked = len(s) >= bound.least
                 region.append(s[: int(bound.searched(len(s)))] if linked else s[:0])
-                odd = np.bincount(s & (64 * BITMAP - 1), minlength=64 * BITMAP) & 1 if linked else np.zeros(64 * BITMAP, int)
-                bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                width = max(BITMAP, 1 << (max(len(s), 2) // 2 - 1).bit_length())
+                bits.append(np.packbits((np.bincount(s & (width - 1), minlength=width) & 1).astype(np.uint8)).view(np.int64) if linked else s[:0])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp1, pa.int64()), pa.array(fp2, pa.int64()), _lists(region), _lists(bits)], names=["key", "n", "fp1", "fp2", "region", "bitmap"])
 
     source = docs.select(docs[key].alias("key"), docs[text].alias("t"))
@@ -249,7 +249,16 @@ def _verified(docs: DataFrame, key: str, text: str, words: int, bound: Threshold
     left = info.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("ba"))
     right = info.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("bb"))
     size_ok = F.least("na", "nb") * bound.den >= F.greatest("na", "nb") * bound.num
-    apart = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+    def differing(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, p: s + p)
+
+    def folded(x: Column) -> Column:  # sizes within the bound differ by one power of two at most
+        half = (F.size(x) / 2).cast("int")
+        return F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+
+    ba, bb = F.col("ba"), F.col("bb")
+    apart = F.when(F.size(ba) > F.size(bb), differing(folded(ba), bb)).when(F.size(ba) < F.size(bb), differing(ba, folded(bb))).otherwise(differing(ba, bb))
     near = apart * (bound.num + bound.den) <= (F.col("na") + F.col("nb")) * (bound.den - bound.num)
     hopeful = cut(pairs.distinct().join(left, "a").join(right, "b").filter(size_ok & near).select("a", "b").distinct(), "candidates")
     ids = cut(hopeful.select(F.col("a").alias("node")).union(hopeful.select("b")).distinct(), "ids")
