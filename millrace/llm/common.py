@@ -40,11 +40,19 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so later stages don't depend on lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/millrace/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Files per core of a table that is small against the input.
+FILES_A_CORE = 4
+
+
+def cut(df: DataFrame, label: str, small: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, so later stages don't depend on lost executors.
+
+    ``small``: the table is small against the input (ids, links, paths), and no more files are written
+    than a few for each core, however many partitions it has."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/millrace/{label}-{uuid.uuid4().hex}"
+    (df.coalesce(max(8, FILES_A_CORE * spark.sparkContext.defaultParallelism)) if small else df).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def tokenizer_file(name: str) -> str:

@@ -24,14 +24,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most: int
     """(node, component): the least id that each node of ``edges`` reaches; nodes that are their own
     component's least id are included.  Null ends and loops are ignored; repeated edges count once."""
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(f"{a} IS NOT NULL AND {b} IS NOT NULL AND u > v").distinct()
-    e = cut(e, "edges")
+    e = cut(e, "edges", small=True)
     state = None
     for _ in range(most):
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state or not now[0]:
             break
         state = now
-        e = cut(_star(_star(e, True), False), "edges")
+        e = cut(_star(_star(e, True), False), "edges", small=True)
     else:
         raise RuntimeError(f"components did not settle in {most} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

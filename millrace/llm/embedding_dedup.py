@@ -179,12 +179,12 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     links = None
     if len(points):
         posts = _postings(nodes, points, prefix, shared)
-        sizes = cut(posts.groupBy("label", "list").agg(F.count("*").alias("m")).filter("m > 1").withColumn("blocks", F.ceil(F.col("m") / block).cast("int")), "lists")
+        sizes = cut(posts.groupBy("label", "list").agg(F.count("*").alias("m")).filter("m > 1").withColumn("blocks", F.ceil(F.col("m") / block).cast("int")), "lists", small=True)
         dealt = posts.join(sizes, ["label", "list"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("label", "list", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "copies", "mask", "v")
         work = spread.repartition("label", "list", "i", "j").sortWithinPartitions("label", "list", "i", "j")
         found = work.mapInArrow(lambda batches: _verify(batches, threshold, shared), "node long, n long, a long, b long")
-        links = cut(found, "links")
+        links = cut(found, "links", small=True)
     if links is None:
         counted = rows.sparkSession.createDataFrame([], "node long, linked long")
         comps = rows.sparkSession.createDataFrame([], "node long, component long")

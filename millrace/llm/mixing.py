@@ -42,7 +42,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget:
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     ranked = ordinals(per, "source", "_place")
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("_place") % len(weights) + 1).cast("int"))
-    ranked = cut(ranked.withColumn("_weight", weight), "weights")
+    ranked = cut(ranked.withColumn("_weight", weight), "weights", small=True)
     live = ranked.filter("source_size > 0")
     total, w = live.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("_weight"), F.lit(0))).first()
     capped, level = 0, 0.0

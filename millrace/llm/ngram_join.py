@@ -223,7 +223,7 @@ def _signatures(docs: DataFrame, key: str, text: str, words: int, bound: Thresho
     need = F.expr(f"n - (n * {bound.num} + {bound.den - 1}) div {bound.den} + 1")
     looked = F.least(F.col("n"), need + F.greatest(F.lit(8), F.expr(f"(n - (n * {bound.num} + {bound.den - 1}) div {bound.den} + 1) div 2")))
     often = F.col("df") > FREQUENT
-    short = cut(seen.groupBy("node", "n").agg(F.count(F.when(often, 1)).alias("often")).filter(looked - F.col("often") < need).select("node").distinct(), "short")
+    short = cut(seen.groupBy("node", "n").agg(F.count(F.when(often, 1)).alias("often")).filter(looked - F.col("often") < need).select("node").distinct(), "short", small=True)
     upto = Window.partitionBy("node").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     ranked = seen.withColumn("rank", F.col("pos") - F.count(F.when(often, 1)).over(upto)).filter(~often & (F.col("rank") < need))
     simple = ranked.join(short, "node", "left_anti").select(F.col("tok").alias("sig"), "node")
@@ -260,12 +260,12 @@ def _verified(docs: DataFrame, key: str, text: str, words: int, bound: Threshold
     ba, bb = F.col("ba"), F.col("bb")
     apart = F.when(F.size(ba) > F.size(bb), differing(folded(ba), bb)).when(F.size(ba) < F.size(bb), differing(ba, folded(bb))).otherwise(differing(ba, bb))
     near = apart * (bound.num + bound.den) <= (F.col("na") + F.col("nb")) * (bound.den - bound.num)
-    hopeful = cut(pairs.distinct().join(left, "a").join(right, "b").filter(size_ok & near).select("a", "b").distinct(), "candidates")
-    ids = cut(hopeful.select(F.col("a").alias("node")).union(hopeful.select("b")).distinct(), "ids")
+    hopeful = cut(pairs.distinct().join(left, "a").join(right, "b").filter(size_ok & near).select("a", "b").distinct(), "candidates", small=True)
+    ids = cut(hopeful.select(F.col("a").alias("node")).union(hopeful.select("b")).distinct(), "ids", small=True)
     sets = cut(_full_sets(docs, key, text, words, ids), "sets")
     both = hopeful.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return cut(both.withColumn("c", common).filter(F.col("c") * bound.den >= (F.size("sa") + F.size("sb") - F.col("c")) * bound.num).select("a", "b").distinct(), "links")
+    return cut(both.withColumn("c", common).filter(F.col("c") * bound.den >= (F.size("sa") + F.size("sb") - F.col("c")) * bound.num).select("a", "b").distinct(), "links", small=True)
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -279,7 +279,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     info = cut(nodes.select("node", "n", "bitmap"), "info")
     sigs = _signatures(docs, key, text, words, bound, nodes)
     sized = sigs.groupBy("sig").count().filter("count >= 2")
-    live = cut(sigs.join(sized.select("sig"), "sig"), "live")
+    live = cut(sigs.join(sized.select("sig"), "sig"), "live", small=True)
 
     links = None
     labelled = live.withColumn("comp", F.col("node"))
@@ -288,8 +288,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         pairs = labelled.join(hub, "sig").filter("comp != hub.comp").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
         found = _verified(docs, key, text, words, bound, info, pairs)
         links = found if links is None else links.unionByName(found)
-        comps = cut(connected_components(links), "components")
-        labelled = cut(live.join(comps, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("comp")), "labelled")
+        comps = cut(connected_components(links), "components", small=True)
+        labelled = cut(live.join(comps, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("comp")), "labelled", small=True)
         inside = labelled.groupBy("sig", "comp").count().groupBy("sig").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("q")).filter("m * m > q")
         rows, left_over = inside.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2), F.lit(0))).first()
         labelled = labelled.join(inside.select("sig"), "sig", "left_semi")
@@ -299,6 +299,6 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         other = labelled.select("sig", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
         pairs = labelled.withColumnRenamed("node", "a").join(other, "sig").filter("a < b AND comp != comp_b").select("a", "b")
         links = links.unionByName(_verified(docs, key, text, words, bound, info, pairs))
-        comps = cut(connected_components(links), "components")
+        comps = cut(connected_components(links), "components", small=True)
     out = mine.select("key", "n", F.coalesce("node", "key").alias("node")).join(comps, "node", "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.coalesce("component", "node")).alias("component_id"))

@@ -171,18 +171,18 @@ def redrawn(entities: DataFrame, key: str = KEY, rounds: int = 40) -> DataFrame:
     """(canon, attempt) of the entities whose first surrogate clashes; entities has one row (canon, e) per occurrence.
 
     ``e`` stands for all spellings of its canonical form: clashes are looked for between canonical forms of surrogates."""
-    own = cut(entities.groupBy("canon").agg(F.min("e").alias("e")), "entities")
-    state = cut(own.select("canon", "e", F.lit(0).alias("attempt"), let(surrogate(F.col("e"), F.lit(0), key), canonical).alias("s")), "drawn")
+    own = cut(entities.groupBy("canon").agg(F.min("e").alias("e")), "entities", small=True)
+    state = cut(own.select("canon", "e", F.lit(0).alias("attempt"), let(surrogate(F.col("e"), F.lit(0), key), canonical).alias("s")), "drawn", small=True)
     for turn in range(1, rounds + 1):
         twice = state.groupBy("s").agg(F.min(F.struct("attempt", "canon")).alias("first"), F.count("*").alias("m")).filter("m > 1").select("s", "first")
         clash = state.join(twice, "s", "left").join(own.select(F.col("canon").alias("s"), F.lit(True).alias("real")), "s", "left")
         bad = F.coalesce(F.struct("attempt", "canon") != F.col("first"), F.lit(False)) | F.coalesce("real", F.lit(False))
-        marked = cut(clash.withColumn("bad", bad).select("canon", "e", "attempt", "s", "bad"), "marked")
+        marked = cut(clash.withColumn("bad", bad).select("canon", "e", "attempt", "s", "bad"), "marked", small=True)
         if marked.filter("bad").isEmpty():
             break
         attempt = F.when(F.col("bad"), F.lit(turn)).otherwise(F.col("attempt"))
         again = F.when(F.col("bad"), let(surrogate(F.col("e"), F.lit(turn), key), canonical)).otherwise(F.col("s"))
-        state = cut(marked.select("canon", "e", attempt.alias("attempt"), again.alias("s")), "drawn")
+        state = cut(marked.select("canon", "e", attempt.alias("attempt"), again.alias("s")), "drawn", small=True)
     else:
         raise RuntimeError(f"surrogates still clash after {rounds} rounds")
     return state.filter("attempt > 0").select("canon", "attempt")
@@ -199,11 +199,11 @@ def replace_entities(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     found = F.when(any_sign, F.regexp_extract_all("_t", F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     base = base.withColumn("_e", found).withColumn("_h", F.xxhash64("_k", "_t"))
     spots = cut(base.filter(F.size("_e") > 0).select("_h", F.posexplode("_e").alias("pos", "e")).withColumn("canon", canonical(F.col("e"))), "spots")
-    again = cut(redrawn(spots, secret), "redrawn")
+    again = cut(redrawn(spots, secret), "redrawn", small=True)
     n = again.count()
     if n:
         moved = spots.join(F.broadcast(again) if n <= BROADCAST_ROWS else again, "canon").select("_h", "pos", "attempt").distinct()
-        moved = cut(moved.groupBy("_h").agg(F.map_from_entries(F.collect_list(F.struct("pos", "attempt"))).alias("_a")), "moved")
+        moved = cut(moved.groupBy("_h").agg(F.map_from_entries(F.collect_list(F.struct("pos", "attempt"))).alias("_a")), "moved", small=True)
         base = base.join(F.broadcast(moved) if moved.count() <= BROADCAST_ROWS else moved, "_h", "left")
         changed = F.transform("_e", lambda e, i: surrogate(e, F.coalesce(F.try_element_at(F.col("_a"), i), F.lit(0)), secret))
     else:

@@ -106,12 +106,12 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     model = Logistic(rows[:, :-1], rows[:, -1])
     scored = base.select("_key", "host", "path", "label", model.log_odds().alias("odds")).withColumn("p", 1 / (1 + F.exp(-F.col("odds"))))
     evidence = F.coalesce("label", "p")
-    paths = cut(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(evidence).alias("s")), "paths")
+    paths = cut(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(evidence).alias("s")), "paths", small=True)
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     total = hosts.agg(F.sum("s") / F.sum("n")).first()[0]
     k_host = _prior_strength(hosts, F.lit(float(total)))
     hosts = hosts.select(F.col("host").alias("_host"), ((F.col("s") + k_host * float(total)) / (F.col("n") + k_host)).alias("host_rate"))
-    nested = cut(paths.join(hosts, F.col("host").eqNullSafe(F.col("_host")), "left").drop("_host"), "sites")
+    nested = cut(paths.join(hosts, F.col("host").eqNullSafe(F.col("_host")), "left").drop("_host"), "sites", small=True)
     k_path = _prior_strength(nested, F.col("host_rate"))
     sites = nested.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "host_rate", ((F.col("s") + k_path * F.col("host_rate")) / (F.col("n") + k_path)).alias("path_rate"))
     joined = scored.join(sites, F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path")), "left")

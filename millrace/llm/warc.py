@@ -5,8 +5,8 @@ be reached without inflating all before it).  ``normalise`` inflates such a file
 once, as a stream, writes every record as a gzip member of its own and a sidecar
 index of (offset, length, record id, type) beside the archive.  ``read_archives``
 fetches members by that index.  Files go to the shared folder by the file system
-its address names; a finished file is moved to its final name, so a task that
-runs twice leaves one.
+its address names and are moved to their final name when whole.  Only files that a finished task has
+listed are read further, so what an interrupted attempt leaves does no harm.
 
 Null payloads are empty.  A page whose payload of at least ``least`` bytes also
 belongs to a page with a smaller id becomes a revisit of the smallest one; rows
@@ -116,7 +116,7 @@ def write_archives(pages: DataFrame, folder: str, roll: int = ROLL) -> DataFrame
     ship(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, out, raw, n = TaskContext.get().partitionId(), 0, None, 0, 0
+        part, run_id, number, out, raw, n = TaskContext.get().partitionId(), uuid.uuid4().hex[:12], 0, None, 0, 0
         done: list[tuple[str, int]] = []
 
         def close() -> None:
@@ -130,7 +130,7 @@ def write_archives(pages: DataFrame, folder: str, roll: int = ROLL) -> DataFrame
             for at in range(0, b.num_rows, 512):
                 for r in b.slice(at, 512).to_pylist():
                     if out is None:
-                        path = f"{folder}/raw/part-{part:05d}-{number:03d}.warc.gz"
+                        path = f"{folder}/raw/part-{part:05d}-{run_id}-{number:03d}.warc.gz"
                         out, gz = _Output(path), zlib.compressobj(1, zlib.DEFLATED, 31)
                     data = record(r["page_id"], r["url"], (r["html"] or "").encode(), r["size"], r["digest"], r["record_type"], r["refers_to"])
                     out.write(gz.compress(data))
@@ -222,7 +222,7 @@ def record_types(pages: DataFrame, key: str = "page_id", url: str = "url", html:
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST, folder: str | None = None) -> DataFrame:
     """Write the pages as whole-stream archives, normalise these, and read the normalised ones back."""
     folder = folder or f"{shared_dir(pages.sparkSession)}/millrace/warc-{uuid.uuid4().hex}"
-    raw = cut(write_archives(record_types(pages, key, url, html, least), folder), "raw")
+    raw = cut(write_archives(record_types(pages, key, url, html, least), folder), "raw", small=True)
     n = max(1, raw.count())
-    normal = cut(normalise(raw.repartition(n, "path"), folder), "normal")
+    normal = cut(normalise(raw.repartition(n, "path"), folder), "normal", small=True)
     return read_archives(normal.repartition(n, "path"))
