@@ -38,6 +38,13 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op4_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media_jpeg import decode_media, store_media
+
+    stored = store_media(table(spark, sf_dir, "documents"))
+    return decode_media(stored, tensors=False).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -74,7 +81,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_ngram_join, op3_embedding_dedup, op5_mixing, op6_warc, op7_secret_scan, op8_pii_surrogates, op9_sentencepiece, op10_quality)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_ngram_join, op3_embedding_dedup, op4_media_jpeg, op5_mixing, op6_warc, op7_secret_scan, op8_pii_surrogates, op9_sentencepiece, op10_quality)}
 
 OP5_SQL = """
 WITH sized AS (
