@@ -18,6 +18,7 @@ multiple of 192 and come back with the padding.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import re
@@ -37,7 +38,7 @@ UNIT, USED = 192, 48
 #: Byte that becomes coefficient 0, and the tallest column of MCUs.
 CENTRE, TALLEST = 101, 4096
 #: Payload bytes that are handled at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def zigzag() -> np.ndarray:
@@ -265,11 +266,8 @@ def encode_payloads(payloads: list[bytes]) -> list[bytes]:
     value = DC_CODE.value[size] << size.astype(np.uint64) | _magnitude(diff.ravel(), size)
     data, begin = _framed(*_pack(np.repeat(np.arange(mcus), 4), value, DC_CODE.length[size] + size, mcus), in_doc)
     emit(_scan_header((1, 2, 3), 0, 0, 0, 0, 1), data, begin, doc_start)
-    # Components of one block a lane: luma blocks lie two to an MCU, row by row of its column.
-    wide = np.repeat(cols, full)
-    order_y = (np.arange(mcus)[:, None] * 2 + np.arange(2)).ravel()
-    component = [coef[:, :2].reshape(-1, 64)[order_y], coef[:, 2], coef[:, 3]]
-    del wide
+    # In a scan of one component each block is a lane; an MCU has two of luma, side by side.
+    component = [coef[:, :2].reshape(-1, 64), coef[:, 2], coef[:, 3]]
     for ss, se, ah, al in _AC_SCANS:
         if ah:
             bit = (coef[:, :, 0] & 1).astype(np.uint64)
@@ -290,6 +288,28 @@ def encode_payloads(payloads: list[bytes]) -> list[bytes]:
 # ---- Decoding ------------------------------------------------------------------------------
 
 
+@functools.lru_cache(4096)
+def scan_order(width: int, height: int, parts: tuple[tuple[int, int, int], ...], names: tuple[int, ...]) -> tuple[np.ndarray, int, tuple[int, ...]]:
+    """Blocks of a scan in coded order (counted from the frame's first), blocks an MCU, and whose component each of these is."""
+    hmax, vmax = max(p[1] for p in parts), max(p[2] for p in parts)
+    mcus_x, mcus_y = -(-width // (8 * hmax)), -(-height // (8 * vmax))
+    first, at = {}, 0
+    for c, h, v in parts:
+        first[c] = (at, h, v, mcus_x * h)
+        at += mcus_x * h * mcus_y * v
+    if len(names) == 1:
+        begin, h, v, wide = first[names[0]]
+        across, down = -(-(-(-width * h // hmax)) // 8), -(-(-(-height * v // vmax)) // 8)
+        return (begin + np.arange(down)[:, None] * wide + np.arange(across)).ravel(), 1, (0,)
+    grids, owner = [], []
+    for k, c in enumerate(names):
+        begin, h, v, wide = first[c]
+        y, x, b, a = np.ogrid[:mcus_y, :mcus_x, :v, :h]
+        grids.append((begin + (y * v + b) * wide + x * h + a).reshape(mcus_y * mcus_x, v * h))
+        owner += [k] * (v * h)
+    return np.concatenate(grids, 1).ravel(), len(owner), tuple(owner)
+
+
 class _Image:
     """Frame of one file: sizes, components, and where its coefficients lie in the batch."""
 
@@ -308,6 +328,7 @@ class _Batch:
         tail = np.concatenate([clean, np.zeros(4, np.uint32)])
         self.window = tail[:-4] << np.uint32(24) | tail[1:-3] << np.uint32(16) | tail[2:-2] << np.uint32(8) | tail[3:-1]
         self.marks = np.flatnonzero((self.raw[:-1] == 255) & (after != 0) & (after != 255))
+        self.breaks = np.flatnonzero((self.raw[self.marks + 1] & 0xF8) != 0xD0)
         self.codes: list[np.ndarray] = []
         self.code_of: dict[bytes, int] = {}
         self.blocks = 0
@@ -378,7 +399,7 @@ class _Batch:
         precision, image.height, image.width, n = struct.unpack(">BHHB", body[:6])
         if precision != 8 or not image.width or not image.height:
             raise ValueError("only 8-bit files with a stated size are read")
-        image.parts = {}
+        image.parts, image.base = {}, self.blocks
         listed = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
         image.hmax, image.vmax = max(x[1] for x in listed), max(x[2] for x in listed)
         image.mcus_x, image.mcus_y = -(-image.width // (8 * image.hmax)), -(-image.height // (8 * image.vmax))
@@ -394,39 +415,18 @@ class _Batch:
         table = [body[2 + 2 * i] for i in range(n)]
         ss, se, ah, al = body[1 + 2 * n], body[2 + 2 * n], body[3 + 2 * n] >> 4, body[3 + 2 * n] & 15
         i = int(np.searchsorted(self.marks, start))
-        j = i
-        kinds = self.raw[self.marks[i : i + 4096] + 1]
-        while True:
-            other = np.flatnonzero((kinds & 0xF8) != 0xD0)
-            if len(other):
-                j += int(other[0])
-                break
-            j += len(kinds)
-            kinds = self.raw[self.marks[j : j + 4096] + 1]
+        j = int(self.breaks[np.searchsorted(self.breaks, i)])
         stops = self.marks[i : j + 1]
         begins = np.concatenate([[start], stops[:-1] + 2])
-        if n == 1:
-            first, h, v, _, wide, _ = image.parts[names[0]]
-            across = -(-(-(-image.width * h // image.hmax)) // 8)
-            down = -(-(-(-image.height * v // image.vmax)) // 8)
-            order = (first + np.arange(down)[:, None] * wide + np.arange(across)).ravel()
-            per = 1
-        else:
-            grids, per = [], 0
-            for c in names:
-                first, h, v, _, wide, _ = image.parts[c]
-                y, x, b, a = np.ogrid[: image.mcus_y, : image.mcus_x, :v, :h]
-                grids.append((first + (y * v + b) * wide + x * h + a).reshape(image.mcus_y * image.mcus_x, v * h))
-                per += v * h
-            order = np.concatenate(grids, 1).ravel()
+        order, per, owner = scan_order(image.width, image.height, tuple((c, *p[1:3]) for c, p in image.parts.items()), tuple(names))
+        order = order + image.base
         step = (interval or len(order) // per) * per
         if len(begins) != -(-len(order) // step):
             raise ValueError("a scan has other restart intervals than its frame asks for")
         if ss == 0:
-            code = np.concatenate([np.full(image.parts[c][1] * image.parts[c][2] if n > 1 else 1, tables.get(t >> 4, 0)) for c, t in zip(names, table, strict=True)])
-            owner = np.concatenate([np.full(image.parts[c][1] * image.parts[c][2] if n > 1 else 1, k) for k, c in enumerate(names)])
+            code = np.array([tables.get(table[k] >> 4, 0) for k in owner])
         else:
-            code, owner = tables.get(0x10 | (table[0] & 15), 0), None
+            code = tables.get(0x10 | (table[0] & 15), 0)
         self.jobs[number, ss, se, ah, al].append((self.at_clean[begins] * 8, self.at_clean[stops] * 8, order, step, per, code, owner))
         return int(stops[-1])
 

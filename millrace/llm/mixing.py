@@ -12,7 +12,7 @@ source of its own, last in order.  Equal keys are decided alike.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, unit_hash, word_count
@@ -22,6 +22,8 @@ WEIGHTS = (3, 1, 2)
 #: Words of the mix over words of the input, and the most a source may be repeated.
 BUDGET, CAP = 1.5, 2
 SEED = "mix-1"
+#: Sources up to which their targets are broadcast.
+BROADCAST_SOURCES = 100_000
 
 
 def ordinals(df: DataFrame, by: str, name: str) -> DataFrame:
@@ -57,12 +59,30 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget:
     return ranked.select("source", "source_size", target.cast("double").alias("target"))
 
 
+def copies_of(key: Column, cap: int = CAP, seed: str = SEED) -> Column:
+    """floor(rate) copies and one more by a keyed draw, from the columns target and source_size."""
+    rate = F.least(F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)), F.lit(float(cap)))
+    return F.floor(rate) + F.when(unit_hash(key, seed=seed) < rate - F.floor(rate), 1).otherwise(0)
+
+
+def _sent(targets: DataFrame) -> DataFrame:
+    return F.broadcast(targets) if targets.count() <= BROADCAST_SOURCES else targets
+
+
+def emit_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, cap: int = CAP, seed: str = SEED) -> DataFrame:
+    """The rows of ``docs``, each as many times as the mix takes it."""
+    sized = docs.select(docs[source].alias("source"), word_count(docs[text]).alias("size"))
+    targets = source_targets(sized, weights, budget, cap).withColumnRenamed("source", "_source")
+    joined = docs.join(_sent(targets), docs[source].eqNullSafe(F.col("_source")), "left").withColumn("_copies", copies_of(docs[key], cap, seed))
+    repeated = joined.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies").cast("long"))))
+    return repeated.select(*[docs[c] for c in docs.columns])
+
+
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """``key``, source, size, source_size, target, copies, taken for each row."""
     sized = cut(docs.select(docs[key].alias("_key"), docs[source].alias("source"), word_count(docs[text]).alias("size")), "sizes")
     targets = source_targets(sized, weights, budget, cap).withColumnRenamed("source", "_source")
-    rate = F.least(F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)), F.lit(float(cap)))
     # The target table has one row a source; a source's many documents are the split side of the join.
-    joined = sized.join(targets, sized["source"].eqNullSafe(targets["_source"]), "left")
-    copies = F.floor(rate) + F.when(unit_hash("_key", seed=seed) < rate - F.floor(rate), 1).otherwise(0)
+    joined = sized.join(_sent(targets), sized["source"].eqNullSafe(F.col("_source")), "left")
+    copies = copies_of(F.col("_key"), cap, seed)
     return joined.select(F.col("_key").alias(key), "source", "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))

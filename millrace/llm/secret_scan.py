@@ -95,13 +95,14 @@ def _named(found: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in found)
 
 
-def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", redact: str | None = None) -> DataFrame:
-    """Per row: ``key``, n_assign, n_access, n_hex, n_novel, base_spans, spans; with ``redact`` the text
+def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", redact: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: ``key``, the carried columns, n_assign, n_access, n_hex, n_novel, base_spans, spans; with ``redact`` the text
     with every finding replaced by that string, too.  Rows are independent; nothing is shuffled."""
     ship(docs.sparkSession)
-    source = docs.select(docs[key].alias("k"), docs[text].alias("t"))
+    source = docs.select(docs[text].alias("t"), docs[key].alias("k"), *(docs[c].alias(f"c{i}") for i, c in enumerate(carry)))
     counts = [f"n_{k}" for k in KINDS]
-    fields = [T.StructField(key, source.schema[0].dataType), *(T.StructField(c, T.LongType()) for c in counts), T.StructField("base_spans", T.StringType()), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())]
+    kept = [T.StructField(n, f.dataType) for n, f in zip((key, *carry), source.schema[1:], strict=True)]
+    fields = [*(T.StructField(c, T.LongType()) for c in counts), T.StructField("base_spans", T.StringType()), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())]
     if redact is not None:
         fields.append(T.StructField("redacted", T.StringType()))
 
@@ -110,8 +111,8 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", redac
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 b = whole.slice(at, 1024)
-                out: list[list] = [[] for _ in fields[1:]]
-                for t in b.column(1):
+                out: list[list] = [[] for _ in fields]
+                for t in b.column(0):
                     t = t.as_py()
                     found = spans(t, novelty)
                     for k in range(4):
@@ -123,9 +124,9 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", redac
                     if redact is not None:
                         out[7].append(_cut_out(t, found, redact))
                 kinds = [pa.int64()] * 4 + [pa.string()] * (len(out) - 4)
-                yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, out, kinds)], names=[f.name for f in fields])
+                yield pa.RecordBatch.from_arrays([*b.columns[1:], *map(pa.array, out, kinds)], names=[f.name for f in (*kept, *fields)])
 
-    return source.mapInArrow(run, T.StructType(fields))
+    return source.mapInArrow(run, T.StructType([*kept, *fields]))
 
 
 def _cut_out(text: str | None, found: list[tuple[int, int, int]], mark: str) -> str | None:
