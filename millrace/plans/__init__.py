@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import evaluation
+from . import evaluation, joining
 
-REGISTRY = {**evaluation.QUERIES}
+REGISTRY = {**evaluation.QUERIES, **joining.QUERIES}
