@@ -46,7 +46,7 @@ BITMAP = 512
 #: Ids of candidate nodes up to which the list is broadcast (16 MB); beyond it a shuffled join is used.
 BROADCAST_IDS = 1_000_000
 #: Remaining pairs for each indexed row beyond which another hub round comes first, and the most of these rounds.
-PAIRS_A_ROW, HUB_ROUNDS = 24, 6
+PAIRS_A_ROW, HUB_ROUNDS = 4, 2
 #: Bytes of text that are hashed at once.
 CHUNK = 4 << 20
 
@@ -149,12 +149,12 @@ class Threshold:
 
 
 def _signed(docs: DataFrame, key: str, text: str, words: int, bound: Threshold) -> DataFrame:
-    """key, n, fp1, fp2, region (its first shingles by hash), bitmap: all that the search needs, from one pass over the texts."""
+    """key, n, fp1, fp2, region (its first shingles by hash), bitmap, m0 and m1 (the bitmap folded to 128 bits): all that the search needs, from one pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
-            n, fp1, fp2, region, bits = [], [], [], [], []
+            n, fp1, fp2, region, bits, m0, m1 = [], [], [], [], [], [], []
             for s in shingler.sets(batch.column(1)):
                 n.append(len(s))
                 a, b = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
@@ -164,11 +164,14 @@ def _signed(docs: DataFrame, key: str, text: str, words: int, bound: Threshold)
                 region.append(s[: int(bound.searched(len(s)))] if linked else s[:0])
                 width = max(BITMAP, 1 << (max(len(s), 2) // 2 - 1).bit_length())
                 bits.append(np.packbits((np.bincount(s & (width - 1), minlength=width) & 1).astype(np.uint8)).view(np.int64) if linked else s[:0])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp1, pa.int64()), pa.array(fp2, pa.int64()), _lists(region), _lists(bits)], names=["key", "n", "fp1", "fp2", "region", "bitmap"])
+                short = np.bitwise_xor.reduce(bits[-1].reshape(-1, 2), 0) if linked else (0, 0)
+                m0.append(short[0])
+                m1.append(short[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp1, pa.int64()), pa.array(fp2, pa.int64()), _lists(region), _lists(bits), pa.array(m0, pa.int64()), pa.array(m1, pa.int64())], names=["key", "n", "fp1", "fp2", "region", "bitmap", "m0", "m1"])
 
     source = docs.select(docs[key].alias("key"), docs[text].alias("t"))
     kind = source.schema[0].dataType.simpleString()
-    return source.mapInArrow(run, f"key {kind}, n long, fp1 long, fp2 long, region array<long>, bitmap array<long>")
+    return source.mapInArrow(run, f"key {kind}, n long, fp1 long, fp2 long, region array<long>, bitmap array<long>, m0 long, m1 long")
 
 
 def _full_sets(docs: DataFrame, key: str, text: str, words: int, ids: DataFrame) -> DataFrame:
@@ -268,6 +271,16 @@ def _verified(docs: DataFrame, key: str, text: str, words: int, bound: Threshold
     return cut(both.withColumn("c", common).filter(F.col("c") * bound.den >= (F.size("sa") + F.size("sb") - F.col("c")) * bound.num).select("a", "b").distinct(), "links", small=True)
 
 
+def _may_link(rows: DataFrame, other: DataFrame, bound: Threshold) -> Column:
+    """Join condition of two rows of a bucket: different components, sizes and folded bitmaps within the bound.
+
+    Hopeless pairs so end inside the join and are never rows."""
+    n, m = rows["n"], other["n_2"]
+    apart = F.bit_count(rows["m0"].bitwiseXOR(other["m0_2"])) + F.bit_count(rows["m1"].bitwiseXOR(other["m1_2"]))
+    near = apart * (bound.num + bound.den) <= (n + m) * (bound.den - bound.num)
+    return (rows["sig"] == other["sig"]) & (rows["comp"] != other["comp_2"]) & (F.least(n, m) * bound.den >= F.greatest(n, m) * bound.num) & near
+
+
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """``key``, n_shingles, component_id for each row: the least key reachable by links of Jaccard >= num / den."""
     ship(docs.sparkSession)
@@ -276,28 +289,29 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     classes = base.filter("key IS NOT NULL AND n > 0").groupBy("fp1", "fp2").agg(F.min("key").alias("node"))
     mine = base.join(classes, ["fp1", "fp2"], "left")
     nodes = mine.filter((F.col("key") == F.col("node")) & (F.col("n") >= bound.least))
-    info = cut(nodes.select("node", "n", "bitmap"), "info")
+    info = cut(nodes.select("node", "n", "bitmap", "m0", "m1"), "info")
     sigs = _signatures(docs, key, text, words, bound, nodes)
     sized = sigs.groupBy("sig").count().filter("count >= 2")
-    live = cut(sigs.join(sized.select("sig"), "sig"), "live", small=True)
+    live = cut(sigs.join(sized.select("sig"), "sig").join(info.select("node", "n", "m0", "m1"), "node"), "live", small=True)
 
     links = None
     labelled = live.withColumn("comp", F.col("node"))
     for turn in range(HUB_ROUNDS):
-        hub = labelled.groupBy("sig").agg(F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(turn)) if turn else F.col("node")).alias("hub"))
-        pairs = labelled.join(hub, "sig").filter("comp != hub.comp").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
+        best = F.min_by(F.struct("node", "comp", "n", "m0", "m1"), F.xxhash64("node", F.lit(turn)) if turn else F.col("node"))
+        hub = labelled.groupBy("sig").agg(best.alias("h")).select("sig", *[F.col(f"h.{c}").alias(f"{c}_2") for c in ("node", "comp", "n", "m0", "m1")])
+        pairs = labelled.join(hub, _may_link(labelled, hub, bound)).select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b"))
         found = _verified(docs, key, text, words, bound, info, pairs)
         links = found if links is None else links.unionByName(found)
         comps = cut(connected_components(links), "components", small=True)
-        labelled = cut(live.join(comps, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("comp")), "labelled", small=True)
+        labelled = live.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
         inside = labelled.groupBy("sig", "comp").count().groupBy("sig").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("q")).filter("m * m > q")
         rows, left_over = inside.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2), F.lit(0))).first()
-        labelled = labelled.join(inside.select("sig"), "sig", "left_semi")
+        labelled = cut(labelled.join(inside.select("sig"), "sig", "left_semi"), "labelled", small=True)
         if left_over <= PAIRS_A_ROW * rows:
             break
     if rows:
-        other = labelled.select("sig", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-        pairs = labelled.withColumnRenamed("node", "a").join(other, "sig").filter("a < b AND comp != comp_b").select("a", "b")
+        other = labelled.select("sig", *[F.col(c).alias(f"{c}_2") for c in ("node", "comp", "n", "m0", "m1")])
+        pairs = labelled.join(other, _may_link(labelled, other, bound) & (labelled["node"] < other["node_2"])).select(F.col("node").alias("a"), F.col("node_2").alias("b"))
         links = links.unionByName(_verified(docs, key, text, words, bound, info, pairs))
         comps = cut(connected_components(links), "components", small=True)
     out = mine.select("key", "n", F.coalesce("node", "key").alias("node")).join(comps, "node", "left")
