@@ -138,7 +138,7 @@ NEAREST_SQL = """
 WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS us, event_type FROM events), v AS (SELECT * FROM e WHERE event_type = 'view'), p AS (SELECT * FROM e WHERE event_type = 'purchase'),
 m AS (SELECT v.event_id, abs(v.us - p.us) AS distance, p.event_id AS purchase FROM v JOIN p ON v.user_id = p.user_id AND abs(v.us - p.us) <= 3600000000
   QUALIFY row_number() OVER (PARTITION BY v.event_id ORDER BY abs(v.us - p.us), p.us, p.event_id) = 1)
-SELECT v.event_id, v.user_id, m.distance, m.purchase AS nearest_purchase FROM v LEFT JOIN m USING (event_id)
+SELECT v.event_id, v.user_id, m.distance::BIGINT AS distance, m.purchase AS nearest_purchase FROM v LEFT JOIN m USING (event_id)
 """
 
 
