@@ -50,9 +50,9 @@ def largest_remainder(sizes: DataFrame, strata: list[str], share: float) -> Data
     short = int((goal or 0) - (have or 0))
     can = base.filter((F.col("n") > 1) & (F.col("_floor") < F.col("n") - 1)) if short > 0 else base.filter(F.col("_floor") > 1)
     order = [F.desc("_rest"), *strata] if short > 0 else [F.asc("_rest"), *strata]
-    extra = can.orderBy(*order).limit(abs(short)).select(*strata, F.lit(1 if short > 0 else -1).alias("_extra"))
-    same = [base[s].eqNullSafe(extra[s]) for s in strata]
-    return base.join(extra, same, "left").select(*[base[s] for s in strata], "n", (F.col("_floor") + F.coalesce("_extra", F.lit(0))).cast("long").alias("take"))
+    extra = can.orderBy(*order).limit(abs(short)).select(*[F.col(s).alias(f"_x_{s}") for s in strata], F.lit(1 if short > 0 else -1).alias("_extra"))
+    same = [F.col(s).eqNullSafe(F.col(f"_x_{s}")) for s in strata]
+    return base.join(extra, same, "left").select(*strata, "n", (F.col("_floor") + F.coalesce("_extra", F.lit(0))).cast("long").alias("take"))
 
 
 def stratified_split(rows: DataFrame, strata: list[str], share: float, seed: str, key: str) -> DataFrame:

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import evaluation, joining
+from . import evaluation, joining, sampling
 
-REGISTRY = {**evaluation.QUERIES, **joining.QUERIES}
+REGISTRY = {**evaluation.QUERIES, **joining.QUERIES, **sampling.QUERIES}
