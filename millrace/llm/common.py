@@ -66,7 +66,7 @@ def tokenizer_file(name: str) -> str:
 
 def unit_hash(*cols: Column | str, seed: str) -> Column:
     """A double in [0, 1) from 52 bits of SHA-256 over the seed and the columns' text."""
-    text = F.concat_ws("\x1f", F.lit(seed), *[F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("\x00")).cast("string") for c in cols])
+    text = F.concat_ws("\x1f", F.lit(seed), *[F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("\x00")) for c in cols])
     return F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
