@@ -41,7 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Files per core of a table that is small against the input.
-FILES_A_CORE = 4
+FILES_A_CORE = 1
 
 
 def cut(df: DataFrame, label: str, small: bool = False) -> DataFrame:

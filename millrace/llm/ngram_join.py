@@ -174,11 +174,15 @@ def _signed(docs: DataFrame, key: str, text: str, words: int, bound: Threshold)
     return source.mapInArrow(run, f"key {kind}, n long, fp1 long, fp2 long, region array<long>, bitmap array<long>, m0 long, m1 long")
 
 
+def _bounded(df: DataFrame) -> DataFrame:
+    """``df``, broadcast if it has at most BROADCAST_IDS rows (of one or two numbers)."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
 def _full_sets(docs: DataFrame, key: str, text: str, words: int, ids: DataFrame) -> DataFrame:
     """key, shingles of the documents whose key is in ids(node)."""
-    few = ids.count() <= BROADCAST_IDS
     source = docs.select(docs[key].alias("key"), docs[text].alias("t"))
-    source = source.join(F.broadcast(ids) if few else ids, source["key"] == ids["node"], "left_semi")
+    source = source.join(_bounded(ids), source["key"] == ids["node"], "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -232,8 +236,8 @@ def _signatures(docs: DataFrame, key: str, text: str, words: int, bound: Thresho
     simple = ranked.join(short, "node", "left_anti").select(F.col("tok").alias("sig"), "node")
 
     sets = _full_sets(docs, key, text, words, short).select(F.col("key").alias("node"), F.posexplode("shingles").alias("pos", "tok"))
-    flags = seen.filter(often).select("tok").distinct().withColumn("often", F.lit(True))
-    flagged = sets.join(flags, "tok", "left").groupBy("node").agg(F.collect_list("tok").alias("toks"), F.collect_list(F.coalesce("often", F.lit(False))).alias("flags"))
+    flags = cut(seen.filter(often).select("tok").distinct().withColumn("often", F.lit(True)), "flags", small=True)
+    flagged = sets.join(_bounded(flags), "tok", "left").groupBy("node").agg(F.collect_list("tok").alias("toks"), F.collect_list(F.coalesce("often", F.lit(False))).alias("flags"))
     kind = flagged.schema["node"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,7 +307,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         found = _verified(docs, key, text, words, bound, info, pairs)
         links = found if links is None else links.unionByName(found)
         comps = cut(connected_components(links), "components", small=True)
-        labelled = live.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+        labelled = live.join(_bounded(comps), "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
         inside = labelled.groupBy("sig", "comp").count().groupBy("sig").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("q")).filter("m * m > q")
         rows, left_over = inside.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2), F.lit(0))).first()
         labelled = cut(labelled.join(inside.select("sig"), "sig", "left_semi"), "labelled", small=True)
@@ -314,5 +318,5 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         pairs = labelled.join(other, _may_link(labelled, other, bound) & (labelled["node"] < other["node_2"])).select(F.col("node").alias("a"), F.col("node_2").alias("b"))
         links = links.unionByName(_verified(docs, key, text, words, bound, info, pairs))
         comps = cut(connected_components(links), "components", small=True)
-    out = mine.select("key", "n", F.coalesce("node", "key").alias("node")).join(comps, "node", "left")
+    out = mine.select("key", "n", F.coalesce("node", "key").alias("node")).join(_bounded(comps), "node", "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.coalesce("component", "node")).alias("component_id"))
