@@ -1,0 +1,51 @@
+"""Scores of tagged responses: evidence blocks, answer formats and the rewards made of them."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from .text import only_tag
+
+BLOCK = r"(?is)<type>(.*?)</type>\s*in\s*<t>\s*\[([^\]]*)\]\s*</t>\s*at\s*<bbox>\s*\[([^\]]*)\]\s*</bbox>"
+
+
+def _numbers(texts: Column) -> Column:
+    return F.transform(texts, lambda t: F.transform(F.split(t, ","), lambda x: F.trim(x).try_cast("double")))
+
+
+def evidence_blocks(response: Column, seconds: Column) -> Column:
+    """Array of (kind, span, box, valid): a block is valid with a span inside [0, seconds] and a box of positive area within 0..1000."""
+    kinds, spans, boxes = (F.regexp_extract_all(response, F.lit(BLOCK), F.lit(i)) for i in (1, 2, 3))
+    rows = F.arrays_zip(kinds.alias("k"), _numbers(spans).alias("t"), _numbers(boxes).alias("b"))
+
+    def row(x: Column) -> Column:
+        t, b = x["t"], x["b"]
+        at = lambda a, i: F.try_element_at(a, F.lit(i))
+        span_ok = (F.size(t) == 2) & (at(t, 1) >= 0) & (at(t, 1) <= at(t, 2)) & (at(t, 2) <= seconds)
+        box_ok = (F.size(b) == 4) & (at(b, 1) >= 0) & (at(b, 2) >= 0) & (at(b, 1) < at(b, 3)) & (at(b, 2) < at(b, 4)) & (at(b, 3) <= 1000) & (at(b, 4) <= 1000)
+        return F.struct(F.lower(F.trim(x["k"])).alias("kind"), t.alias("span"), b.alias("box"), F.coalesce(span_ok & box_ok, F.lit(False)).alias("valid"))
+
+    return F.transform(rows, row)
+
+
+def evidence_counts(blocks: Column) -> Column:
+    """Struct of raw, strict (valid and distinct) and duplicate blocks."""
+    valid = F.filter(blocks, lambda x: x["valid"])
+    unique = F.array_distinct(valid)
+    return F.struct(F.size(blocks).alias("raw"), F.size(unique).alias("strict"), (F.size(valid) - F.size(unique)).alias("duplicate"))
+
+
+def outer_format(response: Column) -> Column:
+    """The whole response is one think and one answer block."""
+    return response.rlike(r"(?is)^\s*<think>((?!<think>).)*</think>\s*<answer>((?!<answer>).)*</answer>\s*$")
+
+
+def answer_reward(response: Column, truth: Column, strict_blocks: Column, wrong_real: float = -0.2) -> Column:
+    """Accuracy 1, ``wrong_real`` for calling a fake real, else 0; a right fake also earns a share of min(ln(1 + n), ln 4)."""
+    answer = F.lower(F.trim(only_tag(response, "answer")))
+    accuracy = F.when(answer == truth, 1.0).when((truth == "fake") & (answer == "real"), wrong_real).otherwise(0.0)
+    evidence = F.when((truth == "fake") & (answer == "fake"), F.least(F.log1p(strict_blocks.cast("double")), F.lit(math.log(4.0)))).otherwise(0.0)
+    return F.when(outer_format(response), 0.8 * accuracy + 0.2 * evidence).otherwise(0.0)

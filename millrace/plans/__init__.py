@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import evaluation, joining, sampling
+from . import evaluation, joining, media, sampling
 
-REGISTRY = {**evaluation.QUERIES, **joining.QUERIES, **sampling.QUERIES}
+REGISTRY = {**evaluation.QUERIES, **joining.QUERIES, **sampling.QUERIES, **media.QUERIES}

@@ -33,3 +33,24 @@ def test_boxes(spark):
     assert one(spark, geom.box(F.lit(9), F.lit(2000), F.lit(1), F.lit(-4))).asDict() == {"x1": 1, "y1": 0, "x2": 9, "y2": 1000}
     assert one(spark, geom.far_corner(box(0, 0, 100, 100))).asDict() == {"x1": 900, "y1": 0, "x2": 1000, "y2": 100}
     assert one(spark, geom.to_thousand(F.lit(12.0), F.lit(640.0))) == 18.75
+
+
+def test_rewards(spark):
+    import math
+
+    from millrace.functions import rewards
+
+    block = "<type>blur</type> in <t>[0.5, 1]</t> at <bbox>[1, 2, 30, 40]</bbox>"
+    zero = "<type>blur</type> in <t>[0.5, 1]</t> at <bbox>[0, 0, 0, 0]</bbox>"
+
+    def score(body, answer, truth):
+        response = F.lit(f"<think>{body}</think><answer>{answer}</answer>")
+        counts = rewards.evidence_counts(rewards.evidence_blocks(response, F.lit(2.0)))
+        row = spark.range(1).select(counts.alias("c"), rewards.answer_reward(response, F.lit(truth), counts["strict"]).alias("r")).first()
+        return row.c.raw, row.c.strict, row.c.duplicate, row.r
+
+    assert score(block, "Fake", "fake") == (1, 1, 0, 0.8 + 0.2 * math.log(2))
+    assert score(zero + zero, "Fake", "fake") == (2, 0, 0, 0.8)
+    assert score(block + block, "Fake", "fake")[:3] == (2, 1, 1)
+    assert score("", "Real", "real") == (0, 0, 0, 0.8) and score(block, "Real", "fake")[3] == 0.8 * -0.2
+    assert one(spark, rewards.outer_format(F.lit("x<think>a</think><answer>Real</answer>"))) is False
