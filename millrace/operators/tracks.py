@@ -20,8 +20,8 @@ def track_stats(frames: DataFrame, track: list[str], frame: str, area: str, scor
     The key frame is the first of largest area.  ``span`` may state how many frames the track was looked for in."""
     looked = span if span is not None else F.max(frame) - F.min(frame) + 1
     return frames.groupBy(*track).agg(
-        F.count("*").alias("frames"), F.median(area).alias("area_median"), F.bround(F.avg(area), 6).alias("area_mean"), F.bround(F.stddev_pop(area), 6).alias("area_std"),
-        F.percentile(area, F.lit(0.2)).alias("area_p20"), F.bround(F.count("*") / looked, 8).alias("visible_ratio"), F.bround(F.avg(score), 6).alias("score_mean"),
+        F.count("*").alias("frames"), F.median(area).alias("area_median"), F.avg(area).alias("area_mean"), F.stddev_pop(area).alias("area_std"),
+        F.percentile(area, F.lit(0.2)).alias("area_p20"), (F.count("*") / looked).alias("visible_ratio"), F.avg(score).alias("score_mean"),
         F.min(F.struct((-F.col(area)).alias("_a"), F.col(frame)))[frame].alias("key_frame"),
     )
 
