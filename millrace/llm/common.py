@@ -18,8 +18,10 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, once per application."""
+    """Make this package importable in Python workers, once per application, and keep Arrow batches small."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parents[2]
@@ -40,18 +42,20 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-#: Files per core of a table that is small against the input.
-FILES_A_CORE = 1
+#: Files per core of a table that is small against the input, and of others.
+FILES_A_CORE = {True: 1, False: 4}
+#: Rows in an Arrow batch: texts are long, and a batch is held on both sides of the pipe.
+BATCH_ROWS = "1000"
 
 
 def cut(df: DataFrame, label: str, small: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so later stages don't depend on lost executors.
 
-    ``small``: the table is small against the input (ids, links, paths), and no more files are written
-    than a few for each core, however many partitions it has."""
+    However many partitions it has, no more files are written than a few for each core; fewer still where the
+    table is ``small`` against the input (ids, links, paths)."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace/{label}-{uuid.uuid4().hex}"
-    (df.coalesce(max(8, FILES_A_CORE * spark.sparkContext.defaultParallelism)) if small else df).write.parquet(path)
+    df.coalesce(max(4, FILES_A_CORE[small] * spark.sparkContext.defaultParallelism)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

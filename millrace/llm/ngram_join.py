@@ -48,7 +48,7 @@ BROADCAST_IDS = 1_000_000
 #: Remaining pairs for each indexed row beyond which another hub round comes first, and the most of these rounds.
 PAIRS_A_ROW, HUB_ROUNDS = 4, 2
 #: Bytes of text that are hashed at once.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)

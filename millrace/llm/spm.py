@@ -30,7 +30,9 @@ from .common import ship
 
 SPACE = "▁"
 #: Pieces of text whose ids a worker remembers before it starts anew.
-MEMO = 400_000
+MEMO = 120_000
+#: Pairs of tokens whose compatibility it remembers.
+PAIRS = 500_000
 
 
 class PrefixTableEncoder:
@@ -54,7 +56,7 @@ class PrefixTableEncoder:
             if len(p) == 1 or self.merge(p) == [i]:
                 self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.follows: dict[int, bool] = {}
         self.memo: dict[str, tuple[int, ...]] = {}
 
     def merge(self, text: str) -> list[int]:
@@ -82,11 +84,12 @@ class PrefixTableEncoder:
         return [self.id_of[p] for p in part if p is not None]
 
     def can_follow(self, a: int, b: int) -> bool:
-        found = self.follows.get((a, b))
+        pair = a << 32 | b
+        found = self.follows.get(pair)
         if found is None:
-            if len(self.follows) > 4_000_000:
+            if len(self.follows) > PAIRS:
                 self.follows.clear()
-            found = self.follows[a, b] = self.merge(self.piece[a] + self.piece[b]) == [a, b]
+            found = self.follows[pair] = self.merge(self.piece[a] + self.piece[b]) == [a, b]
         return found
 
     def table_ids(self, text: str) -> list[int]:
