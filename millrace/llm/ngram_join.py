@@ -41,9 +41,13 @@ from .components import connected_components
 
 #: A shingle in the searched part of more nodes than this is frequent.
 FREQUENT = 32
+#: A set's searched part is its prefix and a further 1 / SLACK of it, for frequent shingles among them.
+SLACK = 3
+#: Bits of a shingle's hash that the index leaves out; shingles that then agree only add candidates.
+SHORTER = 16
 #: Fewest bits of a parity bitmap; a set of n gets the next power of two from n / 2 on.
 BITMAP = 512
-#: Ids of candidate nodes up to which the list is broadcast (16 MB); beyond it a shuffled join is used.
+#: Rows of a list of ids up to which it is broadcast (24 MB at most); beyond it a shuffled join is used.
 BROADCAST_IDS = 1_000_000
 #: Remaining pairs for each indexed row beyond which another hub round comes first, and the most of these rounds.
 PAIRS_A_ROW, HUB_ROUNDS = 4, 2
@@ -145,7 +149,7 @@ class Threshold:
     def searched(self, n):
         """Shingles of a set that are looked at first."""
         need = self.loss(n) + 1
-        return np.minimum(n, need + np.maximum(8, need // 2))
+        return np.minimum(n, need + np.maximum(8, need // SLACK))
 
 
 def _signed(docs: DataFrame, key: str, text: str, words: int, bound: Threshold) -> DataFrame:
@@ -161,7 +165,7 @@ def _signed(docs: DataFrame, key: str, text: str, words: int, bound: Threshold)
                 fp1.append(a)
                 fp2.append(b)
                 linked = len(s) >= bound.least
-                region.append(s[: int(bound.searched(len(s)))] if linked else s[:0])
+                region.append(s[: int(bound.searched(len(s)))] >> SHORTER if linked else s[:0])
                 width = max(BITMAP, 1 << (max(len(s), 2) // 2 - 1).bit_length())
                 bits.append(np.packbits((np.bincount(s & (width - 1), minlength=width) & 1).astype(np.uint8)).view(np.int64) if linked else s[:0])
                 short = np.bitwise_xor.reduce(bits[-1].reshape(-1, 2), 0) if linked else (0, 0)
@@ -175,7 +179,7 @@ def _signed(docs: DataFrame, key: str, text: str, words: int, bound: Threshold)
 
 
 def _bounded(df: DataFrame) -> DataFrame:
-    """``df``, broadcast if it has at most BROADCAST_IDS rows (of one or two numbers)."""
+    """``df``, broadcast if it has at most BROADCAST_IDS rows (of up to three numbers)."""
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
@@ -198,9 +202,8 @@ def _band(n: int) -> int:
     return max(4, n.bit_length())
 
 
-def combination_prefix(tokens: np.ndarray, frequent: np.ndarray, bound: Threshold) -> np.ndarray:
-    """Signatures of one set: its rare prefix alone, and combinations of two frequent shingles of a class where those don't suffice."""
-    n = len(tokens)
+def combination_prefix(tokens: np.ndarray, frequent: np.ndarray, bound: Threshold, n: int) -> np.ndarray:
+    """Signatures of one set of n shingles: its rare prefix alone, and combinations of two frequent shingles of a class where those don't suffice."""
     need = int(bound.loss(n)) + 1
     rare, often = np.sort(tokens[~frequent]), np.sort(tokens[frequent])
     out = [rare[:need]]
@@ -228,14 +231,14 @@ def _signatures(docs: DataFrame, key: str, text: str, words: int, bound: Thresho
     shared = postings.groupBy("tok").agg(F.count("*").alias("df")).filter("df >= 2")
     seen = cut(postings.join(shared, "tok").select("node", "n", "pos", "tok", "df"), "postings")
     need = F.expr(f"n - (n * {bound.num} + {bound.den - 1}) div {bound.den} + 1")
-    looked = F.least(F.col("n"), need + F.greatest(F.lit(8), F.expr(f"(n - (n * {bound.num} + {bound.den - 1}) div {bound.den} + 1) div 2")))
+    looked = F.least(F.col("n"), need + F.greatest(F.lit(8), F.expr(f"(n - (n * {bound.num} + {bound.den - 1}) div {bound.den} + 1) div {SLACK}")))
     often = F.col("df") > FREQUENT
     short = cut(seen.groupBy("node", "n").agg(F.count(F.when(often, 1)).alias("often")).filter(looked - F.col("often") < need).select("node").distinct(), "short", small=True)
     upto = Window.partitionBy("node").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     ranked = seen.withColumn("rank", F.col("pos") - F.count(F.when(often, 1)).over(upto)).filter(~often & (F.col("rank") < need))
     simple = ranked.join(short, "node", "left_anti").select(F.col("tok").alias("sig"), "node")
 
-    sets = _full_sets(docs, key, text, words, short).select(F.col("key").alias("node"), F.posexplode("shingles").alias("pos", "tok"))
+    sets = _full_sets(docs, key, text, words, short).select(F.col("key").alias("node"), F.explode(F.transform("shingles", lambda x: F.shiftright(x, SHORTER))).alias("tok"))
     flags = cut(seen.filter(often).select("tok").distinct().withColumn("often", F.lit(True)), "flags", small=True)
     flagged = sets.join(_bounded(flags), "tok", "left").groupBy("node").agg(F.collect_list("tok").alias("toks"), F.collect_list(F.coalesce("often", F.lit(False))).alias("flags"))
     kind = flagged.schema["node"].dataType
@@ -244,7 +247,7 @@ def _signatures(docs: DataFrame, key: str, text: str, words: int, bound: Thresho
         for b in batches:
             for node, toks, marks in zip(b.column(0), b.column(1), b.column(2), strict=True):
                 t, at = np.unique(toks.values.to_numpy(zero_copy_only=False), return_index=True)
-                sigs = combination_prefix(t, marks.values.to_numpy(zero_copy_only=False).astype(bool)[at], bound)
+                sigs = combination_prefix(t, marks.values.to_numpy(zero_copy_only=False).astype(bool)[at], bound, len(toks))
                 yield pa.RecordBatch.from_arrays([pa.array(sigs), pa.array([node.as_py()] * len(sigs), b.column(0).type)], names=["sig", "node"])
 
     extended = flagged.mapInArrow(run, T.StructType([T.StructField("sig", T.LongType()), T.StructField("node", kind)]))
@@ -291,8 +294,11 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     bound = Threshold(num, den)
     base = cut(_signed(docs, key, text, words, bound), "signed")
     classes = base.filter("key IS NOT NULL AND n > 0").groupBy("fp1", "fp2").agg(F.min("key").alias("node"))
-    mine = base.join(classes, ["fp1", "fp2"], "left")
-    nodes = mine.filter((F.col("key") == F.col("node")) & (F.col("n") >= bound.least))
+    mine = base.select("key", "n", "fp1", "fp2").join(classes, ["fp1", "fp2"], "left")
+    # Few rows are copies of another: their list stays small where it may be sent, and the wide rows needn't move.
+    copies = cut(mine.filter("key != node").select("key", "fp1", "fp2").distinct(), "copies", small=True)
+    linked = base.filter((F.col("n") >= bound.least) & F.col("key").isNotNull())
+    nodes = linked.join(_bounded(copies), ["key", "fp1", "fp2"], "left_anti").withColumnRenamed("key", "node")
     info = cut(nodes.select("node", "n", "bitmap", "m0", "m1"), "info")
     sigs = _signatures(docs, key, text, words, bound, nodes)
     sized = sigs.groupBy("sig").count().filter("count >= 2")

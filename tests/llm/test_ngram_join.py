@@ -102,7 +102,7 @@ def test_combination_prefixes_share_a_signature():
             if 10 * c < 9 * (len(x) + len(z) - c):
                 break
             y = z
-        a, b = (combination_prefix(s, often(s), bound) for s in (x, y))
+        a, b = (combination_prefix(s, often(s), bound, len(s)) for s in (x, y))
         assert len(np.intersect1d(a, b))
 
 
