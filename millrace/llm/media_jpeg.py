@@ -118,8 +118,12 @@ REFINE_CODE = Code.of({0x01: 9, 0x00: 20, 0x11: 5, 0x21: 3, 0x31: 2, 0x41: 1.5}
 # ---- Encoding ------------------------------------------------------------------------------
 
 
+_LENGTHS = np.array([v.bit_length() for v in range(1 << 11)])
+
+
 def _bit_length(v: np.ndarray) -> np.ndarray:
-    return np.frexp(v.astype(np.float64))[1].astype(np.int64)
+    """Bits of numbers from 0 to 2047."""
+    return _LENGTHS[v]
 
 
 def _magnitude(v: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -173,26 +177,23 @@ def _first_tokens(c: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray, np
     sym = (run & 15) << 4 | size
     value = code.value[sym] << size.astype(np.uint64) | _magnitude(v, size)
     bits = code.length[sym] + size
-    order = lane * 4 + 1
     long = run >> 4
     if long.any():  # runs of 16 zeros come before their value
-        many = np.repeat(np.arange(len(lane)), long)
-        where = np.concatenate([many, np.arange(len(lane))])
-        value = np.concatenate([np.full(len(many), code.value[0xF0]), value])
-        bits = np.concatenate([np.full(len(many), code.length[0xF0]), bits])
-        sort = np.argsort(where, kind="stable")
-        lane, value, bits = lane[where][sort], value[sort], bits[sort]
-        order = lane * 4 + 1
-    last = np.full(len(c), -1)
-    filled = c != 0
-    has = filled.any(1)
-    last[has] = c.shape[1] - 1 - filled[has][:, ::-1].argmax(1)
-    ends = np.flatnonzero(last < c.shape[1] - 1)
-    lanes = np.concatenate([lane, ends])
-    sort = np.argsort(np.concatenate([order, ends * 4 + 2]), kind="stable")
-    value = np.concatenate([value, np.full(len(ends), code.value[0])])
-    bits = np.concatenate([bits, np.full(len(ends), code.length[0])])
-    return lanes[sort], value[sort], bits[sort]
+        many = np.repeat(np.arange(len(lane)), long + 1)
+        own = np.concatenate([many[1:] != many[:-1], [True]])
+        lane = lane[many]
+        value = np.where(own, value[many], code.value[0xF0])
+        bits = np.where(own, bits[many], code.length[0xF0])
+    # A lane whose last coefficient is zero ends with an end-of-block code.
+    ends = c[:, -1] == 0
+    before = np.cumsum(ends) - ends
+    at = np.arange(len(lane)) + before[lane]
+    close = (np.cumsum(np.bincount(lane, minlength=len(c))) + before)[ends]
+    total = len(lane) + len(close)
+    lanes, values, widths = np.empty(total, np.int64), np.full(total, code.value[0]), np.full(total, code.length[0])
+    lanes[at], values[at], widths[at] = lane, value, bits
+    lanes[close] = np.flatnonzero(ends)
+    return lanes, values, widths
 
 
 def _refine_tokens(c: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
