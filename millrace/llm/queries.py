@@ -125,4 +125,31 @@ SELECT b.page_id, b.payload_bytes, b.payload_digest,
 FROM base b LEFT JOIN first f ON b.payload_digest = f.payload_digest AND b.payload_bytes >= 100
 """
 
-ORACLES: dict[str, str] = {"op6_warc": OP6_SQL, "op5_mixing": OP5_SQL}
+OP2_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS sh FROM w
+), n AS (SELECT doc_id, len(sh)::BIGINT AS n_shingles FROM s), t AS (SELECT doc_id, unnest(sh) AS g FROM s
+), c AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM t a JOIN t b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n_shingles + y.n_shingles - c)
+), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r(doc_id, label) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.b, r.label FROM r JOIN e ON e.a = r.doc_id)
+SELECT n.doc_id, n.n_shingles, min(r.label) AS component_id FROM n JOIN r USING (doc_id) GROUP BY ALL
+"""
+
+OP3_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e, embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x != 0)) > 0 AS good FROM embeddings
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id != b.vec_id AND a.good AND b.good WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), r(vec_id, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.vec_id
+), m AS (SELECT vec_id, min(c) AS component_id FROM r GROUP BY vec_id), k AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM m LEFT JOIN k USING (vec_id)
+"""
+
+ORACLES: dict[str, str] = {"op2_ngram_join": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op6_warc": OP6_SQL, "op5_mixing": OP5_SQL}
