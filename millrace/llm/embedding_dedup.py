@@ -1,7 +1,8 @@
 """Near-duplicate search over embeddings by a pivot-permutation index.
 
-Reference points (pivots) are a bounded random sample of the vectors.  A vector
-is described by its PREFIX nearest pivots in order; each pivot's inverted list
+Reference points (pivots) are taken from a bounded random sample of the vectors, each
+at some distance from all others: inside a large group of near copies many pivots would
+be about equally near, and their order chance.  A vector is described by its PREFIX nearest pivots in order; each pivot's inverted list
 holds the vectors that have it in their description, and vectors are retrieved
 together when they share at least SHARED pivots.  Posting a vector under each
 SHARED-subset of its description makes every such pair meet in one list, so the
@@ -34,15 +35,27 @@ from .components import connected_components
 
 #: Pivots (a bounded sample, also the width of a bit mask), length of a description, pivots to share.
 PIVOTS, PREFIX, SHARED = 62, 5, 2
+#: Vectors among which pivots are looked for, and the cosine two pivots stay below.
+CANDIDATES, APART = 2048, 0.8
 #: Vectors in a block of a list.
 BLOCK = 512
 
 
 def choose_pivots(vectors: DataFrame, pivots: int = PIVOTS) -> np.ndarray:
-    """Unit pivots: the ``pivots`` different vectors of least hash."""
-    rows = vectors.select(F.xxhash64("v").alias("h"), "v").distinct().orderBy("h", "v").limit(pivots).collect()
+    """Unit pivots: of the CANDIDATES different vectors of least hash, in that order, those not near an earlier one.
+    Fewer than ``pivots`` where the candidates have no more; lists are longer then, never less complete."""
+    rows = vectors.select(F.xxhash64("v").alias("h"), "v").distinct().orderBy("h", "v").limit(max(CANDIDATES, pivots)).collect()
     x = np.array([r.v for r in rows], float)
-    return x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x
+    if not len(x):
+        return x
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    chosen: list[int] = []
+    nearest = np.full(len(x), -2.0)
+    while len(chosen) < pivots and (nearest < APART).any():
+        chosen.append(int((nearest < APART).argmax()))
+        nearest = np.maximum(nearest, x @ x[chosen[-1]])
+        nearest[chosen[-1]] = 1.0
+    return x[chosen]
 
 
 def describe(x: np.ndarray, pivots: np.ndarray, prefix: int = PREFIX) -> np.ndarray:
@@ -176,6 +189,7 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     classes = cut(good.groupBy("label", "h").agg(F.min("key").alias("node"), F.count("*").alias("copies")), "classes")
     nodes = cut(good.join(classes, ["label", "h"]).filter("key = node").select("label", "h", "node", "copies", "v").dropDuplicates(["label", "h"]), "nodes")
     points = choose_pivots(nodes, pivots)
+    shared = min(shared, max(1, len(points)))
     links = None
     if len(points):
         posts = _postings(nodes, points, prefix, shared)

@@ -37,6 +37,21 @@ def test_against_all_pairs(spark):
         assert all(r.kept == (r.vec_id == r.component_id) for r in near_duplicates(df, block=block).collect())
 
 
+def test_third_of_the_rows_in_one_group_of_near_copies(spark):
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    centre, x = unit(rng.normal(size=64)), unit(rng.normal(size=(900, 64)))
+    off = unit(x[:300] - np.outer(x[:300] @ centre, centre))
+    x[:300] = np.sqrt(0.96) * centre + np.sqrt(0.04) * off
+    for part in (x, x[:300]):  # among others, and alone: one pivot
+        linked = part @ part.T >= 0.93
+        df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(part)], "vec_id long, embedding array<double>, label int")
+        got = {r.vec_id: r for r in near_duplicates(df).collect()}
+        assert all(got[i].n_links <= n for i, n in enumerate(linked.sum(1) - 1))
+        assert sum(r.n_links for r in got.values()) >= 0.9 * (linked.sum() - len(part)) > 0
+        assert all(got[i].component_id == 0 for i in range(300))
+
+
 def test_null_key_and_empty_table(spark):
     df = spark.createDataFrame([(None, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [1.0, 0.0], 1)], "vec_id long, embedding array<double>, label int")
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_duplicates(df).collect()}
