@@ -101,3 +101,22 @@ def blocked_top_k(left: DataFrame, right: DataFrame, block: list[str], left_id:
     pairs = left.join(right, block).filter(differ).withColumn("score", score)
     rank = F.row_number().over(Window.partitionBy(left_id).orderBy(F.desc("score"), tie))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select(*block, left_id, right_id, "score", "rank")
+
+
+def best_by_tiers(rows: DataFrame, block: list[str], id_col: str, tiers: list[tuple[str, int]], rest: int) -> DataFrame:
+    """The partner (``other``, ``score``) of each row among the other rows of its block: of equal value in the first tier
+    that has one, else any (score ``rest``); the least id.  Ids are distinct.  Rows alone in their block are left out.
+
+    The partner by a column is the least id of its value, or the second least for that row itself: the two least ids of a
+    value are all that is joined, never pairs of rows.  A null value has no partner in its tier."""
+    out = rows
+    for i, (value, _) in enumerate([*tiers, (None, rest)]):
+        by = [*block, value] if value else block
+        least = rows.groupBy(*by).agg(F.min(id_col).alias("_least"))
+        second = rows.join(least, by).filter(F.col(id_col) != F.col("_least")).groupBy(*by).agg(F.min(id_col).alias("_second"))
+        two = least.join(second, by)
+        out = out.join(two, by, "left").withColumn(f"_p{i}", F.when(F.col(id_col) == F.col("_least"), F.col("_second")).otherwise(F.col("_least"))).drop("_least", "_second")
+    found = [F.col(f"_p{i}").isNotNull() for i in range(len(tiers) + 1)]
+    score = F.coalesce(*[F.when(f, F.lit(s)) for f, s in zip(found, [*(s for _, s in tiers), rest], strict=True)])
+    out = out.withColumn("other", F.coalesce(*[f"_p{i}" for i in range(len(tiers) + 1)])).withColumn("score", score)
+    return out.filter("other IS NOT NULL").drop(*[f"_p{i}" for i in range(len(tiers) + 1)])

@@ -185,6 +185,18 @@ FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_partkey != b.p_partkey QUALIF
 """
 
 
+def cascade_match_all(spark: SparkSession, d: str) -> DataFrame:
+    """The best partner of every part in its brand, by the tiers of ``cascade_match_best``, whatever the part's size."""
+    p = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", F.substring_index("p_type", " ", 1).alias("word"), "p_size")
+    return joins.best_by_tiers(p, ["p_brand"], "p_partkey", [("p_type", 100), ("word", 60), ("p_size", 30)], 1).select("p_brand", "p_partkey", "other", "score")
+
+
+CASCADE_ALL_SQL = """
+SELECT a.p_brand, a.p_partkey, b.p_partkey AS other, CASE WHEN a.p_type = b.p_type THEN 100 WHEN split_part(a.p_type, ' ', 1) = split_part(b.p_type, ' ', 1) THEN 60 WHEN a.p_size = b.p_size THEN 30 ELSE 1 END AS score
+FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey != b.p_partkey QUALIFY row_number() OVER (PARTITION BY a.p_partkey ORDER BY score DESC, b.p_partkey) = 1
+"""
+
+
 def compat_rules_join(spark: SparkSession, d: str) -> DataFrame:
     """Nation pairs in one region that no rule blocks; an empty rule side stands for any nation."""
     n = table(spark, d, "nation")
@@ -474,7 +486,7 @@ QUERIES = {
     "dup_policy_last": (dup_policy_last, LAST_SQL), "dup_policy_first": (dup_policy_first, FIRST_SQL), "unmatched_counts": (unmatched_counts, UNMATCHED_SQL), "coverage_join": (coverage_join, COVER_SQL),
     "precedence_join": (precedence_join, PRECEDENCE_SQL), "unanimous_fallback_join": (unanimous_fallback_join, UNANIMOUS_SQL), "ancestor_path_join": (ancestor_path_join, ANCESTOR_SQL),
     "longest_prefix_join": (longest_prefix_join, PREFIX_SQL), "nearest_join_tolerance": (nearest_join_tolerance, NEAREST_SQL), "interval_contains": (interval_contains, INTERVAL_SQL),
-    "blocked_pair_topk": (blocked_pair_topk, BLOCKED_SQL), "cascade_match_best": (cascade_match_best, CASCADE_SQL), "compat_rules_join": (compat_rules_join, COMPAT_SQL), "upsert_merge": (upsert_merge, UPSERT_SQL),
+    "blocked_pair_topk": (blocked_pair_topk, BLOCKED_SQL), "cascade_match_best": (cascade_match_best, CASCADE_SQL), "cascade_match_all": (cascade_match_all, CASCADE_ALL_SQL), "compat_rules_join": (compat_rules_join, COMPAT_SQL), "upsert_merge": (upsert_merge, UPSERT_SQL),
     "overlap_exact_normalised": (overlap_normalised, OVERLAP_SQL), "dedup_signature": (dedup_signature, DEDUP_SQL), "reasoned_filter": (reasoned_filter, REASON_SQL), "failed_rule_tags": (failed_rule_tags, TAGS_SQL),
     "keyword_bucket": (keyword_bucket, KEYWORD_SQL), "tag_extract": (tag_extract, TAG_SQL), "url_parts": (url_parts, URL_SQL), "last_message_by_role": (last_message_by_role, MESSAGE_SQL), "box_overlap": (box_overlap, BOX_SQL),
     "variant_expand": (variant_expand, VARIANT_SQL), "pair_swap_control": (pair_swap_control, SWAP_SQL), "label_cycle": (label_cycle, CYCLE_SQL), "capped_assignment": (capped_assignment, ASSIGN_SQL),

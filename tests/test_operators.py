@@ -96,3 +96,15 @@ def test_assignment_respects_caps(spark):
     got = assign.capped_assignment(frame(spark, rows, "t int, d int, s double"), "t", "d", "s", 5, 4).collect()
     used = [r.d for r in got]
     assert len({r.t for r in got}) == len(got) == 20 and all(used.count(d) == 5 for d in range(4))
+
+
+def test_best_partner_of_every_row(spark):
+    from millrace.plans import REGISTRY
+
+    parts = spark.read.parquet("/root/testdata/sf0.001/part.parquet").select("p_partkey", "p_brand").collect()
+    got = REGISTRY["cascade_match_all"][0](spark, "/root/testdata/sf0.001").collect()
+    brands = [r.p_brand for r in parts]
+    assert sorted(r.p_partkey for r in got) == sorted(r.p_partkey for r in parts if brands.count(r.p_brand) > 1)
+    df = frame(spark, [(1, "a", "x"), (2, "a", "x"), (3, "a", None), (4, "a", None), (5, "b", "x")], "id int, b string, v string")
+    best = {r.id: (r.other, r.score) for r in joins.best_by_tiers(df, ["b"], "id", [("v", 9)], 1).collect()}
+    assert best == {1: (2, 9), 2: (1, 9), 3: (1, 1), 4: (1, 1)}
