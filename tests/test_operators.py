@@ -108,3 +108,11 @@ def test_best_partner_of_every_row(spark):
     df = frame(spark, [(1, "a", "x"), (2, "a", "x"), (3, "a", None), (4, "a", None), (5, "b", "x")], "id int, b string, v string")
     best = {r.id: (r.other, r.score) for r in joins.best_by_tiers(df, ["b"], "id", [("v", 9)], 1).collect()}
     assert best == {1: (2, 9), 2: (1, 9), 3: (1, 1), 4: (1, 1)}
+
+
+def test_counts_keep_rare_tokens(spark, tmp_path):
+    from millrace.plans import REGISTRY
+
+    frame(spark, [(1, "en", "one two two"), (2, "de", "One")], "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.lang, r.token): r.n for r in REGISTRY["explode_counts_all"][0](spark, str(tmp_path)).collect()}
+    assert got == {("en", "one"): 1, ("en", "two"): 2, ("de", "one"): 1}
