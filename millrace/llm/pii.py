@@ -11,7 +11,10 @@ everywhere, however they are written.
 
 Distinctness is checked over the whole corpus: where two entities of a kind would
 share a surrogate, or a surrogate is itself an entity of the corpus, all but the
-first draw anew, in rounds, until no clash is left.
+first draw anew, in rounds, until no clash is left.  The space grows with the rounds:
+later draws add letters to a mailbox, family names and letters to a name, digits to a phone
+number, so any number of entities finds room.  Addresses, national and card numbers have a
+fixed form and only its own space.
 
 Null texts stay null with no entities; texts without entities stay as they are.
 Other columns, also of clashing names, are carried untouched only if asked for.
@@ -46,6 +49,8 @@ FAMILIES = {
     "latin": "Abel Arnold Bauer Becker Bell Blanco Brown Carter Colin Cook Costa Cruz Duval Ellis Fischer Ford Garnier Gomez Grant Hall Hart Jung Keller Klein Lambert Lang Lopez Marin Mason Meyer Moreau Navarro Noel Ortiz Parker Perrin Reed Rey Roth Rubio Sauer Silva Stone Torres Vidal Vogel Wagner Walker Winter Young".split(),
     "cyrillic": "Белов Волков Громов Жуков Зайцев Ковалёв Лебедев Морозов Новиков Орлов Павлов Романов Соколов Титов Фролов".split(),
 }
+#: Sixteen letters a script, which later draws append to a name.
+LETTERS = {"latin": "aeioubcdfghklmnr", "cyrillic": "аеиоубвгдзклмнрс"}
 KINDS = ("email", "ip", "national", "card", "phone", "name")
 KEY = "surrogates-1"
 #: Overrides up to which the table of redrawn entities is broadcast.
@@ -95,6 +100,12 @@ def _digits(hexes: Column) -> Column:
     return F.concat(*[F.substring(F.lpad(_number(hexes, 1 + 8 * i, 8).cast("string"), 10, "0"), 6, 5) for i in range(8)])
 
 
+def _longer(hexes: Column, n: Column, letters: str = "aeioubcdfghklmnr") -> Column:
+    """``n`` further letters, from the end of a hash; none where ``n`` is not positive."""
+    n = F.least(F.greatest(n, F.lit(0)), F.lit(32))
+    return F.translate(F.substring(hexes, F.lit(65) - n, n), "0123456789abcdef", letters)
+
+
 def _shaped(e: Column, digits: Column, letters: Column) -> Column:
     """``e`` with its i-th character replaced by a digit or a letter of the same case at place i."""
     def one(c: Column, i: Column) -> Column:
@@ -122,10 +133,10 @@ def _check_digit(body: Column) -> Column:
     return F.pmod(F.lit(10) - F.pmod(total, F.lit(10)), F.lit(10)).cast("string")
 
 
-def _email(e: Column, h: Column, key: str) -> Column:
+def _email(e: Column, h: Column, attempt: Column, key: str) -> Column:
     letters = F.translate(h, "0123456789abcdef", "aeioubcdfghklmnr")
     domain = _draw(F.lower(F.substring_index(e, "@", -1)), F.lit(0), key)
-    return let(F.struct(_digits(h).alias("d"), letters.alias("l")), lambda x: F.concat(_shaped(F.substring_index(e, "@", 1), x["d"], x["l"]), F.lit("@mail"), F.pmod(_number(domain, 1), F.lit(1000)).cast("string"), F.lit(".example.org")))
+    return let(F.struct(_digits(h).alias("d"), letters.alias("l")), lambda x: F.concat(_shaped(F.substring_index(e, "@", 1), x["d"], x["l"]), _longer(h, attempt * 4), F.lit("@mail"), F.pmod(_number(domain, 1), F.lit(1000)).cast("string"), F.lit(".example.org")))
 
 
 def _address(h: Column) -> Column:
@@ -136,14 +147,15 @@ def _name(e: Column, h: Column, attempt: Column) -> Column:
     def named(script: str) -> Column:
         given = F.when(e.rlike(f"^{MALE}\\b"), _pick(NAMES[script, "m"], _number(h, 1))).otherwise(_pick(NAMES[script, "f"], _number(h, 1)))
         more = [F.when(attempt > least, F.concat(F.lit("-"), _pick(FAMILIES[script], _number(h, at)))).otherwise("") for least, at in ((0, 17), (2, 25))]
-        family = F.concat(_pick(FAMILIES[script], _number(h, 9)), *more)
+        family = F.concat(_pick(FAMILIES[script], _number(h, 9)), *more, _longer(h, (attempt - 2) * 2, LETTERS[script]))
         return F.when(e.rlike(r" \S+ "), F.concat_ws(" ", given, family)).otherwise(family)
 
     return F.concat_ws(" ", F.substring_index(e, " ", 1), F.when(e.rlike(r" \p{IsCyrillic}"), named("cyrillic")).otherwise(named("latin")))
 
 
-def _numeric(e: Column, kind: Column, h: Column) -> Column:
-    """Cards keep their first digit and a valid check digit, phones their country code; others are digits in place."""
+def _numeric(e: Column, kind: Column, h: Column, attempt: Column) -> Column:
+    """Cards keep their first digit and a valid check digit, phones their country code; others are digits in place.
+    From the third draw again on, a phone number gets further digits at its end."""
     plain = F.regexp_replace(e, r"\D", "")
 
     def body(x: Column) -> Column:
@@ -151,7 +163,8 @@ def _numeric(e: Column, kind: Column, h: Column) -> Column:
         country = F.substring(x["p"], F.lit(1), F.length(F.regexp_extract(e, r"^\+(\d{1,3})(?=\D)", 1)))
         return F.when(kind == "card", card).when(kind == "phone", F.concat(country, F.lit("2"), x["d"])).otherwise(x["d"])
 
-    return let(let(F.struct(plain.alias("p"), _digits(h).alias("d")), body), lambda digits: _digits_into(e, digits))
+    more = F.when(kind == "phone", _longer(h, attempt - 2, "0123456789012345")).otherwise("")
+    return F.concat(let(let(F.struct(plain.alias("p"), _digits(h).alias("d")), body), lambda digits: _digits_into(e, digits)), more)
 
 
 def surrogate(e: Column, attempt: Column | None = None, key: str = KEY) -> Column:
@@ -161,7 +174,7 @@ def surrogate(e: Column, attempt: Column | None = None, key: str = KEY) -> Colum
     def made(kind: Column) -> Column:
         return let(
             _draw(_canonical(e, kind), attempt, key),
-            lambda h: F.when(kind == "email", _email(e, h, key)).when(kind == "ip", _address(h)).when(kind == "name", _name(e, h, attempt)).otherwise(_numeric(e, kind, h)),
+            lambda h: F.when(kind == "email", _email(e, h, attempt, key)).when(kind == "ip", _address(h)).when(kind == "name", _name(e, h, attempt)).otherwise(_numeric(e, kind, h, attempt)),
         )
 
     return let(kind_of(e), made)

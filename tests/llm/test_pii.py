@@ -51,3 +51,18 @@ def test_other_key_and_empty_table(spark):
     df = spark.createDataFrame([(1, "mail a.b@c.org")], "doc_id long, text string")
     assert replace_entities(df, secret="k1").first().text != replace_entities(df, secret="k2").first().text
     assert replace_entities(df.limit(0)).collect() == []
+
+
+def test_more_entities_than_the_first_surrogates_hold(spark):
+    from pyspark.sql import functions as F
+
+    from millrace.llm.pii import canonical, surrogate
+
+    upper, lower = "АБВГДЕЖЗИКЛМНОПРСТУФ", "абвгдежзиклмнопрстуф"
+    names = [f"Господин {a}{b}{c}ов" for a in upper for b in lower for c in lower][:4200]
+    mails = [f"{c}@x.com" for c in "abcdefghijklmnopqrstuvwxyz0123456789"] + ["_@x.com", "-@x.com", "%@x.com"]
+    phones = [f"+1 {n // 100:02d} {n % 100:02d}" for n in range(1500)]
+    df = spark.createDataFrame([(e,) for e in names + mails + phones], "e string").withColumn("canon", canonical(F.col("e")))
+    made = df.join(redrawn(df), "canon", "left").select("e", surrogate(F.col("e"), F.coalesce("attempt", F.lit(0))).alias("s")).collect()
+    assert len({r.s for r in made}) == len(made) == 5739
+    assert not {r.s for r in made} & {r.e for r in made}
