@@ -1,17 +1,21 @@
 """Secret scan: three fixed patterns plus dictionary-primed zstandard novelty.
 
 The patterns find assignments, access keys and long hex runs.  The novelty
-method looks at every further token of key-like characters that stands shortly
-after a sensitive word: it compresses the code before the token with and without
-the token, under a zstandard dictionary of identifiers and common code words.
+method looks at every further token of key-like characters in a block (lines up to
+blank ones) with a sensitive word, before or after it: it compresses the code before
+the token with and without the token, under a zstandard dictionary of identifiers and
+common code words, the document's own identifiers and the text on both sides.
 The bytes the token adds, over its length, say how little of it the dictionary
-and its surroundings explain; what stays incompressible is reported.
+and its surroundings explain; what stays incompressible is reported.  Further copies
+of a token don't explain it, unless the document uses it as an identifier elsewhere.
+The body of a private key between PEM lines is one finding, across blank lines, too.
 
 Null text counts as empty and has no spans.  Offsets are code points.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -28,9 +32,14 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
-SENSITIVE = re.compile(r"password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer|authorization|auth|signature", re.IGNORECASE | re.ASCII)
-#: Characters before a token that are searched for a sensitive word and that prime its compression.
-CONTEXT = 48
+SENSITIVE = re.compile(r"password|passwd|pwd|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|credential|bearer|authorization|auth|signature", re.IGNORECASE | re.ASCII)
+BLANK = re.compile(r"\n[ \t\r]*\n")
+#: A private key; its body ends at the next dashes or, where these are missing, with the last line that is part of a key.
+PEM = re.compile(r"""-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:((?:(?!-----).)+)(?=-----END)|((?:(?:\s|\\[nr]|["'+,])*[A-Za-z0-9+/=]{16,})+))""", re.DOTALL)
+#: Words that code calls, sets, opens, defines or reaches through a dot.
+USED = re.compile(r"""(?<![\w"'+/=-])(?:(?:def|class|function|func|fn|var|let|const|import)\x20+([A-Za-z_]\w{3,})|([A-Za-z_]\w{3,})(?=\x20?\(|\x20?=(?!=)|\.[A-Za-z_]|\[))|(?<=[\w)\]]\.)([A-Za-z_]\w{3,})(?![\w+/=-])""", re.ASCII)
+#: Characters before a token that are compressed with it, and on both sides of it that prime the compression.
+CONTEXT, AROUND = 48, 1024
 #: Least marginal compressed bytes a character for a token to be reported.
 NOVELTY = 0.55
 #: Fixed words that prime the compressor.
@@ -61,14 +70,49 @@ class Novelty:
     """Marginal compressed bytes of a token after its context, under the primed compressor."""
 
     def __init__(self):
-        import zstandard
+        self.packer = self.primed("")
 
-        primed = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        self.packer = zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False, write_checksum=False)
+    @staticmethod
+    def primed(more: str):
+        import zstandard
 
-    def __call__(self, before: str, token: str) -> float:
-        plain = len(self.packer.compress(before.encode()))
-        return (len(self.packer.compress((before + token).encode())) - plain) / len(token)
+        words = zstandard.ZstdCompressionDict((more + IDENTIFIERS).encode(errors="replace"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return zstandard.ZstdCompressor(level=9, dict_data=words, write_content_size=False, write_checksum=False)
+
+    def __call__(self, before: str, token: str, surroundings: str = "") -> float:
+        packer = self.primed(surroundings) if surroundings else self.packer
+        plain = len(packer.compress(before.encode(errors="replace")))
+        return (len(packer.compress((before + token).encode(errors="replace"))) - plain) / len(token)
+
+
+class Surroundings:
+    """What a document says about a token: whether its block is sensitive, and what may explain the token."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.ends = [m.start() for m in BLANK.finditer(text)]
+        self.sensitive: dict[int, tuple[int, int]] = {}
+        self.used: dict[str, list[int]] | None = None
+
+    def is_sensitive(self, start: int, end: int) -> bool:
+        """Whether a sensitive word stands in the block beside the token; a word inside a token is none of its own."""
+        k = bisect.bisect_left(self.ends, start)
+        left, right = self.ends[k - 1] if k else 0, self.ends[k] if k < len(self.ends) else len(self.text)
+        if k not in self.sensitive:
+            words = [m.span() for m in SENSITIVE.finditer(self.text, left, right)]
+            self.sensitive[k] = (words[0][1], words[-1][0]) if words else (len(self.text) + 1, -1)
+        first_end, last_start = self.sensitive[k]
+        return first_end <= start or last_start >= end
+
+    def around(self, start: int, end: int) -> str:
+        """The document's identifiers used elsewhere, and the text on both sides without copies of the token."""
+        if self.used is None:
+            self.used = {}
+            for m in USED.finditer(self.text):
+                self.used.setdefault(m[m.lastindex], []).append(m.start(m.lastindex))
+        names = [w for w, at in self.used.items() if any(not start <= a < end for a in at)]
+        sides = self.text[max(0, start - AROUND) : start] + " " + self.text[end : end + AROUND]
+        return " ".join([sides.replace(self.text[start:end], " "), *names, ""])
 
 
 def spans(text: str | None, novelty: Novelty) -> list[tuple[int, int, int]]:
@@ -78,15 +122,22 @@ def spans(text: str | None, novelty: Novelty) -> list[tuple[int, int, int]]:
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    base = sorted(found)
+    taken = sorted(found)
+    for m in PEM.finditer(text) if "PRIVATE KEY" in text else ():
+        body = m[m.lastindex]
+        start, end = m.start(m.lastindex) + len(body) - len(body.lstrip()), m.end() - len(body) + len(body.rstrip())
+        if end - start >= 16 and novelty("", text[start:end]) >= NOVELTY:
+            found.append((start, 3, end))
+            taken.append((start, 3, end))
+    document = Surroundings(text)
     for m in TOKEN.finditer(text):
-        before = text[max(0, m.start() - CONTEXT) : m.start()]
         token = m[0]
-        if not SENSITIVE.search(before) or not (re.search(r"[0-9]", token) and re.search(r"[A-Za-z]", token)):
+        if not (re.search(r"[0-9]", token) and re.search(r"[A-Za-z]", token)) or not document.is_sensitive(m.start(), m.end()):
             continue
-        if any(s < m.end() and m.start() < e for s, _, e in base):
+        if any(s < m.end() and m.start() < e for s, _, e in taken):
             continue
-        if novelty(before, token) >= NOVELTY:
+        before = text[max(0, m.start() - CONTEXT) : m.start()].replace(token, " ")
+        if novelty(before, token) >= NOVELTY and novelty(before, token, document.around(m.start(), m.end())) >= NOVELTY:
             found.append((m.start(), 3, m.end()))
     return sorted(found)
 
