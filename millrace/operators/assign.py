@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` below ``spark.checkpoint.dir`` and read it back, so that rounds don't nest their plans."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/millrace/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def capped_assignment(candidates: DataFrame, target: str, donor: str, score: str, cap: int, rounds: int) -> DataFrame:
     """(target, donor, score, round): each target at most once, each donor at most ``cap`` times.
 
@@ -26,3 +41,32 @@ def capped_assignment(candidates: DataFrame, target: str, donor: str, score: str
         taken = asked.withColumn("_r", rank).filter(F.col("_r") <= cap - F.coalesce("_used", F.lit(0))).select(target, donor, score, F.lit(turn).alias("round"))
         done = taken if done is None else done.unionByName(taken)
     return done
+
+
+def assign_all(candidates: DataFrame, target: str, donor: str, score: str, cap: int) -> DataFrame:
+    """(target, donor, score, round, reason): every target of ``candidates`` once, each donor at most ``cap`` times.
+
+    The rounds of ``capped_assignment`` until one accepts nothing.  As long as an open target has a donor with room, it
+    proposes, and a donor that is asked accepts at least one; so a target stays open only if all its donors are full.
+    It then has no donor, score and round, and the reason "all donors full"; a target whose donors or scores are all
+    null has "no donor"."""
+    valid = candidates.filter(F.col(donor).isNotNull() & F.col(score).isNotNull())
+    open_ = _cut(valid.groupBy(target, donor).agg(F.max(score).alias(score)).withColumn("_room", F.lit(cap).cast("long")))
+    done = None
+    turn = 0
+    while True:
+        best = open_.groupBy(target).agg(F.min(F.struct((-F.col(score)).alias("_s"), F.col(donor).alias("_d"), "_room")).alias("_b"))
+        asked = best.select(target, F.col("_b._d").alias(donor), (-F.col("_b._s")).alias(score), F.col("_b._room").alias("_room"))
+        rank = F.row_number().over(Window.partitionBy(donor).orderBy(F.desc(score), target))
+        taken = _cut(asked.withColumn("_r", rank).filter(F.col("_r") <= F.col("_room")).select(target, donor, score, F.lit(turn).alias("round")))
+        if taken.isEmpty():
+            break
+        done = taken if done is None else _cut(done.unionByName(taken))
+        used = taken.groupBy(donor).agg(F.count("*").alias("_new"))
+        left = open_.join(taken.select(target), target, "left_anti").join(used, donor, "left")
+        open_ = _cut(left.withColumn("_room", F.col("_room") - F.coalesce("_new", F.lit(0))).filter("_room > 0").select(target, donor, score, "_room"))
+        turn += 1
+    done = taken if done is None else done
+    every = candidates.groupBy(target).agg(F.max(F.col(donor).isNotNull() & F.col(score).isNotNull()).alias("_any"))
+    reason = F.when(F.col("round").isNull(), F.when(F.col("_any"), "all donors full").otherwise("no donor"))
+    return every.join(done, target, "left").select(target, donor, score, "round", reason.alias("reason"))

@@ -393,6 +393,26 @@ SELECT l_orderkey, l_suppkey, score, 0 AS round FROM r1 UNION ALL SELECT l_order
 """
 
 
+def assignment_until_full(spark: SparkSession, d: str) -> DataFrame:
+    """``capped_assignment`` in as many rounds as accept anything, with the orders that stay open and why."""
+    c = table(spark, d, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.sum("l_quantity").alias("score"))
+    return assign.assign_all(c, "l_orderkey", "l_suppkey", "score", 3)
+
+
+ASSIGN_ALL_SQL = """
+WITH RECURSIVE s AS (
+  SELECT l_orderkey, l_suppkey, sum(l_quantity) AS score, 3::BIGINT AS room, NULL::INT AS round, 0 AS turn, true AS going FROM lineitem GROUP BY l_orderkey, l_suppkey
+  UNION ALL
+  SELECT l_orderkey, l_suppkey, score, room - (sum(taken) OVER (PARTITION BY l_suppkey))::BIGINT, CASE WHEN taken = 1 THEN turn ELSE round END, turn + 1, max(taken) OVER () = 1
+  FROM (SELECT *, CASE WHEN asked AND row_number() OVER (PARTITION BY l_suppkey, asked ORDER BY score DESC, l_orderkey) <= room THEN 1 ELSE 0 END AS taken
+    FROM (SELECT *, open AND row_number() OVER (PARTITION BY l_orderkey, open ORDER BY score DESC, l_suppkey) = 1 AS asked
+      FROM (SELECT *, room > 0 AND max(round) OVER (PARTITION BY l_orderkey) IS NULL AS open FROM s WHERE going)))
+), e AS (SELECT * FROM s WHERE turn = (SELECT max(turn) FROM s))
+SELECT l_orderkey, l_suppkey, score, round, NULL AS reason FROM e WHERE round IS NOT NULL
+UNION ALL SELECT l_orderkey, NULL, NULL, NULL, 'all donors full' FROM e GROUP BY l_orderkey HAVING max(round) IS NULL
+"""
+
+
 def content_digest(spark: SparkSession, d: str) -> DataFrame:
     """Digest of each region's nations: rows in order, hashed together."""
     n = table(spark, d, "nation").select("n_regionkey", F.concat_ws("|", "n_nationkey", "n_name").alias("row"))
@@ -489,7 +509,7 @@ QUERIES = {
     "blocked_pair_topk": (blocked_pair_topk, BLOCKED_SQL), "cascade_match_best": (cascade_match_best, CASCADE_SQL), "cascade_match_all": (cascade_match_all, CASCADE_ALL_SQL), "compat_rules_join": (compat_rules_join, COMPAT_SQL), "upsert_merge": (upsert_merge, UPSERT_SQL),
     "overlap_exact_normalised": (overlap_normalised, OVERLAP_SQL), "dedup_signature": (dedup_signature, DEDUP_SQL), "reasoned_filter": (reasoned_filter, REASON_SQL), "failed_rule_tags": (failed_rule_tags, TAGS_SQL),
     "keyword_bucket": (keyword_bucket, KEYWORD_SQL), "tag_extract": (tag_extract, TAG_SQL), "url_parts": (url_parts, URL_SQL), "last_message_by_role": (last_message_by_role, MESSAGE_SQL), "box_overlap": (box_overlap, BOX_SQL),
-    "variant_expand": (variant_expand, VARIANT_SQL), "pair_swap_control": (pair_swap_control, SWAP_SQL), "label_cycle": (label_cycle, CYCLE_SQL), "capped_assignment": (capped_assignment, ASSIGN_SQL),
+    "variant_expand": (variant_expand, VARIANT_SQL), "pair_swap_control": (pair_swap_control, SWAP_SQL), "label_cycle": (label_cycle, CYCLE_SQL), "capped_assignment": (capped_assignment, ASSIGN_SQL), "assignment_until_full": (assignment_until_full, ASSIGN_ALL_SQL),
     "content_digest": (content_digest, DIGEST_SQL), "status_fold": (status_fold, FOLD_SQL), "tumbling_2h": (tumbling_2h, TUMBLING_SQL), "sliding_6h": (sliding_6h, SLIDING_SQL), "lineage_upsert": (lineage_upsert, LINEAGE_SQL),
     "modal_caption": (modal_caption, MODAL_SQL), "zip_join": (zip_join, ZIP_SQL), "topk_per_key": (topk_per_key, TOPK_SQL), "top1_tuple": (top1_tuple, TOP1_SQL),
 }

@@ -116,3 +116,15 @@ def test_counts_keep_rare_tokens(spark, tmp_path):
     frame(spark, [(1, "en", "one two two"), (2, "de", "One")], "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {(r.lang, r.token): r.n for r in REGISTRY["explode_counts_all"][0](spark, str(tmp_path)).collect()}
     assert got == {("en", "one"): 1, ("en", "two"): 2, ("de", "one"): 1}
+
+
+def test_assignment_goes_on_until_donors_are_full(spark):
+    # Everyone's preference is donor 0, then 1, and so on: a round fills one donor.
+    rows = [(t, d, float(100 - 10 * d)) for t in range(14) for d in range(4)] + [(50, None, None), (51, 9, 1.0)]
+    got = {r.t: r for r in assign.assign_all(frame(spark, rows, "t int, d int, s double"), "t", "d", "s", 3).collect()}
+    want, used = {}, {}
+    for t, d, _ in sorted((r for r in rows if r[1] is not None), key=lambda r: (-r[2], r[0])):  # greedy, best pair first
+        if t not in want and used.get(d, 0) < 3:
+            want[t], used[d] = d, used.get(d, 0) + 1
+    assert {t: r.d for t, r in got.items() if r.d is not None} == want and max(r.round for r in got.values() if r.d is not None) == 3
+    assert {t: r.reason for t, r in got.items() if r.reason} == {12: "all donors full", 13: "all donors full", 50: "no donor"}
