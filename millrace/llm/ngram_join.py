@@ -13,11 +13,23 @@ together outlast tau.  The number of classes follows the set's size (in bands of
 powers of two; a node also serves the next band if a partner may lie there), so
 the indexed combinations stay in proportion to the set.
 
-The candidate search must find what is connected, not every pair: each bucket
-first verifies its members against one hub; what that connects is contracted,
-and only pairs across different components are tested after it.  Size and a
-parity bitmap (the bits on which two bitmaps differ never outnumber the shingles
-on which the sets differ) drop hopeless pairs; the rest are verified on the full sets.
+Buckets with the same members count once.  A bucket of up to BUCKET nodes is
+searched pair by pair; size and a parity bitmap (the bits on which two bitmaps
+differ never outnumber the shingles on which the sets differ) drop hopeless pairs
+inside the join.  In a larger bucket the combination is extended by a further
+token instead, so that no large bucket is ever paired: against the core, which is the
+shingles that most members have, every member x has the difference D(x), and x and y
+link exactly if D(x) and D(y) differ in at most c (n(x) + n(y)) shingles, c = (1 - t) /
+(1 + t).  With e(x) = |D(x)| - c n(x), pairs of e(x) + e(y) <= 0 link whatever they
+hold, and all of them link with the member of least e: one star connects them.  All
+others share a shingle of D: of the one with the lower e among its first c n + 1, of
+the other among its first (1 / t - 1) n + 1, in order of how many members have it
+there.  These are the next buckets.  Their members agree on that shingle, so it is in
+none of the next differences, and this ends.
+
+The search finds what is connected, not every pair: members of one component
+are not compared again.  Candidates are verified on the full sets under a hash
+that is independent of the index's.
 
 Rows with a null key get no component and link with nothing; null and wordless
 texts have empty sets and are their own component.  Rows that repeat a key are one
@@ -49,8 +61,12 @@ SHORTER = 16
 BITMAP = 512
 #: Rows of a list of ids up to which it is broadcast (24 MB at most); beyond it a shuffled join is used.
 BROADCAST_IDS = 1_000_000
-#: Remaining pairs for each indexed row beyond which another hub round comes first, and the most of these rounds.
-PAIRS_A_ROW, HUB_ROUNDS = 4, 2
+#: Nodes up to which a bucket is searched pair by pair.
+BUCKET = 64
+#: Shingles of cores up to which these are broadcast (32 MB).
+BROADCAST_SHINGLES = 4_000_000
+#: Seed of the hash that verifies; the index has seed 0.
+VERIFIER = 1
 #: Bytes of text that are hashed at once.
 CHUNK = 1 << 20
 
@@ -67,21 +83,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct 64-bit shingle hashes of many texts at once, from Arrow's buffers."""
 
-    def __init__(self, words: int):
+    def __init__(self, words: int, seed: int = 0):
         self.words = words
-        self.value = _mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _GOLD)
+        self.seed = np.uint64(seed << 56)
         self.lower = np.arange(256, dtype=np.uint8)
         self.lower[65:91] += 32
         self.blank = np.zeros(256, bool)
         self.blank[[32, *range(9, 14)]] = True
-        self.factor = _mix((np.arange(words, dtype=np.uint64) + np.uint64(1000)) * _GOLD) | np.uint64(1)
-        self.power = self.inverse = np.ones(1, np.uint64)
-
-    def _powers(self, n: int) -> None:
-        if len(self.power) < n:
-            r = 0x2545F4914F6CDD1D
-            one = np.ones(1, np.uint64)
-            self.power, self.inverse = (np.cumprod(np.concatenate([one, np.full(n, x, np.uint64)]), dtype=np.uint64) for x in (r, pow(r, -1, 1 << 64)))
+        self.factor = _mix((np.arange(words, dtype=np.uint64) + np.uint64(1000 + seed)) * _GOLD) | np.uint64(1)
 
     def sets(self, column: pa.Array) -> Iterator[np.ndarray]:
         n = len(column)
@@ -106,9 +115,11 @@ class Shingler:
         starts = np.flatnonzero(inside & (~before | edge[:-1]))
         after = np.concatenate([inside[1:], [False]]) if len(data) else inside
         ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
-        self._powers(len(data) + 1)
-        total = np.concatenate([[np.uint64(0)], np.cumsum(self.value[data] * self.power[: len(data)], dtype=np.uint64)])
-        word = _mix((total[ends] - total[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64) * _GOLD)
+        # A word's hash adds up one mixed number for each of its bytes and their places in it.
+        place = np.arange(len(data), dtype=np.uint64)
+        place[inside] -= np.repeat(starts, ends - starts).astype(np.uint64)
+        total = np.concatenate([[np.uint64(0)], np.cumsum(_mix((place << np.uint64(8) | data | self.seed) * _GOLD), dtype=np.uint64)])
+        word = _mix(total[ends] - total[starts] + (ends - starts).astype(np.uint64) * _GOLD)
         k, first = self.words, np.searchsorted(starts, offsets)
         m = max(0, len(word) - k + 1)
         rolled = np.zeros(m, np.uint64)
@@ -183,13 +194,13 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
-def _full_sets(docs: DataFrame, key: str, text: str, words: int, ids: DataFrame) -> DataFrame:
-    """key, shingles of the documents whose key is in ids(node)."""
+def _full_sets(docs: DataFrame, key: str, text: str, words: int, ids: DataFrame, seed: int = 0) -> DataFrame:
+    """key, shingles (hashed under ``seed``) of the documents whose key is in ids(node)."""
     source = docs.select(docs[key].alias("key"), docs[text].alias("t"))
     source = source.join(_bounded(ids), source["key"] == ids["node"], "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
+        shingler = Shingler(words, seed)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 b = batch.slice(at, 256)
@@ -272,7 +283,7 @@ def _verified(docs: DataFrame, key: str, text: str, words: int, bound: Threshold
     near = apart * (bound.num + bound.den) <= (F.col("na") + F.col("nb")) * (bound.den - bound.num)
     hopeful = cut(pairs.distinct().join(left, "a").join(right, "b").filter(size_ok & near).select("a", "b").distinct(), "candidates", small=True)
     ids = cut(hopeful.select(F.col("a").alias("node")).union(hopeful.select("b")).distinct(), "ids", small=True)
-    sets = cut(_full_sets(docs, key, text, words, ids), "sets")
+    sets = cut(_full_sets(docs, key, text, words, ids, VERIFIER), "sets")
     both = hopeful.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return cut(both.withColumn("c", common).filter(F.col("c") * bound.den >= (F.size("sa") + F.size("sb") - F.col("c")) * bound.num).select("a", "b").distinct(), "links", small=True)
@@ -285,7 +296,101 @@ def _may_link(rows: DataFrame, other: DataFrame, bound: Threshold) -> Column:
     n, m = rows["n"], other["n_2"]
     apart = F.bit_count(rows["m0"].bitwiseXOR(other["m0_2"])) + F.bit_count(rows["m1"].bitwiseXOR(other["m1_2"]))
     near = apart * (bound.num + bound.den) <= (n + m) * (bound.den - bound.num)
-    return (rows["sig"] == other["sig"]) & (rows["comp"] != other["comp_2"]) & (F.least(n, m) * bound.den >= F.greatest(n, m) * bound.num) & near
+    return (rows["sig"] == other["sig_2"]) & (rows["comp"] != other["comp_2"]) & (F.least(n, m) * bound.den >= F.greatest(n, m) * bound.num) & near
+
+
+def _buckets(sigs: DataFrame, info: DataFrame) -> DataFrame:
+    """(sig, node, m, n, m0, m1): the buckets of two nodes or more with their size m, one of those with the same nodes."""
+    has = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"has{i}") for i in (1, 2)]
+    sized = sigs.groupBy("sig").agg(F.count("*").alias("m"), *has).filter("m > 1")
+    once = cut(sized.groupBy("m", "has1", "has2").agg(F.min("sig").alias("sig")).select("sig", "m"), "once", small=True)
+    return cut(sigs.join(_bounded(once), "sig").join(info.select("node", "n", "m0", "m1"), "node"), "buckets", small=True)
+
+
+def _labelled(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """``rows`` with the component of their node so far."""
+    if comps is None:
+        return rows.withColumn("comp", F.col("node"))
+    return rows.join(_bounded(comps), "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+
+
+def _paired(rows: DataFrame, bound: Threshold, first: str = "true") -> DataFrame:
+    """Candidates (a, b) of rows (sig, node, comp, n, m0, m1) that share a bucket, one of them being a ``first`` one."""
+    other = rows.select([F.col(c).alias(f"{c}_2") for c in ("sig", "node", "comp", "n", "m0", "m1")])
+    mine = rows.filter(first)
+    once = mine["node"] < other["node_2"] if first == "true" else mine["node"] != other["node_2"]
+    return mine.join(other, _may_link(mine, other, bound) & once).select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b"))
+
+
+def _undecided(rows: DataFrame) -> DataFrame:
+    """The rows of buckets that hold more than one component."""
+    mixed = rows.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("sig")
+    return rows.join(mixed, "sig", "left_semi")
+
+
+def _differences(large: DataFrame, sets: DataFrame) -> DataFrame:
+    """(row, hub, node, n, diff): members of large buckets and what tells their sets from the core of their group.
+
+    Buckets with the same node of least hash, their hub, are one group: mostly these overlap.
+    A node that has several sets has a row for each."""
+    hubs = large.groupBy("sig").agg(F.min_by("node", F.struct(F.xxhash64("node"), F.col("node"))).alias("hub"))
+    members = large.join(_bounded(hubs), "sig").select("hub", "node").distinct()
+    rows = members.join(sets.select(F.col("key").alias("node"), "shingles"), "node")
+    rows = cut(rows.select(F.monotonically_increasing_id().alias("row"), "hub", "node", "shingles"), "members")
+    held = rows.select("hub", F.explode("shingles").alias("tok")).groupBy("hub", "tok").agg(F.count("*").alias("df"))
+    most = held.join(_bounded(rows.groupBy("hub").agg(F.count("*").alias("m"))), "hub").filter(F.col("df") * 2 > F.col("m"))
+    core = cut(most.groupBy("hub").agg(F.collect_list("tok").alias("core")), "cores", small=True)
+    size = core.agg(F.coalesce(F.sum(F.size("core")), F.lit(0))).first()[0]
+    rows = rows.join(F.broadcast(core) if size <= BROADCAST_SHINGLES else core, "hub", "left").withColumn("core", F.coalesce("core", F.array().cast("array<long>")))
+    diff = F.concat(F.array_except("shingles", "core"), F.array_except("core", "shingles"))
+    return cut(rows.select("row", "hub", "node", F.size("shingles").alias("n"), diff.alias("diff")), "differences")
+
+
+def _stars(diffs: DataFrame, bound: Threshold) -> DataFrame:
+    """Links (a, b) with the member of least e, where these follow from the sizes of the differences."""
+    e = F.size("diff") * (bound.num + bound.den) - F.col("n") * (bound.den - bound.num)
+    rows = diffs.select("hub", "node", e.alias("e"))
+    least = rows.groupBy("hub").agg(F.min(F.struct("e", "node")).alias("x"))
+    stars = rows.join(_bounded(least), "hub").filter((F.col("e") + F.col("x.e") <= 0) & (F.col("node") != F.col("x.node")))
+    return cut(stars.select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b")).distinct(), "stars", small=True)
+
+
+def _extended(diffs: DataFrame, bound: Threshold) -> DataFrame:
+    """(sig, node, short): the next signatures, of hub and token; ``short`` where the token is in the shorter prefix."""
+    tokens = diffs.select("row", "hub", "node", "n", F.explode("diff").alias("tok"))
+    shared = tokens.groupBy("hub", "tok").agg(F.count("*").alias("df")).filter("df > 1")
+    counted = tokens.join(shared, ["hub", "tok"], "left").groupBy("row", "hub", "node", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "tok"))).alias("toks"))
+    short = F.expr(f"n * {bound.den - bound.num} div {bound.num + bound.den} + 1")
+    upto = F.expr(f"n * {bound.den - bound.num} div {bound.num} + 1")
+    prefix = counted.select("hub", "node", short.alias("short"), F.posexplode(F.slice("toks", F.lit(1), upto.cast("int"))).alias("pos", "t")).filter("t.df > 1")
+    return cut(prefix.select(F.xxhash64("hub", "t.tok").alias("sig"), "node", (F.col("pos") < F.col("short")).alias("short")).groupBy("sig", "node").agg(F.max("short").alias("short")), "extended")
+
+
+def _links(docs: DataFrame, key: str, text: str, words: int, bound: Threshold, info: DataFrame, sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) that connect all that links connect, and the components (node, component) they make."""
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return _verified(docs, key, text, words, bound, info, pairs)
+
+    live = _buckets(sigs, info)
+    links = verified(_paired(_labelled(live.filter(F.col("m") <= BUCKET), None), bound))
+    comps = cut(connected_components(links), "components", small=True)
+    large = cut(_undecided(_labelled(live.filter(F.col("m") > BUCKET), comps)), "large", small=True)
+    sets = None
+    while not large.isEmpty():
+        if sets is None:
+            sets = cut(_full_sets(docs, key, text, words, large.select("node").distinct(), VERIFIER), "sets")
+        diffs = _differences(large, sets)
+        links = links.unionByName(_stars(diffs, bound))
+        comps = cut(connected_components(links), "components", small=True)
+        groups = _undecided(_labelled(diffs.withColumnRenamed("hub", "sig"), comps)).withColumnRenamed("sig", "hub").drop("comp")
+        extended = _extended(groups, bound)
+        dealt = _buckets(extended.select("sig", "node"), info).join(extended, ["sig", "node"])
+        dealt = cut(_undecided(_labelled(dealt, comps)), "dealt", small=True)
+        links = links.unionByName(verified(_paired(dealt.filter(F.col("m") <= BUCKET), bound, "short")))
+        comps = cut(connected_components(links), "components", small=True)
+        large = cut(_undecided(_labelled(dealt.filter(F.col("m") > BUCKET).drop("comp"), comps)), "large", small=True)
+    return links, comps
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -300,29 +405,6 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     linked = base.filter((F.col("n") >= bound.least) & F.col("key").isNotNull())
     nodes = linked.join(_bounded(copies), ["key", "fp1", "fp2"], "left_anti").withColumnRenamed("key", "node")
     info = cut(nodes.select("node", "n", "bitmap", "m0", "m1"), "info")
-    sigs = _signatures(docs, key, text, words, bound, nodes)
-    sized = sigs.groupBy("sig").count().filter("count >= 2")
-    live = cut(sigs.join(sized.select("sig"), "sig").join(info.select("node", "n", "m0", "m1"), "node"), "live", small=True)
-
-    links = None
-    labelled = live.withColumn("comp", F.col("node"))
-    for turn in range(HUB_ROUNDS):
-        best = F.min_by(F.struct("node", "comp", "n", "m0", "m1"), F.xxhash64("node", F.lit(turn)) if turn else F.col("node"))
-        hub = labelled.groupBy("sig").agg(best.alias("h")).select("sig", *[F.col(f"h.{c}").alias(f"{c}_2") for c in ("node", "comp", "n", "m0", "m1")])
-        pairs = labelled.join(hub, _may_link(labelled, hub, bound)).select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b"))
-        found = _verified(docs, key, text, words, bound, info, pairs)
-        links = found if links is None else links.unionByName(found)
-        comps = cut(connected_components(links), "components", small=True)
-        labelled = live.join(_bounded(comps), "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-        inside = labelled.groupBy("sig", "comp").count().groupBy("sig").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("q")).filter("m * m > q")
-        rows, left_over = inside.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2), F.lit(0))).first()
-        labelled = cut(labelled.join(inside.select("sig"), "sig", "left_semi"), "labelled", small=True)
-        if left_over <= PAIRS_A_ROW * rows:
-            break
-    if rows:
-        other = labelled.select("sig", *[F.col(c).alias(f"{c}_2") for c in ("node", "comp", "n", "m0", "m1")])
-        pairs = labelled.join(other, _may_link(labelled, other, bound) & (labelled["node"] < other["node_2"])).select(F.col("node").alias("a"), F.col("node_2").alias("b"))
-        links = links.unionByName(_verified(docs, key, text, words, bound, info, pairs))
-        comps = cut(connected_components(links), "components", small=True)
+    _, comps = _links(docs, key, text, words, bound, info, _signatures(docs, key, text, words, bound, nodes))
     out = mine.select("key", "n", F.coalesce("node", "key").alias("node")).join(_bounded(comps), "node", "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.coalesce("component", "node")).alias("component_id"))

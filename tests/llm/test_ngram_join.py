@@ -111,3 +111,32 @@ def test_components_of_a_chain_and_a_star(spark):
     df = spark.createDataFrame(edges, "a long, b long")
     got = {r.node: r.component for r in connected_components(df).collect()}
     assert got == {i: 100 for i in range(100, 141)} | {i: 1 for i in (1, *range(50, 80))}
+
+
+def test_large_buckets_are_extended_not_paired(spark):
+    """A family around one text, more of it than a bucket may hold: near and far copies, and sub-families that share edits."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for family in range(4):
+        own = list(base)
+        for i in range(20 * family):
+            own[7 * i % 150] = f"f{family}.{i}"
+        for _ in range(110):
+            w = list(own)
+            for _ in range(rng.randrange(0, 12)):
+                w[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+            rows.append(" ".join(w[: rng.choice((150, 150, 140, 120))]))
+    rows = list(enumerate(rows))
+    for k, num, den in ((5, 4, 5), (3, 9, 10)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), words=k, num=num, den=den).collect()}
+        assert got == plain_components(rows, k, num, den)
+
+
+def test_words_of_one_polynomial_hash_stay_apart(spark):
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba")))]
+    got = {r.doc_id: r.component_id for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2}
