@@ -19,7 +19,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import pyarrow as pa
@@ -29,12 +29,30 @@ from pyspark.sql import types as T
 from .common import ship
 
 SPACE = "▁"
-#: Pieces of text whose ids a worker remembers before it starts anew.
-MEMO = 120_000
+#: Pieces of text in each of the two generations whose ids a worker remembers (some 60 MB at most), and the longest one.
+MEMO, MEMO_CHARS = 250_000, 64
 #: Pairs of tokens whose compatibility it remembers.
 PAIRS = 500_000
 
 
+class Memo(dict):
+    """The ids of pieces seen lately: what was used neither in this generation nor in the last is forgotten."""
+
+    def __init__(self, make: Callable[[str], tuple[int, ...]], most: int = MEMO):
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.make(piece)
+        if len(piece) <= MEMO_CHARS:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class PrefixTableEncoder:
     def __init__(self, model_file: str):
         import ahocorasick
@@ -57,7 +75,10 @@ class PrefixTableEncoder:
                 self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
         self.follows: dict[int, bool] = {}
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.names = [str(i) for i in range(n)]
+        self.unknown = re.compile(f"([^{re.escape(''.join(sorted(self.chars)))}])")
+        self.inner = Memo(self.known)
+        self.words = Memo(lambda word: self.segment(SPACE + word))
 
     def merge(self, text: str) -> list[int]:
         """Merge by score, then by place: the definition that the table must reproduce."""
@@ -84,47 +105,45 @@ class PrefixTableEncoder:
         return [self.id_of[p] for p in part if p is not None]
 
     def can_follow(self, a: int, b: int) -> bool:
-        pair = a << 32 | b
-        found = self.follows.get(pair)
-        if found is None:
-            if len(self.follows) > PAIRS:
-                self.follows.clear()
-            found = self.follows[pair] = self.merge(self.piece[a] + self.piece[b]) == [a, b]
+        if len(self.follows) > PAIRS:
+            self.follows.clear()
+        found = self.follows[a << 32 | b] = self.merge(self.piece[a] + self.piece[b]) == [a, b]
         return found
 
-    def table_ids(self, text: str) -> list[int]:
+    def table_ids(self, text: str) -> tuple[int, ...]:
         """Ids of a text whose characters are all in the vocabulary."""
-        last = [(-1, 0)] * (len(text) + 1)
-        for end, entry in self.automaton.iter(text):
+        tokens, begins = [-1] * (len(text) + 1), [-1] * (len(text) + 1)
+        follows = self.follows
+        for end, (token, size) in self.automaton.iter(text):
             end += 1
-            if last[end][1]:
+            if begins[end] >= 0:
                 continue
-            start = end - entry[1]
-            if not start or self.can_follow(last[start][0], entry[0]):
-                last[end] = entry
+            start = end - size
+            if start:
+                before = tokens[start]
+                found = follows.get(before << 32 | token)
+                if not (self.can_follow(before, token) if found is None else found):
+                    continue
+            tokens[end], begins[end] = token, start
         ids, at = [], len(text)
         while at:
-            token, size = last[at]
-            ids.append(token)
-            at -= size
-        return ids[::-1]
+            ids.append(tokens[at])
+            at = begins[at]
+        return tuple(reversed(ids))
 
     def segment(self, text: str) -> tuple[int, ...]:
-        ids: list[int] = []
-        known = ""
-        for c in text:
-            if c in self.chars:
-                known += c
-                continue
-            ids += self.known(known)
-            known = ""
-            ids += [self.byte_id[b] for b in c.encode()] if self.byte_id else [self.unk]
-        return (*ids, *self.known(known))
-
-    def known(self, text: str) -> list[int]:
+        """Ids of any text: characters that the vocabulary lacks become bytes, what stands between them is encoded."""
+        parts = self.unknown.split(text)
+        ids = list(self.known(parts[0]))
+        for other, piece in zip(parts[1::2], parts[2::2], strict=True):
+            ids += [self.byte_id[b] for b in other.encode()] if self.byte_id else [self.unk]
+            ids += self.inner[piece]
+        return tuple(ids)
+
+    def known(self, text: str) -> tuple[int, ...]:
         if not text:
-            return []
-        return self.merge(text) if SPACE * 2 in text else self.table_ids(text)
+            return ()
+        return tuple(self.merge(text)) if SPACE * 2 in text else self.table_ids(text)
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
@@ -137,17 +156,12 @@ class PrefixTableEncoder:
             parts = parts[1:]
         else:  # runs of space marks stay with the word after them
             parts = [x[1:] for x in re.findall(f"{SPACE}+[^{SPACE}]*", text)]
-        memo, out = self.memo, []
-        for p in parts:
-            ids = memo.get(p)
-            if ids is None:
-                ids = self.segment(SPACE + p)
-                if len(p) < 64:
-                    if len(memo) > MEMO:
-                        memo.clear()
-                    memo[p] = ids
-            out.append(ids)
-        return list(chain.from_iterable(out))
+        words = self.words
+        return list(chain.from_iterable([words[p] for p in parts]))
+
+    def numbers(self, ids: list[int]) -> str:
+        """The ids in decimal, with commas between."""
+        return ",".join([self.names[i] for i in ids])
 
 
 _encoders: dict[str, PrefixTableEncoder] = {}
@@ -195,7 +209,7 @@ def encode_decode(docs: DataFrame, model_file: str, key: str = "doc_id", text: s
                     for o, values in made.items():
                         values.append(
                             ids if o == "ids" else back if o == "decoded" else len(ids) if o == "n_tokens"
-                            else _sha(",".join(map(str, ids))) if o == "ids_sha256" else _sha(back)
+                            else _sha(enc.numbers(ids)) if o == "ids_sha256" else _sha(back)
                         )
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, _ARROW[o]) for o, v in made.items())], names=[key, *outputs])
 
