@@ -24,10 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import cut, ship
 
-#: Bound of the labelled sample: texts and landmarks per class, and classes (the most frequent ones).
-PER_CLASS, LANDMARKS, CLASSES = 256, 64, 200
+#: Bound of the labelled sample: texts and landmarks of a class, and of all classes together (these share them evenly).
+PER_CLASS, LANDMARKS, ALL_TEXTS, ALL_LANDMARKS = 256, 64, 50_000, 4_000
+#: N-grams whose presence is held as a dense block at once.
+COLUMNS = 4_096
 #: Ridge strength per training text.
 RIDGE = 1e-4
 UND = "und"
@@ -59,23 +61,26 @@ def ngrams(text: str | None) -> np.ndarray | None:
     return np.unique(np.concatenate([c, two, two[:-1] << 21 | c[2:]]))
 
 
-def _sample(docs: DataFrame, text: str, lang: str, train: Column) -> list[tuple[str, int, np.ndarray]]:
-    """A bounded sample of labelled texts as (class, hash, n-grams), drawn by a hash of the text."""
-    rows = docs.filter(train & docs[lang].isNotNull() & docs[text].isNotNull()).select(docs[lang].alias("lang"), docs[text].alias("t"))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(CLASSES).collect()
-    if not sizes:
+def _sample(docs: DataFrame, key: str, text: str, lang: str, train: Column) -> list[tuple[str, int, np.ndarray]]:
+    """A bounded sample of labelled texts as (class, hash, n-grams), drawn row by row by a hash of key and text."""
+    rows = docs.filter(train & docs[lang].isNotNull() & docs[text].isNotNull()).select(docs[lang].alias("lang"), F.xxhash64(docs[key], docs[text]).alias("h"), docs[text].alias("t"))
+    sizes = cut(rows.groupBy("lang").count(), "languages", small=True)
+    classes = sizes.count()
+    if not classes:
         return []
-    share = F.element_at(F.create_map(*[x for r in sizes for x in (F.lit(r[0]), F.lit(min(1.0, PER_CLASS / r[1])))]), F.col("lang"))
-    unit = F.pmod(F.xxhash64("t"), F.lit(1 << 40)) / float(1 << 40)
+    per_class = max(1, min(PER_CLASS, ALL_TEXTS // classes))
+    rows = rows.join(F.broadcast(sizes) if classes <= ALL_TEXTS else sizes, "lang")
+    share = F.least(F.lit(1.0), F.lit(float(per_class)) / F.col("count"))
+    unit = F.pmod("h", F.lit(1 << 40)) / float(1 << 40)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [(a.as_py(), h.as_py(), g) for a, h, t in zip(b.column(0), b.column(1), b.column(2), strict=True) if (g := ngrams(t.as_py())) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2].tobytes() for x in found], pa.binary())], names=["lang", "h", "grams"])
 
-    drawn = rows.withColumn("h", F.xxhash64("t")).filter(unit < share).select("lang", "h", "t").mapInArrow(run, "lang string, h long, grams binary")
-    # Expected PER_CLASS rows a class; the limit only guards against a hash that draws far more.
-    return [(r[0], r[1], np.frombuffer(r[2], np.int64)) for r in drawn.limit(4 * PER_CLASS * len(sizes)).collect()]
+    drawn = rows.filter(unit < share).select("lang", "h", "t").mapInArrow(run, "lang string, h long, grams binary")
+    # ALL_TEXTS rows are expected at most; the limit, of least hash, only guards against a hash that draws far more.
+    return [(r[0], r[1], np.frombuffer(r[2], np.int64)) for r in drawn.orderBy("h", "lang").limit(2 * ALL_TEXTS).collect()]
 
 
 class Model:
@@ -84,29 +89,38 @@ class Model:
     def __init__(self, sample: list[tuple[str, int, np.ndarray]]):
         sample = sorted(sample, key=lambda x: (x[0], x[1], x[2].tobytes()))
         self.classes = sorted({x[0] for x in sample})
-        kept, seen = [], dict.fromkeys(self.classes, 0)
+        kept, seen, most = [], dict.fromkeys(self.classes, 0), max(1, min(LANDMARKS, ALL_LANDMARKS // len(self.classes)))
         for x in sample:
-            if seen[x[0]] < LANDMARKS:
+            if seen[x[0]] < most:
                 seen[x[0]] += 1
                 kept.append(x[2])
         self.vocabulary = np.unique(np.concatenate(kept))
-        marks = self._presence(kept) / np.sqrt([[len(g)] for g in kept])
-        power, axes = np.linalg.eigh(marks @ marks.T)
+        every = [x[2] for x in sample]
+        shared, own = np.zeros((len(every), len(kept))), np.zeros((len(kept), len(kept)))
+        for at in range(0, len(self.vocabulary), COLUMNS):
+            marks = self._presence(kept, at, COLUMNS)
+            own += marks @ marks.T
+            shared += np.vstack([self._presence(every[i : i + 512], at, COLUMNS) @ marks.T for i in range(0, len(every), 512)])
+        scale = 1 / np.sqrt([len(g) for g in kept])
+        power, axes = np.linalg.eigh(own * scale[:, None] * scale)
         good = power > 1e-8 * power[-1]
         nystrom = axes[:, good] / np.sqrt(power[good])
-        rows = np.vstack([self._presence([g]) @ marks.T / np.sqrt(len(g)) for _, _, g in sample]) @ nystrom
+        rows = shared * scale / np.sqrt([[len(g)] for g in every]) @ nystrom
         truth = np.array([[float(x[0] == c) for c in self.classes] for x in sample])
         middle, mean = rows.mean(0), truth.mean(0)
         x = rows - middle
         ridge = np.linalg.solve(x.T @ x + RIDGE * len(x) * np.eye(x.shape[1]), x.T @ (truth - mean))
-        self.weights = marks.T @ (nystrom @ ridge)
+        to_class = scale[:, None] * (nystrom @ ridge)
+        self.weights = np.vstack([self._presence(kept, at, COLUMNS).T @ to_class for at in range(0, len(self.vocabulary), COLUMNS)])
         self.bias = mean - middle @ ridge
 
-    def _presence(self, grams: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(grams), len(self.vocabulary)))
+    def _presence(self, grams: list[np.ndarray], first: int = 0, most: int | None = None) -> np.ndarray:
+        """Texts by n-grams of the vocabulary, of which ``most`` from place ``first`` on."""
+        part = self.vocabulary[first:] if most is None else self.vocabulary[first : first + most]
+        out = np.zeros((len(grams), len(part)))
         for row, g in zip(out, grams, strict=True):
-            at = np.searchsorted(self.vocabulary, g)
-            at = at[(at < len(self.vocabulary)) & (self.vocabulary[np.minimum(at, len(self.vocabulary) - 1)] == g)]
+            at = np.searchsorted(part, g)
+            at = at[(at < len(part)) & (part[np.minimum(at, len(part) - 1)] == g)]
             row[at] = 1.0
         return out
 
@@ -114,9 +128,10 @@ class Model:
         return self._presence(grams) @ self.weights / np.sqrt([[len(g)] for g in grams]) + self.bias
 
 
-def train_model(docs: DataFrame, text: str = "text", lang: str = "lang", train: Column | None = None) -> Model | None:
+def train_model(docs: DataFrame, text: str = "text", lang: str = "lang", train: Column | None = None, key: str = "doc_id") -> Model | None:
+    """The model of a bounded sample; the key only decides which rows are drawn."""
     ship(docs.sparkSession)
-    sample = _sample(docs, text, lang, F.lit(True) if train is None else train)
+    sample = _sample(docs, key, text, lang, F.lit(True) if train is None else train)
     return Model(sample) if sample else None
 
 
