@@ -5,7 +5,8 @@ evidence (the label where there is one, else the model's probability) is summed
 per path and per host.  Each host's rate is shrunk toward the global rate and
 each path's toward its host's, by prior strengths estimated from how much the
 rates of that level vary beyond what their sizes explain (method of moments):
-sites with little data stay at their prior, large ones follow their own.  The
+sites with little data stay at their prior, large ones follow their own.  A
+document's own evidence is left out of the rates that it is scored by.  The
 final log odds are the document's plus the path's posterior's less the global's.
 
 Null texts count as empty.  Null hosts and paths are sites of their own.  Labels
@@ -110,11 +111,13 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     total = hosts.agg(F.sum("s") / F.sum("n")).first()[0]
     k_host = _prior_strength(hosts, F.lit(float(total)))
-    hosts = hosts.select(F.col("host").alias("_host"), ((F.col("s") + k_host * float(total)) / (F.col("n") + k_host)).alias("host_rate"))
+    hosts = hosts.select(F.col("host").alias("_host"), F.col("n").alias("_hn"), F.col("s").alias("_hs"), ((F.col("s") + k_host * float(total)) / (F.col("n") + k_host)).alias("host_rate"))
     nested = cut(paths.join(hosts, F.col("host").eqNullSafe(F.col("_host")), "left").drop("_host"), "sites", small=True)
     k_path = _prior_strength(nested, F.col("host_rate"))
-    sites = nested.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "host_rate", ((F.col("s") + k_path * F.col("host_rate")) / (F.col("n") + k_path)).alias("path_rate"))
+    sites = nested.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "_hn", "_hs", F.col("n").alias("_pn"), F.col("s").alias("_ps"))
     joined = scored.join(sites, F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path")), "left")
+    joined = joined.withColumn("host_rate", (F.col("_hs") - evidence + k_host * float(total)) / (F.col("_hn") - 1 + k_host))
+    joined = joined.withColumn("path_rate", (F.col("_ps") - evidence + k_path * F.col("host_rate")) / (F.col("_pn") - 1 + k_path))
     odds = F.col("odds") + _logit(F.col("path_rate")) - _logit(F.lit(float(total)))
     joined = joined.withColumn("score", F.round(1 / (1 + F.exp(-odds)), 6))
     return joined.select(F.col("_key").alias(key), F.round("p", 6).alias("p_doc"), F.round("host_rate", 6).alias("host_rate"), F.round("path_rate", 6).alias("path_rate"), "score", (F.col("score") >= KEEP).alias("kept"))

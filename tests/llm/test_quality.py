@@ -1,5 +1,7 @@
+import math
 import random
 
+from millrace.llm import quality
 from millrace.llm.quality import classify
 
 
@@ -30,6 +32,26 @@ def test_held_out_accuracy_and_shrinkage(spark):
     assert abs(lone.host_rate - sum(rates) / len(rates)) < 0.35  # one document barely moves its site
 
 
+def test_posteriors_against_plain_sums(spark, monkeypatch):
+    """The rates of every document from plain loops over all others of its site."""
+    docs, labels = corpus()
+    strengths = []
+    monkeypatch.setattr(quality, "_prior_strength", lambda sites, base: strengths.append(2.0 + 3 * len(strengths)) or strengths[-1])
+    got = {r.doc_id: r for r in classify(spark.createDataFrame(docs, "doc_id long, text string, source string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    truth = dict(labels)
+    evidence = {i: truth.get(i, got[i].p_doc) for i, *_ in docs}
+    total = sum(evidence.values()) / len(evidence)
+    for i, _, h, p in docs[::17]:
+        host = [evidence[j] for j, _, g, _ in docs if g == h and j != i]
+        path = [evidence[j] for j, _, g, q in docs if (g, q) == (h, p) and j != i]
+        host_rate = (sum(host) + strengths[0] * total) / (len(host) + strengths[0])
+        path_rate = (sum(path) + strengths[1] * host_rate) / (len(path) + strengths[1])
+        assert abs(got[i].host_rate - host_rate) < 1e-5 and abs(got[i].path_rate - path_rate) < 1e-5
+        logit = lambda x: math.log(x / (1 - x))
+        score = 1 / (1 + math.exp(-(logit(min(max(got[i].p_doc, 1e-9), 1 - 1e-9)) + logit(path_rate) - logit(total))))
+        assert abs(got[i].score - score) < 1e-3
+
+
 def test_no_labels_and_empty(spark):
     df = spark.createDataFrame([(1, "abc", None, "x")], "doc_id long, text string, source string, lang string")
     none = spark.createDataFrame([], "doc_id long, quality int")
