@@ -36,6 +36,10 @@ LEAST = 100
 #: Inflated bytes after which a task starts a further archive.
 ROLL = 64 << 20
 BLOCK = 1 << 20
+#: Revisits up to which their table (ids and digests, 100 bytes a row) is broadcast.
+BROADCAST_ROWS = 200_000
+#: Bytes of payloads after which a batch of records that were read is handed on.
+HELD = 16 << 20
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -190,6 +194,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 with files.open_input_stream(f"{at}.idx", compression=None) as f:
                     index = [json.loads(x) for x in f.read().splitlines()]
                 rows: list[dict] = []
+                held = 0
                 with files.open_input_file(at) as f:
                     for offset, length, _, kind in index:
                         f.seek(offset)
@@ -200,9 +205,10 @@ def read_archives(archives: DataFrame) -> DataFrame:
                         if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
                             raise ValueError(f"{path} at {offset}: the payload isn't the one that was written")
                         rows.append({"page_id": number(head["WARC-Record-ID"]), "url": head["WARC-Target-URI"], "payload": payload, "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": number(head.get("WARC-Refers-To", ""))})
-                        if len(rows) >= 1000:
+                        held += len(payload)
+                        if len(rows) >= 1000 or held >= HELD:
                             yield pa.RecordBatch.from_pylist(rows, schema=fields)
-                            rows = []
+                            rows, held = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema=fields)
 
     return archives.select("path").mapInArrow(run, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
@@ -212,10 +218,12 @@ def record_types(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     """page_id, url, html, size, digest, record_type, refers_to: which record each page becomes."""
     body = F.coalesce(pages[html].cast("string"), F.lit(""))
     base = pages.select(pages[key].cast("long").alias("page_id"), pages[url].cast("string").alias("url"), body.alias("html"), F.octet_length(body).cast("long").alias("size"), F.sha2(body, 256).alias("digest"))
-    big = base.filter((F.col("size") >= least) & F.col("page_id").isNotNull())
+    # The bodies stay where they are: ids and digests decide, and only the ids of revisits come back.
+    big = base.filter((F.col("size") >= least) & F.col("page_id").isNotNull()).select("page_id", "digest")
     first = big.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("m")).filter("m > 1").select("digest", "first")
-    joined = base.join(first, "digest", "left")
-    again = F.col("page_id") > F.col("first")
+    revisits = cut(big.join(first, "digest").filter("page_id > first").distinct(), "revisits", small=True)
+    joined = base.join(F.broadcast(revisits) if revisits.count() <= BROADCAST_ROWS else revisits, ["page_id", "digest"], "left")
+    again = F.col("first").isNotNull()
     return joined.select("page_id", "url", F.when(again, None).otherwise(F.col("html")).alias("html"), "size", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
 
 
