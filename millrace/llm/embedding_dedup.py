@@ -15,7 +15,8 @@ are one task's work.  Tasks return, per vector, how many links it has there and
 spanning forest of them, never the pairs.  Equal vectors of a label are one node
 with a multiplicity first.
 
-Vectors that are null, zero, of another length than most, or hold null or non-finite components,
+Vectors link only with vectors of their length; those of different lengths share pivots, cut or
+filled up with zeros.  Vectors that are null, zero, or hold null or non-finite components,
 and rows with a null label, link with nothing (0 links, their own component).
 A null key gets a null component and is not kept.  Rows repeating a key count as further vectors of that id.
 """
@@ -41,14 +42,22 @@ CANDIDATES, APART = 2048, 0.8
 BLOCK = 512
 
 
+def units(rows: list, width: int | None = None) -> np.ndarray:
+    """Rows as unit vectors, scaled by their largest component first so that no square overflows or vanishes; filled up to ``width``."""
+    x = np.zeros((len(rows), width or max(map(len, rows), default=0)))
+    for at, row in zip(x, rows, strict=True):
+        at[: len(row)] = row[: x.shape[1]]
+    x /= np.maximum(np.abs(x).max(1, initial=0, keepdims=True), np.finfo(float).tiny)
+    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), np.finfo(float).tiny)
+
+
 def choose_pivots(vectors: DataFrame, pivots: int = PIVOTS) -> np.ndarray:
     """Unit pivots: of the CANDIDATES different vectors of least hash, in that order, those not near an earlier one.
     Fewer than ``pivots`` where the candidates have no more; lists are longer then, never less complete."""
     rows = vectors.select(F.xxhash64("v").alias("h"), "v").distinct().orderBy("h", "v").limit(max(CANDIDATES, pivots)).collect()
-    x = np.array([r.v for r in rows], float)
+    x = units([r.v for r in rows])
     if not len(x):
         return x
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
     chosen: list[int] = []
     nearest = np.full(len(x), -2.0)
     while len(chosen) < pivots and (nearest < APART).any():
@@ -59,9 +68,8 @@ def choose_pivots(vectors: DataFrame, pivots: int = PIVOTS) -> np.ndarray:
 
 
 def describe(x: np.ndarray, pivots: np.ndarray, prefix: int = PREFIX) -> np.ndarray:
-    """Nearest pivots of each row in order of nearness (ties by number)."""
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    return np.argsort(-np.round(unit @ pivots.T, 12), axis=1, kind="stable")[:, :prefix]
+    """Nearest pivots of each unit row in order of nearness (ties by number)."""
+    return np.argsort(-np.round(x @ pivots.T, 12), axis=1, kind="stable")[:, :prefix]
 
 
 def _postings(nodes: DataFrame, pivots: np.ndarray, prefix: int, shared: int) -> DataFrame:
@@ -71,7 +79,7 @@ def _postings(nodes: DataFrame, pivots: np.ndarray, prefix: int, shared: int) ->
         for b in batches:
             if not b.num_rows:
                 continue
-            x = np.array(b.column(3).to_pylist(), float)
+            x = units(b.column(3).to_pylist(), pivots.shape[1])
             near = np.sort(describe(x, pivots, prefix), axis=1)
             mask = (np.int64(1) << near.astype(np.int64)).sum(1)
             subsets = list(itertools.combinations(range(near.shape[1]), min(shared, near.shape[1])))
@@ -159,8 +167,7 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float, shared: int) ->
     for g in groups():
         if len(g) < 2:
             continue
-        x = np.array(g["v"].tolist(), float)
-        x /= np.sqrt((x * x).sum(1, keepdims=True))
+        x = units(g["v"].tolist())
         every = (g["node"].to_numpy(), g["copies"].to_numpy(), g["mask"].to_numpy(), x)
         i, own = g["i"].iloc[0], g["i"].iloc[0] == g["j"].iloc[0]
         first = (g["block"] == i).to_numpy()
@@ -181,9 +188,7 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     whole = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     base = base.withColumn("good", F.coalesce(whole & F.col("label").isNotNull() & F.col("key").isNotNull(), F.lit(False)))
     base = base.withColumn("h", F.when(F.col("good"), F.sha2(F.to_json(F.col("v")), 256)))
-    most = base.filter("good").groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").first()
-    width = most[0] if most else 0
-    base = base.withColumn("good", F.col("good") & (F.size("v") == width))
+    base = base.withColumn("label", F.when(F.col("good"), F.concat_ws(":", F.size("v"), F.col("label").cast("string"))))
     good = base.filter("good")
     # Copies of a vector are one node; the vector itself is kept once.
     classes = cut(good.groupBy("label", "h").agg(F.min("key").alias("node"), F.count("*").alias("copies")), "classes")

@@ -74,3 +74,9 @@ def _parts(pairs, rows, cols):
             p = min(parent[a], parent[rows + b])
             parent[a] = parent[rows + b] = p
     return parent
+
+
+def test_widths_scales_and_signed_zeros(spark):
+    rows = [(1, [1.0, 0.0], "a"), (2, [2.0, 0.0], "a"), (3, [1.0, 0.0, 0.0], "a"), (4, [0.9, 0.1, 0.0], "a"), (5, [0.0, 0.0, 1.0], "a"), (6, [1e200, 1e199], "b"), (7, [1e-200, 1e-201], "b"), (8, [1.0, 0.0], "c"), (9, [1.0, -0.0], "c")]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (0, 5), 6: (1, 6), 7: (1, 6), 8: (1, 8), 9: (1, 8)}
