@@ -668,9 +668,23 @@ def store_media(rows: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return source.mapInArrow(run, f"k {kind}, n_bytes long, media binary").withColumnRenamed("k", key)
 
 
+def _decoded(files: list[bytes | None]) -> list[tuple[bytes, np.ndarray] | None]:
+    """decode_payloads(), with None for files that are None or can't be decoded."""
+    there = [f for f in files if f is not None]
+    try:
+        made = iter(decode_payloads(there) if there else [])
+    except Exception:
+        if len(files) == 1:
+            return [None]
+        return [x for f in files for x in _decoded([f])]
+    return [None if f is None else next(made) for f in files]
+
+
 def decode_media(rows: DataFrame, media: str = "media", tensors: bool = True) -> DataFrame:
     """All columns of ``rows`` but ``media``, and: height, width, tensor (binary, height x width x 3; only
-    if asked), payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
+    if asked), payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
+
+    All of these are null where the file is null or can't be decoded."""
     ship(rows.sparkSession)
     keep = [c for c in rows.columns if c != media]
     kinds = dict(rows.dtypes)
@@ -680,10 +694,11 @@ def decode_media(rows: DataFrame, media: str = "media", tensors: bool = True) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             files = b.column(len(keep)).to_pylist()
-            for i, j in _groups([len(f) for f in files]):
+            for i, j in _groups([len(f or b"") for f in files]):
                 out: list[list] = [[] for _ in made]
-                for f, (payload, tensor) in zip(files[i:j], decode_payloads(files[i:j]), strict=True):
-                    values = [*tensor.shape[:2], *([tensor.tobytes()] if tensors else []), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(f), hashlib.sha256(f).hexdigest(), feature(tensor)]
+                for f, found in zip(files[i:j], _decoded(files[i:j]), strict=True):
+                    payload, tensor = found or (None, None)
+                    values = [None] * len(made) if found is None else [*tensor.shape[:2], *([tensor.tobytes()] if tensors else []), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(f), hashlib.sha256(f).hexdigest(), feature(tensor)]
                     for column, v in zip(out, values, strict=True):
                         column.append(v)
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(len(keep))), *(pa.array(v, t) for v, (_, t) in zip(out, made, strict=True))], names=[*keep, *(m[0] for m in made)])

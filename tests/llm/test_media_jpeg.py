@@ -213,3 +213,13 @@ def test_media_column(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(text.encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
         assert len(r.tensor) == r.height * r.width * 3
     assert m.decode_media(m.store_media(df.limit(0))).collect() == []
+
+
+def test_null_and_broken_files_have_no_values(spark):
+    from millrace.llm.media_jpeg import decode_media, store_media
+
+    whole = store_media(spark.createDataFrame([(1, "abc"), (2, None)], "doc_id long, text string")).collect()
+    rows = [(r.doc_id, bytes(r.media)) for r in whole] + [(3, None), (4, b""), (5, b"no picture"), (6, bytes(whole[0].media)[:200])]
+    got = {r.doc_id: r for r in decode_media(spark.createDataFrame(rows, "doc_id long, media binary")).collect()}
+    assert got[1].payload_bytes == got[2].payload_bytes == 192 and len(got) == 6
+    assert all(got[k].feature is None and got[k].payload_sha256 is None for k in (3, 4, 5))
