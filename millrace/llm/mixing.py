@@ -48,7 +48,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget:
     live = ranked.filter("source_size > 0")
     total, w = live.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("_weight"), F.lit(0))).first()
     capped, level = 0, 0.0
-    while w:  # the sources at their cap only become more; each pass is one small aggregate
+    while w:  # the sources at their cap only become more; each pass is one small aggregate over a row a source
         level = (budget * total - capped) / w
         over = F.col("source_size") * cap <= F.lit(level) * F.col("_weight")
         more, left = live.agg(F.coalesce(F.sum(F.when(over, F.col("source_size") * cap)), F.lit(0)), F.coalesce(F.sum(F.when(~over, F.col("_weight"))), F.lit(0))).first()
@@ -70,12 +70,16 @@ def _sent(targets: DataFrame) -> DataFrame:
 
 
 def emit_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """The rows of ``docs``, each as many times as the mix takes it."""
+    """The rows of ``docs``, each as many times as the mix takes it; its columns may have any names."""
+    columns = docs.columns
+    own = {c: f"own_{i}" for i, c in enumerate(columns)}
+    docs = docs.select([F.col(f"`{c}`").alias(own[c]) for c in columns])
+    key, text, source = own[key], own[text], own[source]
     sized = docs.select(docs[source].alias("source"), word_count(docs[text]).alias("size"))
     targets = source_targets(sized, weights, budget, cap).withColumnRenamed("source", "_source")
     joined = docs.join(_sent(targets), docs[source].eqNullSafe(F.col("_source")), "left").withColumn("_copies", copies_of(docs[key], cap, seed))
     repeated = joined.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies").cast("long"))))
-    return repeated.select(*[docs[c] for c in docs.columns])
+    return repeated.select([F.col(own[c]).alias(c) for c in columns])
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, cap: int = CAP, seed: str = SEED) -> DataFrame:
