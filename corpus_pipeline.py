@@ -7,8 +7,11 @@ but the last stage return the columns of ``documents``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from millrace.llm.common import cut, tokenizer_file
 from millrace.llm.language_id import UND, predict_language, train_model
@@ -22,17 +25,25 @@ from millrace.llm.spm import encode_decode
 SECRET_MARK = "[SECRET]"
 
 
-def _columns(df: DataFrame, docs: DataFrame) -> DataFrame:
-    return df.select(*docs.columns)
+#: Columns that stages read or write; all others are carried along under names that clash with no operator's.
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _set_aside(docs: DataFrame) -> tuple[DataFrame, list[str], Callable[[DataFrame], DataFrame]]:
+    """``docs`` with its other columns renamed, their new names, and what gives the columns of ``docs`` back."""
+    names = {c: f"other_column_{i}" for i, c in enumerate(docs.columns) if c not in OWN}
+    quoted = {c: F.col(f"`{c}`") for c in docs.columns}
+    renamed = docs.select([quoted[c].alias(names.get(c, c)) for c in docs.columns])
+    return renamed, list(names.values()), lambda df: df.select([F.col(names.get(c, c)).alias(c) for c in docs.columns])
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any letter (null, empty, numbers, signs) go; the language becomes the predicted one."""
     model = train_model(docs, train=F.coalesce(~held_out(), F.lit(False)))
-    rest = [c for c in docs.columns if c != "lang"]
-    found = predict_language(docs, model, carry=tuple(c for c in rest if c != "doc_id"))
+    docs, others, restored = _set_aside(docs)
+    found = predict_language(docs, model, carry=("text", "source", "n_chars", *others))
     keep = F.col("lang_pred") != UND if model is not None else F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return _columns(found.filter(keep).withColumn("lang", F.col("lang_pred")), docs)
+    return restored(found.filter(keep).withColumn("lang", F.col("lang_pred").cast(StringType())))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +58,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret found in a text is replaced by a mark; all documents stay."""
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    clean = scan_secrets(docs, redact=SECRET_MARK, carry=rest).withColumnRenamed("redacted", "text")
-    return _columns(clean.withColumn("n_chars", F.length("text").cast("long")), docs)
+    docs, others, restored = _set_aside(docs)
+    clean = scan_secrets(docs, redact=SECRET_MARK, carry=("lang", "source", *others)).withColumnRenamed("redacted", "text")
+    return restored(clean.withColumn("n_chars", F.length("text").cast("long")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
