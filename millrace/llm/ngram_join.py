@@ -61,8 +61,8 @@ SHORTER = 16
 BITMAP = 512
 #: Rows of a list of ids up to which it is broadcast (24 MB at most); beyond it a shuffled join is used.
 BROADCAST_IDS = 1_000_000
-#: Nodes up to which a bucket is searched pair by pair.
-BUCKET = 64
+#: Nodes up to which a bucket is searched pair by pair, and an extended one, where whole bitmaps decide inside the join.
+BUCKET, EXTENDED_BUCKET = 64, 512
 #: Shingles of cores up to which these are broadcast (32 MB).
 BROADCAST_SHINGLES = 4_000_000
 #: Seed of the hash that verifies; the index has seed 0.
@@ -265,12 +265,8 @@ def _signatures(docs: DataFrame, key: str, text: str, words: int, bound: Thresho
     return cut(simple.unionByName(extended).distinct(), "signatures")
 
 
-def _verified(docs: DataFrame, key: str, text: str, words: int, bound: Threshold, info: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets link."""
-    left = info.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("ba"))
-    right = info.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("bb"))
-    size_ok = F.least("na", "nb") * bound.den >= F.greatest("na", "nb") * bound.num
-
+def _apart(a: Column, b: Column) -> Column:
+    """Bits on which two whole bitmaps differ; that of the larger set is folded to the other's width."""
     def differing(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, p: s + p)
 
@@ -278,9 +274,16 @@ def _verified(docs: DataFrame, key: str, text: str, words: int, bound: Threshold
         half = (F.size(x) / 2).cast("int")
         return F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))
 
-    ba, bb = F.col("ba"), F.col("bb")
-    apart = F.when(F.size(ba) > F.size(bb), differing(folded(ba), bb)).when(F.size(ba) < F.size(bb), differing(ba, folded(bb))).otherwise(differing(ba, bb))
-    near = apart * (bound.num + bound.den) <= (F.col("na") + F.col("nb")) * (bound.den - bound.num)
+    return F.when(F.size(a) > F.size(b), differing(folded(a), b)).when(F.size(a) < F.size(b), differing(a, folded(b))).otherwise(differing(a, b))
+
+
+def _verified(docs: DataFrame, key: str, text: str, words: int, bound: Threshold, info: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets link."""
+    left = info.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("ba"))
+    right = info.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("bb"))
+    size_ok = F.least("na", "nb") * bound.den >= F.greatest("na", "nb") * bound.num
+
+    near = _apart(F.col("ba"), F.col("bb")) * (bound.num + bound.den) <= (F.col("na") + F.col("nb")) * (bound.den - bound.num)
     hopeful = cut(pairs.distinct().join(left, "a").join(right, "b").filter(size_ok & near).select("a", "b").distinct(), "candidates", small=True)
     ids = cut(hopeful.select(F.col("a").alias("node")).union(hopeful.select("b")).distinct(), "ids", small=True)
     sets = cut(_full_sets(docs, key, text, words, ids, VERIFIER), "sets")
@@ -289,22 +292,24 @@ def _verified(docs: DataFrame, key: str, text: str, words: int, bound: Threshold
     return cut(both.withColumn("c", common).filter(F.col("c") * bound.den >= (F.size("sa") + F.size("sb") - F.col("c")) * bound.num).select("a", "b").distinct(), "links", small=True)
 
 
-def _may_link(rows: DataFrame, other: DataFrame, bound: Threshold) -> Column:
-    """Join condition of two rows of a bucket: different components, sizes and folded bitmaps within the bound.
+def _may_link(rows: DataFrame, other: DataFrame, bound: Threshold, whole: bool) -> Column:
+    """Join condition of two rows of a bucket: different components, sizes and folded (or ``whole``) bitmaps within the bound.
 
     Hopeless pairs so end inside the join and are never rows."""
     n, m = rows["n"], other["n_2"]
     apart = F.bit_count(rows["m0"].bitwiseXOR(other["m0_2"])) + F.bit_count(rows["m1"].bitwiseXOR(other["m1_2"]))
     near = apart * (bound.num + bound.den) <= (n + m) * (bound.den - bound.num)
+    if whole:
+        near = near & (_apart(rows["bitmap"], other["bitmap_2"]) * (bound.num + bound.den) <= (n + m) * (bound.den - bound.num))
     return (rows["sig"] == other["sig_2"]) & (rows["comp"] != other["comp_2"]) & (F.least(n, m) * bound.den >= F.greatest(n, m) * bound.num) & near
 
 
-def _buckets(sigs: DataFrame, info: DataFrame) -> DataFrame:
-    """(sig, node, m, n, m0, m1): the buckets of two nodes or more with their size m, one of those with the same nodes."""
+def _buckets(sigs: DataFrame, info: DataFrame, whole: bool = False) -> DataFrame:
+    """(sig, node, m, n, m0, m1, and bitmap if ``whole``): the buckets of two nodes or more with their size m, one of those with the same nodes."""
     has = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"has{i}") for i in (1, 2)]
     sized = sigs.groupBy("sig").agg(F.count("*").alias("m"), *has).filter("m > 1")
     once = cut(sized.groupBy("m", "has1", "has2").agg(F.min("sig").alias("sig")).select("sig", "m"), "once", small=True)
-    return cut(sigs.join(_bounded(once), "sig").join(info.select("node", "n", "m0", "m1"), "node"), "buckets", small=True)
+    return cut(sigs.join(_bounded(once), "sig").join(info if whole else info.drop("bitmap"), "node"), "buckets", small=True)
 
 
 def _labelled(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -314,12 +319,13 @@ def _labelled(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
     return rows.join(_bounded(comps), "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
 
 
-def _paired(rows: DataFrame, bound: Threshold, first: str = "true") -> DataFrame:
-    """Candidates (a, b) of rows (sig, node, comp, n, m0, m1) that share a bucket, one of them being a ``first`` one."""
-    other = rows.select([F.col(c).alias(f"{c}_2") for c in ("sig", "node", "comp", "n", "m0", "m1")])
-    mine = rows.filter(first)
-    once = mine["node"] < other["node_2"] if first == "true" else mine["node"] != other["node_2"]
-    return mine.join(other, _may_link(mine, other, bound) & once).select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b"))
+def _paired(rows: DataFrame, bound: Threshold, extended: bool = False) -> DataFrame:
+    """Candidates (a, b) of rows (sig, node, comp, n, m0, m1) that share a bucket; of an ``extended`` one, where one is in the short prefix."""
+    carried = ["sig", "node", "comp", "n", "m0", "m1", *(["bitmap"] if extended else [])]
+    other = rows.select([F.col(c).alias(f"{c}_2") for c in carried])
+    mine = rows.filter("short") if extended else rows
+    once = mine["node"] != other["node_2"] if extended else mine["node"] < other["node_2"]
+    return mine.join(other, _may_link(mine, other, bound, extended) & once).select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b"))
 
 
 def _undecided(rows: DataFrame) -> DataFrame:
@@ -385,11 +391,11 @@ def _links(docs: DataFrame, key: str, text: str, words: int, bound: Threshold, i
         comps = cut(connected_components(links), "components", small=True)
         groups = _undecided(_labelled(diffs.withColumnRenamed("hub", "sig"), comps)).withColumnRenamed("sig", "hub").drop("comp")
         extended = _extended(groups, bound)
-        dealt = _buckets(extended.select("sig", "node"), info).join(extended, ["sig", "node"])
+        dealt = _buckets(extended.select("sig", "node"), info, whole=True).join(extended, ["sig", "node"])
         dealt = cut(_undecided(_labelled(dealt, comps)), "dealt", small=True)
-        links = links.unionByName(verified(_paired(dealt.filter(F.col("m") <= BUCKET), bound, "short")))
+        links = links.unionByName(verified(_paired(dealt.filter(F.col("m") <= EXTENDED_BUCKET), bound, extended=True)))
         comps = cut(connected_components(links), "components", small=True)
-        large = cut(_undecided(_labelled(dealt.filter(F.col("m") > BUCKET).drop("comp"), comps)), "large", small=True)
+        large = cut(_undecided(_labelled(dealt.filter(F.col("m") > EXTENDED_BUCKET).drop("comp", "bitmap"), comps)), "large", small=True)
     return links, comps
 
 
