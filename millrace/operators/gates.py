@@ -8,6 +8,61 @@ from pyspark.sql import functions as F
 OPS = {">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, "<": lambda a, b: a < b, "==": lambda a, b: a == b}
 
 
+# The thresholds of the named gates, as (check, metric, op, threshold).
+NAMED = {
+    "pair_choice": [
+        ("pair_choice_accuracy", "accuracy", ">=", 0.70), ("swap_consistency", "consistent", ">=", 0.85), ("chose_a_lower", "chose_a", ">=", 0.45),
+        ("chose_a_upper", "chose_a", "<=", 0.55), ("choice_format_valid", "valid_rate", ">=", 0.95),
+    ],
+    "pair_localisation": [("mean_box_iou", "mean_iou", ">=", 0.30), ("box_format_valid", "box_valid_rate", ">=", 0.95)],
+    "transfer": [
+        ("pair_gain", "pair_gain", ">=", 0.03), ("camera_extra_gain", "camera_extra_gain", ">=", 0.01), ("external_drop", "external_drop", "<=", 0.01),
+        ("moving_bucket_gain", "moving_bucket_gain", ">=", 0.01),
+    ],
+    "local_signal": [
+        ("valid_pairs", "valid_pair_rate", ">=", 0.90), ("true_masks", "true_mask_rate", ">=", 0.90), ("camera_consistency", "camera_consistency", ">=", 0.98),
+        ("label_coverage", "label_coverage", ">=", 0.90), ("median_ratio", "median_ratio", ">=", 2.0), ("median_outside", "median_outside", "<=", 0.03),
+        ("inside_over_outside", "inside_over_outside", ">=", 0.70),
+    ],
+    "judge": [
+        ("prediction_coverage", "coverage", ">=", 0.98), ("format_valid", "valid_rate", ">=", 0.95), ("frame_dependence", "over_shuffled_frames", ">=", 0.70),
+        ("sensitive_to_shifted_box", "over_shifted_box", ">=", 0.65), ("sensitive_to_shifted_time", "over_shifted_time", ">=", 0.65),
+        ("sensitive_to_swapped_type", "over_swapped_type", ">=", 0.65),
+    ],
+    "pair_ranking": [
+        ("coverage", "coverage", ">=", 0.99), ("auc_delta", "auc_delta", ">=", 0.03), ("pair_accuracy_delta", "pair_accuracy_delta", ">=", 0.05),
+        ("complex_auc_delta", "complex_auc_delta", ">=", 0.03), ("source_auc_drop", "worst_source_auc_drop", "<=", 0.02),
+    ],
+    "pretext_stage_1": [
+        ("coverage", "coverage", ">=", 0.99), ("format_valid", "valid_rate", ">=", 0.95), ("macro_f1_beats_base", "macro_f1_over_base", ">=", 0.10),
+        ("macro_f1_beats_shuffled", "macro_f1_over_shuffled", ">=", 0.10), ("bucket_not_collapsed", "bucket_accuracy", ">=", 0.50),
+        ("bucket_balanced_accuracy", "bucket_balanced_accuracy", ">=", 0.45), ("all_buckets_predicted", "predicted_buckets", ">=", 3),
+    ],
+    "visual_dependence": [
+        ("bucket_balanced_accuracy", "bucket_balanced_accuracy", ">=", 0.45), ("buckets_predicted", "predicted_buckets", ">=", 3),
+        ("micro_f1_drop", "micro_f1_drop", ">=", 0.05), ("macro_f1_drop", "macro_f1_drop", ">=", 0.03), ("bucket_balanced_drop", "bucket_balanced_drop", ">=", 0.10),
+    ],
+    "pretext_stage_2": [
+        ("coverage", "coverage", ">=", 0.99), ("auc_delta", "auc_delta", ">=", 0.02), ("pair_accuracy_delta", "pair_accuracy_delta", ">=", 0.03),
+        ("complex_auc_delta", "complex_auc_delta", ">=", 0.02), ("positive_sources", "positive_sources", ">=", 2),
+    ],
+    "binary_questions": [
+        ("coverage", "least_coverage", ">=", 0.99), ("enough_labels", "supported_labels", ">=", 20), ("trained_an_epoch", "epochs", ">=", 1.0),
+        ("macro_ap", "macro_ap", ">=", 0.65), ("balanced_accuracy", "balanced_accuracy", ">=", 0.60), ("paired_accuracy", "paired_accuracy", ">=", 0.35),
+        ("learned_over_base", "macro_ap_over_base", ">=", 0.08), ("uses_payload", "balanced_over_no_payload", ">=", 0.08),
+        ("responds_to_opposite", "balanced_over_opposite", ">=", 0.15),
+    ],
+    "joint_training": [
+        ("supported_labels", "supported_labels", ">=", 20), ("macro_ap_over_shuffled", "macro_ap_over_shuffled", ">=", 0.03),
+        ("balanced_over_shuffled", "balanced_over_shuffled", ">=", 0.05), ("opposite_drop", "opposite_drop", ">=", 0.10), ("no_frame_drop", "no_frame_drop", ">=", 0.08),
+    ],
+    "retention": [
+        ("coverage", "coverage", ">=", 0.99), ("format_valid", "valid_rate", ">=", 0.95), ("balanced_accuracy_drop", "balanced_accuracy_drop", "<=", 0.03),
+        ("fake_f1_drop", "fake_f1_drop", "<=", 0.03), ("pair_accuracy_drop", "pair_accuracy_drop", "<=", 0.03),
+    ],
+}
+
+
 def gate(metrics: DataFrame, checks: list[tuple[str, str, str, float]]) -> DataFrame:
     """One row per (name, metric, op, threshold) of a one-row metrics table: check, value, op, threshold, passed.
 

@@ -34,6 +34,33 @@ def round_robin(rows: DataFrame, strata: list[str], seed: str, key: str, n: int)
     return first_n(rows, strata, seed, key, n).orderBy("rn", *strata).limit(n)
 
 
+def _quotas(groups: DataFrame, by: list[str], n: int) -> DataFrame:
+    """``by`` and _take: n divided evenly over the groups, the remainder one each to the first; ``groups`` has a row a group."""
+    count = groups.count()
+    place = F.row_number().over(Window.orderBy(*[F.col(b).asc_nulls_last() for b in by])) - 1  # a row a group only
+    return groups.select(*[F.col(b).alias(f"_q_{b}") for b in by], (F.lit(n // max(count, 1)) + (place < n % max(count, 1)).cast("int")).alias("_take"))
+
+
+def label_balanced(rows: DataFrame, label: str, strata: list[str], seed: str, key: str, n: int) -> DataFrame:
+    """n rows, evenly from the labels and within each from its strata in turn; fewer where a label has too few."""
+    quota = _quotas(rows.select(label).distinct(), [label], n)
+    firsts = first_n(rows, [label, *strata], seed, key, n)
+    turns = Window.partitionBy(label).orderBy("rn", *[F.col(s).asc_nulls_last() for s in strata])
+    x = firsts.withColumn("_at", F.row_number().over(turns)).join(quota, F.col(label).eqNullSafe(F.col(f"_q_{label}")))
+    return x.filter("_at <= _take").select(*rows.columns)
+
+
+def quota_with_fill(rows: DataFrame, by: list[str], seed: str, key: str, n: int) -> DataFrame:
+    """n rows: an even quota of each group in hash order, and what small groups lack from the remaining rows in hash order."""
+    quota = _quotas(rows.select(*by).distinct(), by, n)
+    same = [F.col(b).eqNullSafe(F.col(f"_q_{b}")) for b in by]
+    # No group gives more than n rows, and Spark ranks within tasks before the shuffle.
+    own = first_n(rows, by, seed, key, n).join(quota, same).withColumn("_own", F.col("rn") <= F.col("_take"))
+    taken = own.filter("_own").select(*rows.columns)
+    rest = own.filter("NOT _own").withColumn("_h", hash_key(seed, F.col(key))).orderBy("_h", key).limit(max(0, n - taken.count()))
+    return taken.unionByName(rest.select(*rows.columns))
+
+
 def min_class_balance(rows: DataFrame, by: list[str], label: str, seed: str, key: str) -> DataFrame:
     """Within ``by``, as many rows of each label as the rarest label there has (labels that don't occur there don't count)."""
     least = rows.groupBy(*by, label).count().groupBy(*by).agg(F.min("count").alias("_least"))

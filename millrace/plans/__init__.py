@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import evaluation, joining, media, planning, sampling
+from . import answers, evaluation, joining, media, planning, sampling
 
-REGISTRY = {**evaluation.QUERIES, **joining.QUERIES, **sampling.QUERIES, **media.QUERIES, **planning.QUERIES}
+REGISTRY = {**evaluation.QUERIES, **joining.QUERIES, **sampling.QUERIES, **media.QUERIES, **planning.QUERIES, **answers.QUERIES}

@@ -1,3 +1,5 @@
+import math
+
 from pyspark.sql import functions as F
 
 from millrace.functions import geom, text
@@ -35,22 +37,29 @@ def test_boxes(spark):
     assert one(spark, geom.to_thousand(F.lit(12.0), F.lit(640.0))) == 18.75
 
 
-def test_rewards(spark):
-    import math
+def test_reward_of_tagged_responses(spark):
+    from millrace.functions import responses
 
-    from millrace.functions import rewards
+    block = "<type>texture flicker</type> in <t>[0.5, 1]</t> at <bbox>[1, 2, 30, 40]</bbox>"
+    late = "<type>Malformed Text</type> in <t>[0.5, 2.04]</t> at <bbox>[0, 0, 1000, 1000]</bbox>"
+    wrong = "<type>blur</type> in <t>[1, 0.5]</t> at <bbox>[0, 0, 0, 0]</bbox>"
+    cases = [(block, "Fake", "fake"), (wrong + wrong, "Fake", "fake"), (block + block + late, "Fake", "1"), ("x", "Real", "real"), (block, "Real", "fake"), (block, "Fake", "Real"), (block, "no", "real")]
+    df = spark.createDataFrame([(i, f"<think>{b}</think><answer>{a}</answer>", t) for i, (b, a, t) in enumerate(cases)], "i int, r string, t string")
+    df = df.select("i", "r", responses.truth(F.col("t")).alias("true"), responses.answer(F.col("r")).alias("p"))
+    df = df.withColumn("e", responses.evidence(F.col("r"), F.col("p"), F.lit(2.0)))
+    names = ("paper_asymmetric_inspection", "strict_unique_inspection", "asymmetric_answer_only")
+    scores = responses.rewards(F.col("r"), F.col("true"), F.lit(2.0), F.col("p"), F.col("e"))
+    rows = df.select("i", "e.*", *[scores[n].alias(n) for n in names]).orderBy("i").collect()
+    assert [(r.raw, r.strict, r.duplicate, r.bad_type) for r in rows] == [(1, 1, 0, 0), (2, 0, 0, 2), (3, 2, 1, 0), (0, 0, 0, 0), (0, 0, 0, 0), (1, 1, 0, 0), (0, 0, 0, 0)]
+    one_seen = 0.2 * math.log(2)
+    assert [round(r.paper_asymmetric_inspection, 9) for r in rows] == [round(x, 9) for x in (0.8 + one_seen, 0.8 + 0.2 * math.log(3), 0.8 + 0.2 * math.log(4), 0.8, 0.0, -0.16 + one_seen, 0.0)]
+    assert [round(r.strict_unique_inspection, 9) for r in rows] == [round(x, 9) for x in (0.8 + one_seen, 0.8, 0.8 + 0.2 * math.log(3), 0.8, 0.0, -0.16, 0.0)]
+    assert [r.asymmetric_answer_only for r in rows] == [1.0, 1.0, 1.0, 1.0, 0.0, -0.2, 0.0]
 
-    block = "<type>blur</type> in <t>[0.5, 1]</t> at <bbox>[1, 2, 30, 40]</bbox>"
-    zero = "<type>blur</type> in <t>[0.5, 1]</t> at <bbox>[0, 0, 0, 0]</bbox>"
 
-    def score(body, answer, truth):
-        response = F.lit(f"<think>{body}</think><answer>{answer}</answer>")
-        counts = rewards.evidence_counts(rewards.evidence_blocks(response, F.lit(2.0)))
-        row = spark.range(1).select(counts.alias("c"), rewards.answer_reward(response, F.lit(truth), counts["strict"]).alias("r")).first()
-        return row.c.raw, row.c.strict, row.c.duplicate, row.r
+def test_first_balanced_braces(spark):
+    from millrace.functions import responses
 
-    assert score(block, "Fake", "fake") == (1, 1, 0, 0.8 + 0.2 * math.log(2))
-    assert score(zero + zero, "Fake", "fake") == (2, 0, 0, 0.8)
-    assert score(block + block, "Fake", "fake")[:3] == (2, 1, 1)
-    assert score("", "Real", "real") == (0, 0, 0, 0.8) and score(block, "Real", "fake")[3] == 0.8 * -0.2
-    assert one(spark, rewards.outer_format(F.lit("x<think>a</think><answer>Real</answer>"))) is False
+    cases = {'a } {"x": "}{", "y": {"z": 1}} {2}': '{"x": "}{", "y": {"z": 1}}', r'{"q": "\"}"} tail': r'{"q": "\"}"}', "{ open": None, "none": None, "": None, None: None}
+    df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", responses.first_balanced(F.col("t")).alias("b"))
+    assert {r.t: r.b for r in df.collect()} == cases
