@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import placed
+
 
 def deduplicate(rows: DataFrame, keys: list[str], order: list[Column], keep: str = "last") -> DataFrame:
     """One row a key: the first or last by ``order``, or an error where a key repeats (``keep='error'``)."""
@@ -78,9 +80,7 @@ def longest_prefix_join(rows: DataFrame, text: str, rules: DataFrame, value: str
 
 def positional_join(left: DataFrame, right: DataFrame, by: list[str], left_order: list[Column], right_order: list[Column]) -> DataFrame:
     """Pair the n-th left row with the n-th right row of each group."""
-    a = left.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(*left_order)))
-    b = right.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(*right_order)))
-    return a.join(b, [*by, "rn"])
+    return placed(left, by, left_order, "rn").join(placed(right, by, right_order, "rn"), [*by, "rn"])
 
 
 def upsert(old: DataFrame, new: DataFrame, group: str, requested: DataFrame) -> DataFrame:

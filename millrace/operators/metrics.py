@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import running, with_totals
+
 
 def ratio(a: Column, b: Column, empty: float | None = 0.0) -> Column:
     """a / b, and ``empty`` where b is 0."""
@@ -42,8 +44,7 @@ def _steps(rows: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
 
 def roc_auc(rows: DataFrame, by: list[str], score: str, label: str, empty: str = "null") -> DataFrame:
     """``by``, pos, neg, auc by average ranks; ``empty`` is what a missing class gives: nan, zero or null."""
-    below = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    steps = _steps(rows, by, score, label).withColumn("_wins", F.col("_p") * (F.coalesce(F.sum("_n").over(below), F.lit(0)) + F.col("_n") / 2))
+    steps = running(_steps(rows, by, score, label), by, [F.asc("_s")], {"_upto": F.col("_n")}).withColumn("_wins", F.col("_p") * (F.col("_upto") - F.col("_n") / 2))
     agg = steps.groupBy(*by).agg(F.sum("_p").alias("pos"), F.sum("_n").alias("neg"), F.sum("_wins").alias("_w"))
     missing = {"nan": float("nan"), "zero": 0.0, "null": None}[empty]
     return agg.select(*by, "pos", "neg", ratio(F.col("_w"), F.col("pos") * F.col("neg"), missing).alias("auc"))
@@ -51,18 +52,16 @@ def roc_auc(rows: DataFrame, by: list[str], score: str, label: str, empty: str =
 
 def average_precision(rows: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
     """``by``, pos, ap: sum over scores from the top of precision times the gain in recall; 0 without positives."""
-    top = Window.partitionBy(*by).orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, 0)
-    steps = _steps(rows, by, score, label).withColumns({"_tp": F.sum("_p").over(top), "_all": F.sum(F.col("_p") + F.col("_n")).over(top)})
+    steps = running(_steps(rows, by, score, label), by, [F.desc("_s")], {"_tp": F.col("_p"), "_all": F.col("_p") + F.col("_n")})
     agg = steps.groupBy(*by).agg(F.sum("_p").alias("pos"), F.sum(F.col("_p") * F.col("_tp") / F.col("_all")).alias("_a"))
     return agg.select(*by, "pos", ratio(F.col("_a"), F.col("pos")).alias("ap"))
 
 
 def threshold_sweep(rows: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
     """Best threshold of ``score >= t`` by balanced accuracy; ties go to the nearest 0.5, then the larger."""
-    top = Window.partitionBy(*by).orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    steps = _steps(rows, by, score, label).withColumns({"_tp": F.sum("_p").over(top), "_fp": F.sum("_n").over(top), "_P": F.sum("_p").over(whole), "_N": F.sum("_n").over(whole)})
-    ba = F.round((ratio(F.col("_tp"), F.col("_P")) + 1 - ratio(F.col("_fp"), F.col("_N"))) / 2, 12)
+    steps = running(_steps(rows, by, score, label), by, [F.desc("_s")], {"_tp": F.col("_p"), "_fp": F.col("_n")})
+    steps = with_totals(steps, by, steps.groupBy(*by).agg(F.sum("_p").alias("_pos"), F.sum("_n").alias("_neg")))
+    ba = F.round((ratio(F.col("_tp"), F.col("_pos")) + 1 - ratio(F.col("_fp"), F.col("_neg"))) / 2, 12)
     best = steps.withColumn("_ba", ba).groupBy(*by).agg(F.max(F.struct("_ba", (-F.abs(F.col("_s") - 0.5)).alias("_d"), "_s")).alias("_b"))
     return best.select(*by, F.col("_b._s").alias("threshold"), F.col("_b._ba").alias("balanced_accuracy"))
 

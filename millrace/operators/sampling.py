@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import hash_placed, placed, with_totals
+
 
 def hash_key(seed: str, *cols: Column) -> Column:
     """Hex SHA-256 of seed and values joined by colons: the order of all samplers."""
@@ -21,12 +23,13 @@ def hash_shard(key: Column, shards: int) -> Column:
 
 
 def ranked(rows: DataFrame, by: list[str], seed: str, key: str, name: str = "rn") -> DataFrame:
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(hash_key(seed, F.col(key)), key)))
+    """``rows`` with their place in hash order within ``by``; no task holds a whole group."""
+    return hash_placed(rows, by, hash_key(seed, F.col(key)), key, name)
 
 
 def first_n(rows: DataFrame, by: list[str], seed: str, key: str, n: int) -> DataFrame:
     """The n first of each group in hash order; Spark ranks within tasks before the shuffle."""
-    return ranked(rows, by, seed, key).filter(F.col("rn") <= n)
+    return rows.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(hash_key(seed, F.col(key)), key))).filter(F.col("rn") <= n)
 
 
 def round_robin(rows: DataFrame, strata: list[str], seed: str, key: str, n: int) -> DataFrame:
@@ -64,7 +67,7 @@ def quota_with_fill(rows: DataFrame, by: list[str], seed: str, key: str, n: int)
 def min_class_balance(rows: DataFrame, by: list[str], label: str, seed: str, key: str) -> DataFrame:
     """Within ``by``, as many rows of each label as the rarest label there has (labels that don't occur there don't count)."""
     least = rows.groupBy(*by, label).count().groupBy(*by).agg(F.min("count").alias("_least"))
-    return ranked(rows, [*by, label], seed, key).join(F.broadcast(least) if not by else least, by or F.lit(True)).filter("rn <= _least").drop("_least")
+    return with_totals(ranked(rows, [*by, label], seed, key), by, least).filter("rn <= _least").drop("_least")
 
 
 def largest_remainder(sizes: DataFrame, strata: list[str], share: float) -> DataFrame:
@@ -85,9 +88,8 @@ def largest_remainder(sizes: DataFrame, strata: list[str], share: float) -> Data
 def stratified_split(rows: DataFrame, strata: list[str], share: float, seed: str, key: str) -> DataFrame:
     """``rows`` with ``split``: test for the first ``take`` of each stratum in hash order, else train."""
     quota = largest_remainder(rows.groupBy(*strata).agg(F.count("*").alias("n")), strata, share)
-    picked = ranked(rows, strata, seed, key)
-    quota = quota.select(*[F.col(s).alias(f"_{s}") for s in strata], "take")
-    return picked.join(quota, [F.col(s).eqNullSafe(F.col(f"_{s}")) for s in strata]).withColumn("split", F.when(F.col("rn") <= F.col("take"), "test").otherwise("train")).select(*rows.columns, "split")
+    picked = with_totals(ranked(rows, strata, seed, key), strata, quota.select(*strata, "take"))
+    return picked.withColumn("split", F.when(F.col("rn") <= F.col("take"), "test").otherwise("train")).select(*rows.columns, "split")
 
 
 def evenly_spaced(values: Column, k: int) -> Column:
@@ -106,8 +108,9 @@ def rotation(rows: DataFrame, group: str, key: str) -> DataFrame:
     if not total:
         return rows.select(key, F.col(key).alias("other"))
     # Place = rows of groups before it + place in its group: the window over groups is one row a group.
-    order = Window.orderBy(F.desc("_size"), group).rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.orderBy(F.desc("_size"), F.col(group).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_size").over(order), F.lit(0))).drop("_size")
-    placed = rows.select(key, group).withColumn("_in", F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1).join(starts, group).withColumn("_at", F.col("_start") + F.col("_in"))
-    other = placed.select(F.pmod(F.col("_at") - shift, F.lit(total)).alias("_at"), F.col(key).alias("other"), F.col(group).alias("other_group"))
-    return placed.join(other, "_at").select(key, group, "other", "other_group")
+    inside = placed(rows.select(key, group), [group], [F.asc(key)], "_in")
+    stood = with_totals(inside, [group], starts).withColumn("_at", F.col("_start") + F.col("_in") - 1)
+    other = stood.select(F.pmod(F.col("_at") - shift, F.lit(total)).alias("_at"), F.col(key).alias("other"), F.col(group).alias("other_group"))
+    return stood.join(other, "_at").select(key, group, "other", "other_group")

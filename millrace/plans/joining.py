@@ -482,7 +482,7 @@ def zip_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 ZIP_SQL = """
-SELECT a.nation, a.rn::INT AS rn, s_suppkey, c_custkey FROM (SELECT s_nationkey AS nation, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS rn FROM supplier) a
+SELECT a.nation, a.rn, s_suppkey, c_custkey FROM (SELECT s_nationkey AS nation, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS rn FROM supplier) a
 JOIN (SELECT c_nationkey AS nation, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS rn FROM customer) b USING (nation, rn)
 """
 

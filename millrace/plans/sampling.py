@@ -87,7 +87,7 @@ def min_class_balance(spark: SparkSession, d: str) -> DataFrame:
 
 BALANCE_SQL = """
 WITH x AS (SELECT doc_id, lang, quality FROM labels JOIN documents USING (doc_id)), c AS (SELECT lang, min(n) AS least FROM (SELECT lang, quality, count(*) AS n FROM x GROUP BY ALL) GROUP BY lang),
-k AS (SELECT *, row_number() OVER (PARTITION BY lang, quality ORDER BY sha256('bal:' || doc_id), doc_id)::INT AS rn FROM x)
+k AS (SELECT *, row_number() OVER (PARTITION BY lang, quality ORDER BY sha256('bal:' || doc_id), doc_id) AS rn FROM x)
 SELECT lang, quality, doc_id, rn FROM k JOIN c USING (lang) WHERE rn <= least
 """
 
@@ -101,7 +101,7 @@ def balanced_yes_no_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 YESNO_SQL = """
-WITH k AS (SELECT doc_id, lang, toxic, row_number() OVER (PARTITION BY lang, toxic ORDER BY sha256('yn:' || doc_id), doc_id)::INT AS rn FROM labels JOIN documents USING (doc_id))
+WITH k AS (SELECT doc_id, lang, toxic, row_number() OVER (PARTITION BY lang, toxic ORDER BY sha256('yn:' || doc_id), doc_id) AS rn FROM labels JOIN documents USING (doc_id))
 SELECT a.lang, a.rn, a.doc_id AS yes_id, b.doc_id AS no_id FROM k a JOIN k b ON a.lang = b.lang AND a.rn = b.rn AND a.toxic = 1 AND b.toxic = 0
 """
 
