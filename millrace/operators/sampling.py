@@ -114,3 +114,41 @@ def rotation(rows: DataFrame, group: str, key: str) -> DataFrame:
     stood = with_totals(inside, [group], starts).withColumn("_at", F.col("_start") + F.col("_in") - 1)
     other = stood.select(F.pmod(F.col("_at") - shift, F.lit(total)).alias("_at"), F.col(key).alias("other"), F.col(group).alias("other_group"))
     return stood.join(other, "_at").select(key, group, "other", "other_group")
+
+
+def cycle_pad(rows: DataFrame, seed: str, key: str, count: int) -> DataFrame:
+    """``count`` rows with ``repeat_index`` from 0: the rows in hash order, over and over; none from an empty table."""
+    n = rows.count()
+    if n == 0:
+        return rows.withColumn("repeat_index", F.lit(0).cast("long"))
+    at = hash_placed(rows, [], hash_key(seed, F.col(key)), key, "_at").withColumn("_at", F.col("_at") - 1).filter(F.col("_at") < count)
+    return at.withColumn("repeat_index", F.explode(F.sequence("_at", F.lit(count - 1).cast("long"), F.lit(n).cast("long")))).drop("_at")
+
+
+def epoch_draws(rows: DataFrame, seed: str, key: str, epochs: int, world: int) -> DataFrame:
+    """``rows`` once an epoch with ``epoch``, ``draw`` and ``rank``: each epoch in a hash order of its own, dealt in turn to the ranks.
+
+    Draws go on through the epochs: draw * world + rank = epoch * rows + place."""
+    n = rows.count()
+    each = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    at = hash_placed(each, ["epoch"], hash_key(seed, F.col("epoch"), F.col(key)), key, "_at")
+    place = F.col("epoch") * F.lit(n) + F.col("_at") - 1
+    return at.withColumn("draw", F.floor(place / world)).withColumn("rank", F.pmod(place, F.lit(world))).drop("_at")
+
+
+def manifest_order(rows: DataFrame, manifest: DataFrame, key: str, ordinal: str, name: str = "place") -> DataFrame:
+    """``rows`` with their place from 1: in the order of the manifest (a row a key), rows it doesn't name at the end by key."""
+    named = rows.join(manifest.select(key, F.col(ordinal).alias("_ordinal")), key, "left")
+    return placed(named, [], [F.col("_ordinal").asc_nulls_last(), F.asc(key)], name).drop("_ordinal")
+
+
+def resolved_split(rows: DataFrame, explicit: DataFrame, seed: str, key: str, share: float) -> DataFrame:
+    """``rows`` with ``split``: what ``explicit`` (key, split) says, the other of train and test for rows of a half-given split, else by hash.
+
+    Where explicit names only test rows all others are train, and the other way round; where it names neither, ``share`` goes to train.
+    A key with two different splits is an error."""
+    given = explicit.groupBy(key).agg(F.min("split").alias("_given"), F.max("split").alias("_other"))
+    given = given.withColumn("_given", F.when(F.col("_given") == F.col("_other"), F.col("_given")).otherwise(F.raise_error(F.concat(F.lit("in both splits: "), F.col(key).cast("string"))))).drop("_other")
+    kinds = {r[0] for r in explicit.select("split").distinct().limit(3).collect()}
+    rest = {frozenset({"test"}): F.lit("train"), frozenset({"train"}): F.lit("test")}.get(frozenset(kinds), F.when(hash_unit(hash_key(seed, F.col(key))) < share, "train").otherwise("test"))
+    return rows.join(given, key, "left").withColumn("split", F.coalesce("_given", rest)).drop("_given")
