@@ -60,6 +60,29 @@ NAMED = {
         ("coverage", "coverage", ">=", 0.99), ("format_valid", "valid_rate", ">=", 0.95), ("balanced_accuracy_drop", "balanced_accuracy_drop", "<=", 0.03),
         ("fake_f1_drop", "fake_f1_drop", "<=", 0.03), ("pair_accuracy_drop", "pair_accuracy_drop", "<=", 0.03),
     ],
+    "readiness": [
+        ("coverage", "coverage", ">=", 0.99), ("expected_samples", "complete_rate", ">=", 1.0), ("format_exploration", "format_pass_at_k", ">=", 0.90),
+        ("correct_exploration", "correct_pass_at_k", ">=", 0.50), ("both_answers", "both_answers_rate", ">=", 0.10), ("reward_varies", "reward_variance_rate", ">=", 0.20),
+    ],
+    "improvement": [("no_regression", "least_primary_gain", ">=", -0.001), ("gain", "best_primary_gain", ">=", 0.005)],
+    "feature_audit": [
+        ("coverage", "coverage", ">=", 0.95), ("positive_masks", "positive_mask_rate", ">=", 0.90), ("aligned_cases", "aligned_valid_rate", ">=", 0.95),
+        ("inlier_rate", "median_inlier_rate", ">=", 0.50), ("pair_error", "median_pair_error", "<=", 0.02), ("no_invalid_files", "invalid_files", "<=", 0),
+    ],
+    "probe": [
+        ("coverage", "coverage", ">=", 0.95), ("train_coverage", "train_coverage", ">=", 0.95), ("test_coverage", "test_coverage", ">=", 0.95), ("auc_gain", "auc_gain", ">=", 0.03),
+        ("complex_auc_gain", "complex_auc_gain", ">=", 0.03), ("static_auc_gain", "static_auc_gain", ">=", -0.02), ("interval_above_zero", "gain_low", ">", 0),
+    ],
+    "fusion": [
+        ("over_unaligned", "fused_over_unaligned", ">=", 0.01), ("over_global", "fused_over_global", ">=", 0.01), ("complex_over_unaligned", "fused_complex_over_unaligned", ">=", 0.01),
+        ("interval_over_unaligned", "unaligned_low", ">", 0), ("interval_over_global", "global_low", ">", 0),
+    ],
+}
+
+#: What a named gate is called when it passes, what else it may be called under which condition, and what if none holds.
+VERDICTS = {
+    "readiness": ("rl_ready", [("borderline", "coverage >= 0.99 AND reward_variance_rate > 0")], "not_ready"),
+    "probe": ("passed", [("failed", "auc_gain <= 0 OR complex_auc_gain <= 0")], "inconclusive"),
 }
 
 
@@ -74,6 +97,21 @@ def gate(metrics: DataFrame, checks: list[tuple[str, str, str, float]]) -> DataF
     return metrics.select(F.explode(F.array(*made)).alias("c")).select("c.*")
 
 
+def verdict(metrics: DataFrame, name: str) -> DataFrame:
+    """``metrics`` (any number of rows) with ``failed``, the checks of the named gate that don't hold, and ``verdict``.
+
+    A null or NaN metric fails its check here."""
+    missed = []
+    for check, metric, op, threshold in NAMED[name]:
+        v = F.nanvl(F.col(metric).cast("double"), F.lit(None).cast("double"))
+        missed.append(F.when(~F.coalesce(OPS[op](v, F.lit(float(threshold))), F.lit(False)), check))
+    good, others, last = VERDICTS.get(name, ("passed", [], "failed"))
+    out = F.when(F.size("failed") == 0, good)
+    for called, condition in others:
+        out = out.when(F.expr(condition), called)
+    return metrics.withColumn("failed", F.array_compact(F.array(*missed))).withColumn("verdict", out.otherwise(last))
+
+
 def status(checked: DataFrame) -> DataFrame:
     """passed if all are, failed if any is, else inconclusive."""
     agg = checked.agg(F.bool_and(F.coalesce("passed", F.lit(True))).alias("ok"), F.count_if(F.col("passed").isNull()).alias("open"), F.count("*").alias("checks"))

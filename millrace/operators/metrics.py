@@ -57,13 +57,22 @@ def average_precision(rows: DataFrame, by: list[str], score: str, label: str) ->
     return agg.select(*by, "pos", ratio(F.col("_a"), F.col("pos")).alias("ap"))
 
 
-def threshold_sweep(rows: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
-    """Best threshold of ``score >= t`` by balanced accuracy; ties go to the nearest 0.5, then the larger."""
-    steps = running(_steps(rows, by, score, label), by, [F.desc("_s")], {"_tp": F.col("_p"), "_fp": F.col("_n")})
+def threshold_sweep(rows: DataFrame, by: list[str], score: str, label: str, goal: str = "balanced_accuracy") -> DataFrame:
+    """Best threshold of ``score >= t`` by ``goal`` (balanced_accuracy or f1); ties go to the nearest 0.5, then the larger.
+
+    Candidates are 0, 1 and all scores of the group, however many."""
+    ends = F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("_s")
+    each = _steps(rows, by, score, label)
+    none = each.select(*by).distinct().select(*by, ends, F.lit(0).cast("long").alias("_p"), F.lit(0).cast("long").alias("_n"))
+    each = each.unionByName(none).groupBy(*by, "_s").agg(F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
+    steps = running(each, by, [F.desc("_s")], {"_tp": F.col("_p"), "_fp": F.col("_n")})
     steps = with_totals(steps, by, steps.groupBy(*by).agg(F.sum("_p").alias("_pos"), F.sum("_n").alias("_neg")))
-    ba = F.round((ratio(F.col("_tp"), F.col("_pos")) + 1 - ratio(F.col("_fp"), F.col("_neg"))) / 2, 12)
-    best = steps.withColumn("_ba", ba).groupBy(*by).agg(F.max(F.struct("_ba", (-F.abs(F.col("_s") - 0.5)).alias("_d"), "_s")).alias("_b"))
-    return best.select(*by, F.col("_b._s").alias("threshold"), F.col("_b._ba").alias("balanced_accuracy"))
+    value = {
+        "balanced_accuracy": (ratio(F.col("_tp"), F.col("_pos")) + 1 - ratio(F.col("_fp"), F.col("_neg"))) / 2,
+        "f1": ratio(2 * F.col("_tp"), F.col("_tp") + F.col("_fp") + F.col("_pos")),
+    }[goal]
+    best = steps.withColumn("_v", F.round(value, 12)).groupBy(*by).agg(F.max(F.struct("_v", (-F.abs(F.col("_s") - 0.5)).alias("_d"), "_s")).alias("_b"))
+    return best.select(*by, F.col("_b._s").alias("threshold"), F.col("_b._v").alias(goal))
 
 
 def two_level_variance(rows: DataFrame, outer: list[str], inner: list[str], value: str, tiny: float = 1e-12) -> DataFrame:

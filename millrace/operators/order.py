@@ -48,6 +48,19 @@ def running(rows: DataFrame, by: list[str], order: list[Column], sums: dict[str,
     return out.drop("_part", *values, *[f"_b{v}" for v in values])
 
 
+def running_max(rows: DataFrame, by: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
+    """``rows`` with the largest ``value`` so far (the row included) in ``order`` within ``by``; nulls don't count.
+
+    Rows that are equal in ``order`` must have equal values, or give an order without ties."""
+    dealt = rows.withColumn("_v", value).repartitionByRange(*[F.col(b).asc_nulls_last() for b in by], *order).withColumn("_part", F.spark_partition_id())
+    dealt = cut(dealt, "dealt")
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = dealt.groupBy(*by, "_part").agg(F.max("_v").alias("_m")).select(*by, "_part", F.max("_m").over(earlier).alias("_before"))
+    here = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = with_totals(dealt, [*by, "_part"], cut(before, "before"))
+    return out.withColumn(name, F.greatest(F.max("_v").over(here), "_before")).drop("_v", "_part", "_before")
+
+
 def placed(rows: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
     """``rows`` with their place from 1 in ``order`` within ``by``."""
     return running(rows, by, order, {name: F.lit(1).cast("long")})

@@ -85,6 +85,19 @@ def largest_remainder(sizes: DataFrame, strata: list[str], share: float) -> Data
     return base.join(extra, same, "left").select(*strata, "n", (F.col("_floor") + F.coalesce("_extra", F.lit(0))).cast("long").alias("take"))
 
 
+def largest_shares(sizes: DataFrame, stratum: str, count: int) -> DataFrame:
+    """(stratum, take): ``count`` dealt in proportion to ``n``, rounded by largest remainder; at least 1 each if there is room for all.
+
+    ``sizes`` has a row a stratum."""
+    total, strata = sizes.agg(F.sum("n"), F.count("*")).first()
+    exact = F.col("n") * F.lit(count) / F.lit(max(total or 0, 1))
+    base = sizes.withColumn("_floor", F.floor(exact)).withColumn("_rest", exact - F.floor(exact))
+    short = count - (base.agg(F.sum("_floor")).first()[0] or 0)
+    place = F.row_number().over(Window.orderBy(F.desc("_rest"), F.col(stratum).asc_nulls_last()))  # a row a stratum only
+    take = F.col("_floor") + (place <= short).cast("int")
+    return base.select(stratum, F.when(F.lit(count >= strata), F.greatest(take, F.lit(1))).otherwise(take).cast("long").alias("take"))
+
+
 def stratified_split(rows: DataFrame, strata: list[str], share: float, seed: str, key: str) -> DataFrame:
     """``rows`` with ``split``: test for the first ``take`` of each stratum in hash order, else train."""
     quota = largest_remainder(rows.groupBy(*strata).agg(F.count("*").alias("n")), strata, share)

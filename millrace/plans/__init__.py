@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import answers, catalog, evaluation, joining, media, planning, sampling
+from . import answers, casework, catalog, evaluation, joining, media, planning, sampling
 
-REGISTRY = {**evaluation.QUERIES, **joining.QUERIES, **sampling.QUERIES, **media.QUERIES, **planning.QUERIES, **answers.QUERIES, **catalog.QUERIES}
+REGISTRY = {**evaluation.QUERIES, **joining.QUERIES, **sampling.QUERIES, **media.QUERIES, **planning.QUERIES, **answers.QUERIES, **catalog.QUERIES, **casework.QUERIES}

@@ -62,14 +62,26 @@ def threshold_sweep_ba(spark: SparkSession, d: str) -> DataFrame:
     return metrics.threshold_sweep(_scored(spark, d), ["lang"], "score", "quality").select("lang", "threshold", r6("balanced_accuracy"))
 
 
-SWEEP_SQL = f"""
-WITH x AS ({SCORED}), g AS (SELECT lang, score, sum(quality) AS p, sum(1 - quality) AS n FROM x GROUP BY lang, score),
+def _sweep_sql(goal: str, value: str) -> str:
+    return f"""
+WITH x AS ({SCORED}), e AS (SELECT lang, score, quality AS p, 1 - quality AS n FROM x UNION ALL SELECT DISTINCT lang, unnest([0.0::DOUBLE, 1.0::DOUBLE]), 0, 0 FROM x),
+g AS (SELECT lang, score, sum(p) AS p, sum(n) AS n FROM e GROUP BY lang, score),
 c AS (SELECT lang, score, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER (PARTITION BY lang) AS ap, sum(n) OVER (PARTITION BY lang) AS an FROM g WINDOW w AS (PARTITION BY lang ORDER BY score DESC)),
-b AS (SELECT lang, score, round((coalesce(tp / nullif(ap, 0)::DOUBLE, 0) + 1 - coalesce(fp / nullif(an, 0)::DOUBLE, 0)) / 2, 12) AS ba FROM c)
-SELECT lang, score AS threshold, round(ba, 6) AS balanced_accuracy FROM b QUALIFY row_number() OVER (PARTITION BY lang ORDER BY ba DESC, abs(score - 0.5::DOUBLE), score DESC) = 1
+b AS (SELECT lang, score, round({value}, 12) AS v FROM c)
+SELECT lang, score AS threshold, round(v, 6) AS {goal} FROM b QUALIFY row_number() OVER (PARTITION BY lang ORDER BY v DESC, abs(score - 0.5::DOUBLE), score DESC) = 1
 """
 
 
+SWEEP_SQL = _sweep_sql("balanced_accuracy", "(coalesce(tp / nullif(ap, 0)::DOUBLE, 0) + 1 - coalesce(fp / nullif(an, 0)::DOUBLE, 0)) / 2")
+
+
+def threshold_sweep_f1(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.threshold_sweep(_scored(spark, d), ["lang"], "score", "quality", "f1").select("lang", "threshold", r6("f1"))
+
+
+SWEEP_F1_SQL = _sweep_sql("f1", "coalesce(2 * tp / nullif(tp + fp + ap, 0)::DOUBLE, 0)")
+
+
 def pairwise_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Per source and the unweighted mean over sources: toxic as gold, low quality as prediction."""
     per = metrics.confusion(_scored(spark, d), ["source"], F.col("toxic") == 1, F.col("quality") == 0).select("source", "recall", "balanced_accuracy", "f1")
@@ -298,7 +310,7 @@ SELECT repeat::INT AS repeat, round(sum(times * toxic) / sum(times)::DOUBLE, 6)
 
 QUERIES = {
     "confusion_by_lang": (confusion_by_lang, CONFUSION_SQL), "auc_by_lang": (auc_by_lang, AUC_SQL), "average_precision_by_lang": (average_precision_by_lang, AP_SQL),
-    "threshold_sweep_ba": (threshold_sweep_ba, SWEEP_SQL), "pairwise_metrics": (pairwise_metrics, PAIRWISE_SQL), "multilabel_prf": (multilabel_prf, MULTI_SQL),
+    "threshold_sweep_ba": (threshold_sweep_ba, SWEEP_SQL), "threshold_sweep_f1": (threshold_sweep_f1, SWEEP_F1_SQL), "pairwise_metrics": (pairwise_metrics, PAIRWISE_SQL), "multilabel_prf": (multilabel_prf, MULTI_SQL),
     "sample_set_f1": (sample_set_f1, SETF1_SQL), "bucket_confusion": (bucket_confusion, BUCKET_SQL), "group_variance_rate": (group_variance_rate, VARIANCE_SQL),
     "pass_at_k": (pass_at_k, PASS_SQL), "quantiles_by_group": (quantiles_by_group, QUANTILE_SQL), "grouping_sets_counts": (grouping_sets_counts, SETS_SQL),
     "explode_counts": (explode_counts, EXPLODE_SQL), "explode_counts_all": (explode_counts_all, EXPLODE_ALL_SQL), "rolling_centered": (rolling_centered, ROLLING_SQL), "window_stats_slope_corr": (window_stats_slope_corr, STATS_SQL),
