@@ -8,32 +8,11 @@ from pyspark.sql import functions as F
 from ..session import cut as _cut
 
 
-def capped_assignment(candidates: DataFrame, target: str, donor: str, score: str, cap: int, rounds: int) -> DataFrame:
-    """(target, donor, score, round): each target at most once, each donor at most ``cap`` times.
-
-    In a round every open target proposes its best donor that has room (by score, then donor), and each donor accepts
-    its best proposals (by score, then target) up to its room, as in deferred allocation without replacement of earlier
-    choices.  Later rounds serve those that were refused; what is open after the last round stays unassigned."""
-    done = None
-    for turn in range(rounds):
-        open_ = candidates
-        if done is not None:
-            full = done.groupBy(donor).agg(F.count("*").alias("_used"))
-            open_ = open_.join(done.select(target), target, "left_anti").join(full, donor, "left").filter(F.coalesce("_used", F.lit(0)) < cap)
-        else:
-            open_ = open_.withColumn("_used", F.lit(None).cast("long"))
-        best = open_.groupBy(target).agg(F.min(F.struct((-F.col(score)).alias("_s"), F.col(donor).alias("_d"), "_used")).alias("_b"))
-        asked = best.select(target, F.col("_b._d").alias(donor), (-F.col("_b._s")).alias(score), F.col("_b._used").alias("_used"))
-        rank = F.row_number().over(Window.partitionBy(donor).orderBy(F.desc(score), target))
-        taken = asked.withColumn("_r", rank).filter(F.col("_r") <= cap - F.coalesce("_used", F.lit(0))).select(target, donor, score, F.lit(turn).alias("round"))
-        done = taken if done is None else done.unionByName(taken)
-    return done
-
-
 def assign_all(candidates: DataFrame, target: str, donor: str, score: str, cap: int) -> DataFrame:
     """(target, donor, score, round, reason): every target of ``candidates`` once, each donor at most ``cap`` times.
 
-    The rounds of ``capped_assignment`` until one accepts nothing.  As long as an open target has a donor with room, it
+    In a round every open target proposes its best donor that has room (by score, then donor), and each donor accepts
+    its best proposals (by score, then target) up to its room; there are rounds until one accepts nothing.  As long as an open target has a donor with room, it
     proposes, and a donor that is asked accepts at least one; so a target stays open only if all its donors are full.
     It then has no donor, score and round, and the reason "all donors full"; a target whose donors or scores are all
     null has "no donor"."""
@@ -45,7 +24,7 @@ def assign_all(candidates: DataFrame, target: str, donor: str, score: str, cap:
         best = open_.groupBy(target).agg(F.min(F.struct((-F.col(score)).alias("_s"), F.col(donor).alias("_d"), "_room")).alias("_b"))
         asked = best.select(target, F.col("_b._d").alias(donor), (-F.col("_b._s")).alias(score), F.col("_b._room").alias("_room"))
         rank = F.row_number().over(Window.partitionBy(donor).orderBy(F.desc(score), target))
-        taken = _cut(asked.withColumn("_r", rank).filter(F.col("_r") <= F.col("_room")).select(target, donor, score, F.lit(turn).alias("round")))
+        taken = _cut(asked.withColumn("_r", rank).filter((F.col("_r") <= cap) & (F.col("_r") <= F.col("_room"))).select(target, donor, score, F.lit(turn).alias("round")))
         if taken.isEmpty():
             break
         done = taken if done is None else _cut(done.unionByName(taken))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .order import placed
 
 
@@ -47,7 +48,7 @@ def nearest_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, to
     """For each left row the right ``value`` nearest in ``at`` within tolerance (ties: earlier, then smaller value).
 
     Times fall into cells as wide as the tolerance, so a match lies in the same or a neighbouring cell: an equi join
-    on keys and cell instead of a range join over all pairs."""
+    on keys and cell instead of a range join over all pairs.  A cell itself is still paired in full."""
     cell = lambda c: F.floor(c / tolerance)
     r = right.select(*keys, F.col(at).alias("_rt"), F.col(value).alias("_rv")).withColumn("_cell", F.explode(F.array(*[cell(F.col("_rt")) + d for d in (-1, 0, 1)])))
     near = left.withColumn("_cell", cell(F.col(at))).join(r, [*keys, "_cell"]).filter(F.abs(F.col(at) - F.col("_rt")) <= tolerance)
@@ -73,8 +74,8 @@ def longest_prefix_join(rows: DataFrame, text: str, rules: DataFrame, value: str
 
     A text has few prefixes that end at a slash, so it is an equi join on these, whatever the number of rules."""
     parts = F.split(F.col(text), "/")
-    cut = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    found = rows.select(id_col, F.explode(cut).alias("prefix")).join(rules, "prefix").groupBy(id_col).agg(F.max_by(value, F.length("prefix")).alias(value), F.max(F.length("prefix")).alias("prefix_length"))
+    fronts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    found = rows.select(id_col, F.explode(fronts).alias("prefix")).join(rules, "prefix").groupBy(id_col).agg(F.max_by(value, F.length("prefix")).alias(value), F.max(F.length("prefix")).alias("prefix_length"))
     return rows.select(id_col, text).join(found, id_col, "left")
 
 
@@ -96,11 +97,25 @@ def upsert(old: DataFrame, new: DataFrame, group: str, requested: DataFrame) ->
     return kept.unionByName(taken)
 
 
-def blocked_top_k(left: DataFrame, right: DataFrame, block: list[str], left_id: str, right_id: str, differ: Column, score: Column, k: int, tie: Column) -> DataFrame:
-    """Top k partners of each left row among right rows of its block."""
-    pairs = left.join(right, block).filter(differ).withColumn("score", score)
-    rank = F.row_number().over(Window.partitionBy(left_id).orderBy(F.desc("score"), tie))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select(*block, left_id, right_id, "score", "rank")
+def nearest_in_block(rows: DataFrame, block: list[str], id_col: str, value: str, k: int, digits: int = 4) -> DataFrame:
+    """block, ``id_col``, other, score, rank: the ``k`` rows of a row's block nearest to it in ``value``.
+
+    The score is the negative distance rounded to ``digits``; ties go to the lesser id.  Ids are distinct; rows with a
+    null id, value or block column and rows alone in their block are left out.  A block is reduced to its different values with their
+    k + 1 least ids; a value's nearest lie among the k values before and behind it by place, so no pairs of a block are made."""
+    known = rows.dropna(subset=[*block, id_col, value]).select(*block, id_col, value)
+    least = F.row_number().over(Window.partitionBy(*block, value).orderBy(id_col))
+    few = known.withColumn("_r", least).filter(F.col("_r") <= k + 1)
+    levels = few.groupBy(*block, value).agg(F.array_sort(F.collect_list(id_col)).alias("_ids"))
+    levels = cut(placed(levels, block, [F.col(value)], "_p"), "levels")
+    around = levels.select(*block, F.col(value).alias("_v"), F.explode(F.sequence(F.col("_p") - k, F.col("_p") + k)).alias("_p"))
+    met = around.join(levels.select(*block, "_p", F.col(value).alias("_w"), "_ids"), [*block, "_p"])
+    score = F.round(-F.abs(F.col("_v") - F.col("_w")), digits)
+    found = met.groupBy(*block, "_v").agg(F.flatten(F.collect_list(F.transform("_ids", lambda i: F.struct((-score).alias("d"), i.alias("id"))))).alias("_near"))
+    nearest = cut(found.select(*block, F.col("_v").alias(value), F.slice(F.array_sort("_near"), 1, k + 1).alias("_near")), "nearest")
+    others = F.slice(F.filter("_near", lambda x: x["id"] != F.col(id_col)), 1, k)
+    out = known.join(nearest, [*block, value]).select(*block, id_col, F.posexplode(others).alias("_i", "_x"))
+    return out.select(*block, id_col, F.col("_x.id").alias("other"), (-F.col("_x.d")).alias("score"), (F.col("_i") + 1).cast("int").alias("rank"))
 
 
 def best_by_tiers(rows: DataFrame, block: list[str], id_col: str, tiers: list[tuple[str, int]], rest: int) -> DataFrame:

@@ -8,10 +8,12 @@ reduced to one row per group and score, which is what is sorted and accumulated.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .order import running, with_totals
 
 
@@ -81,9 +83,27 @@ def two_level_variance(rows: DataFrame, outer: list[str], inner: list[str], valu
     return each.groupBy(*outer).agg(F.count("*").alias("groups"), F.avg((F.col("_sd") <= tiny).cast("double")).alias("zero_variance_rate"), F.avg("_sd").alias("mean_std"))
 
 
-def upper_median(values: str) -> Column:
-    """The element at n // 2 of the sorted values, without interpolation."""
-    return F.expr(f"element_at(array_sort(collect_list({values})), CAST(count({values}) DIV 2 AS INT) + 1)")
+def order_statistics(rows: DataFrame, by: list[str], value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """For each group the values that stand at ``places``, functions of the group's count n to a place from 0; nulls don't count.
+
+    Values are counted first and places are running counts over range partitions: no task holds a group's values."""
+    each = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    upto = cut(running(each, by, [F.col(value)], {"_upto": F.col("_n")}), "upto")
+    placed = with_totals(upto, by, upto.groupBy(*by).agg(F.sum("_n").alias("_all")))
+    at = {name: place(F.col("_all")) for name, place in places.items()}
+    return placed.groupBy(*by).agg(*[F.max(F.when((F.col("_upto") - F.col("_n") <= a) & (a < F.col("_upto")), F.col(value))).alias(name) for name, a in at.items()])
+
+
+def quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """For each group the exact quantiles of ``value``, linear between the two values around the place share * (n - 1)."""
+    places = {}
+    for name, share in shares.items():
+        places[f"{name}_lo"] = lambda n, p=share: F.floor(p * (n - 1))
+        places[f"{name}_hi"] = lambda n, p=share: F.ceil(p * (n - 1))
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("_all"))
+    found = with_totals(order_statistics(rows, by, value, places), by, counted)
+    part = lambda p: F.lit(p) * (F.col("_all") - 1) - F.floor(F.lit(p) * (F.col("_all") - 1))
+    return found.select(*by, *[(F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * part(p)).alias(n) for n, p in shares.items()])
 
 
 def set_f1(gold: Column, predicted: Column) -> Column:

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .order import hash_placed, placed, with_totals
 
 
+#: Limits from here on are not pushed into tasks by Spark (its default of spark.sql.optimizer.windowGroupLimitThreshold).
+RANKED_IN_TASKS = 1000
+
+
 def hash_key(seed: str, *cols: Column) -> Column:
     """Hex SHA-256 of seed and values joined by colons: the order of all samplers."""
     return F.sha2(F.concat_ws(":", F.lit(seed), *[c.cast("string") for c in cols]), 256)
@@ -28,7 +32,9 @@ def ranked(rows: DataFrame, by: list[str], seed: str, key: str, name: str = "rn"
 
 
 def first_n(rows: DataFrame, by: list[str], seed: str, key: str, n: int) -> DataFrame:
-    """The n first of each group in hash order; Spark ranks within tasks before the shuffle."""
+    """The n first of each group in hash order.  Spark ranks small n within tasks before the shuffle; larger ones are places over ranges of the hash."""
+    if n >= RANKED_IN_TASKS:
+        return ranked(rows, by, seed, key).filter(F.col("rn") <= n)
     return rows.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(hash_key(seed, F.col(key)), key))).filter(F.col("rn") <= n)
 
 
@@ -40,8 +46,8 @@ def round_robin(rows: DataFrame, strata: list[str], seed: str, key: str, n: int)
 def _quotas(groups: DataFrame, by: list[str], n: int) -> DataFrame:
     """``by`` and _take: n divided evenly over the groups, the remainder one each to the first; ``groups`` has a row a group."""
     count = groups.count()
-    place = F.row_number().over(Window.orderBy(*[F.col(b).asc_nulls_last() for b in by])) - 1  # a row a group only
-    return groups.select(*[F.col(b).alias(f"_q_{b}") for b in by], (F.lit(n // max(count, 1)) + (place < n % max(count, 1)).cast("int")).alias("_take"))
+    place = F.col("_place") - 1
+    return placed(groups, [], [F.col(b).asc_nulls_last() for b in by], "_place").select(*[F.col(b).alias(f"_q_{b}") for b in by], (F.lit(n // max(count, 1)) + (place < n % max(count, 1)).cast("int")).alias("_take"))
 
 
 def label_balanced(rows: DataFrame, label: str, strata: list[str], seed: str, key: str, n: int) -> DataFrame:

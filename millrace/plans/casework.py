@@ -308,21 +308,24 @@ SELECT 'Clip B and clip A in ABBA: ' || CASE WHEN o_orderkey % 2 = 0 THEN 'B' EL
 
 
 def readiness_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    """The readiness gate for each priority: orders are questions, their lines sampled answers, flag R the right one, A another, N no valid one."""
+    """The readiness gate for each priority: orders are questions, their lines sampled answers, flag R the right one, A another, N no valid one.
+
+    A question is complete if it has as many answers as its last one's number; rewards are 1 for the right answer, 0 for others."""
     flag = lambda f: F.count_if(F.col("l_returnflag").isin(*f))
-    each = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(flag("RA").alias("valid"), flag("R").alias("right"), flag("A").alias("wrong"))
+    each = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        flag("RA").alias("valid"), flag("R").alias("right"), flag("A").alias("wrong"), F.count("*").alias("all"), F.max("l_linenumber").alias("last"))
     o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority").join(each, "o_orderkey", "left")
     share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
     m = o.groupBy("o_orderpriority").agg(
-        share(F.col("valid").isNotNull()).alias("coverage"), F.lit(1.0).alias("complete_rate"), share(F.col("valid") > 0).alias("format_pass_at_k"), share(F.col("right") > 0).alias("correct_pass_at_k"),
-        share((F.col("right") > 0) & (F.col("wrong") > 0)).alias("both_answers_rate"), share((F.col("right") > 0) & (F.col("wrong") > 0)).alias("reward_variance_rate"))
+        share(F.col("valid").isNotNull()).alias("coverage"), share(F.col("all") == F.col("last")).alias("complete_rate"), share(F.col("valid") > 0).alias("format_pass_at_k"), share(F.col("right") > 0).alias("correct_pass_at_k"),
+        share((F.col("right") > 0) & (F.col("wrong") > 0)).alias("both_answers_rate"), share((F.col("right") > 0) & (F.col("right") < F.col("all"))).alias("reward_variance_rate"))
     return gates.verdict(m, "readiness").select("o_orderpriority", F.array_join("failed", ",").alias("failed"), "verdict")
 
 
 READY_SQL = """
-WITH e AS (SELECT l_orderkey AS o_orderkey, count(*) FILTER (l_returnflag IN ('R', 'A')) AS v, count(*) FILTER (l_returnflag = 'R') AS r, count(*) FILTER (l_returnflag = 'A') AS w FROM lineitem GROUP BY 1),
-m AS (SELECT o_orderpriority, avg((v IS NOT NULL)::INT) AS c, avg(coalesce(v > 0, false)::INT) AS f, avg(coalesce(r > 0, false)::INT) AS p, avg(coalesce(r > 0 AND w > 0, false)::INT) AS b FROM orders LEFT JOIN e USING (o_orderkey) GROUP BY 1),
-x AS (SELECT *, concat_ws(',', CASE WHEN c < 0.99 THEN 'coverage' END, CASE WHEN f < 0.9 THEN 'format_exploration' END, CASE WHEN p < 0.5 THEN 'correct_exploration' END, CASE WHEN b < 0.1 THEN 'both_answers' END, CASE WHEN b < 0.2 THEN 'reward_varies' END) AS failed FROM m)
+WITH e AS (SELECT l_orderkey AS o_orderkey, count(*) FILTER (l_returnflag IN ('R', 'A')) AS v, count(*) FILTER (l_returnflag = 'R') AS r, count(*) FILTER (l_returnflag = 'A') AS w, count(*) AS n, max(l_linenumber) AS z FROM lineitem GROUP BY 1),
+m AS (SELECT o_orderpriority, avg((v IS NOT NULL)::INT) AS c, avg(coalesce(v > 0, false)::INT) AS f, avg(coalesce(r > 0, false)::INT) AS p, avg(coalesce(r > 0 AND w > 0, false)::INT) AS b, avg(coalesce(n = z, false)::INT) AS k, avg(coalesce(r > 0 AND r < n, false)::INT) AS u FROM orders LEFT JOIN e USING (o_orderkey) GROUP BY 1),
+x AS (SELECT *, concat_ws(',', CASE WHEN c < 0.99 THEN 'coverage' END, CASE WHEN k < 1 THEN 'expected_samples' END, CASE WHEN f < 0.9 THEN 'format_exploration' END, CASE WHEN p < 0.5 THEN 'correct_exploration' END, CASE WHEN b < 0.1 THEN 'both_answers' END, CASE WHEN u < 0.2 THEN 'reward_varies' END) AS failed FROM m)
 SELECT o_orderpriority, failed, CASE WHEN failed = '' THEN 'rl_ready' WHEN c >= 0.99 AND b > 0 THEN 'borderline' ELSE 'not_ready' END AS verdict FROM x
 """
 

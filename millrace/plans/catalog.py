@@ -18,13 +18,13 @@ def _name(c: Column, names: tuple[str, ...]) -> Column:
 
 def motion_buckets(spark: SparkSession, d: str) -> DataFrame:
     """Orders by bucket of their labels in all four readings and by coarse signature."""
-    x = table(spark, d, "lineitem").filter("l_linenumber <= 3").groupBy("l_orderkey").agg(F.collect_set(_name(F.col("l_partkey"), WRITTEN)).alias("ls"))
+    x = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set(_name(F.col("l_partkey"), WRITTEN)).alias("ls"))
     x = x.select(L.motion_bucket(F.col("ls")).alias("plain"), L.motion_bucket(F.col("ls"), "none").alias("as_none"), L.motion_bucket(F.col("ls"), "own").alias("own"), L.motion_bucket(F.col("ls"), "text").alias("by_text"), L.coarse_signature(F.col("ls")).alias("signature"))
     return x.groupBy(*x.columns).agg(F.count("*").alias("n"))
 
 
 BUCKET_SQL = """
-WITH x AS (SELECT l_orderkey, list(l_partkey % 12) AS k FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1),
+WITH x AS (SELECT l_orderkey, list(l_partkey % 12) AS k FROM lineitem GROUP BY 1),
 y AS (SELECT CASE WHEN list_contains(k, 0) THEN 'complex-motion' WHEN list_contains(k, 1) THEN 'minor-motion' END AS m, list_contains(k, 2) AS none, list_contains(k, 3) AS st, list_contains(k, 1) AS minor, k FROM x)
 SELECT coalesce(m, CASE WHEN none THEN 'no-motion' END, 'unknown') AS plain, coalesce(m, CASE WHEN none OR st THEN 'no-motion' END, 'unknown') AS as_none, coalesce(m, CASE WHEN none OR st THEN 'static' END, 'unknown') AS own,
   CASE WHEN st THEN 'static' WHEN minor THEN 'minor-motion' ELSE 'complex-motion' END AS by_text,
@@ -80,7 +80,7 @@ SELECT status, CASE k WHEN 0 THEN 'target:missing_mask' WHEN 1 THEN 'donor: mapp
 
 def strict_label_lists(spark: SparkSession, d: str) -> DataFrame:
     """Label lists of orders in a tag, some of them broken, by the reason they are refused for."""
-    x = table(spark, d, "lineitem").filter("l_linenumber <= 2").groupBy("l_orderkey").agg(F.collect_list(_name(F.col("l_partkey"), WRITTEN)).alias("ls"))
+    x = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(_name(F.col("l_partkey"), WRITTEN)).alias("ls"))
     k = F.col("l_orderkey") % 7
     body = F.concat(F.lit("["), F.array_join(F.transform("ls", lambda x: F.concat(F.lit('"'), x, F.lit('"'))), ", "), F.when(k == 1, "").when(k == 2, ", 5]").otherwise("]"))
     text = F.concat(F.when(k == 3, "so ").otherwise(" "), F.lit("<camera_motion>"), body, F.lit("</camera_motion>\n"))
@@ -89,7 +89,7 @@ def strict_label_lists(spark: SparkSession, d: str) -> DataFrame:
 
 
 STRICT_SQL = """
-WITH x AS (SELECT l_orderkey % 7 AS k, list(l_partkey % 12) AS ls FROM lineitem WHERE l_linenumber <= 2 GROUP BY l_orderkey),
+WITH x AS (SELECT l_orderkey % 7 AS k, list(l_partkey % 12) AS ls FROM lineitem GROUP BY l_orderkey),
 y AS (SELECT ls, CASE WHEN k = 3 THEN 'tag_or_extra_text' WHEN k = 1 THEN 'invalid_json' WHEN k = 2 THEN 'not_string_list' WHEN len(ls) > len(list_distinct(ls)) THEN 'duplicate_labels' WHEN len(list_filter(ls, lambda v: v >= 8)) > 0 THEN 'unknown_labels' ELSE '' END AS reason FROM x)
 SELECT reason, count(*) AS n, sum(CASE WHEN reason = '' THEN len(ls) ELSE 0 END)::BIGINT AS labels FROM y GROUP BY ALL
 """

@@ -165,8 +165,10 @@ SELECT turns, count(*) AS conversations, round(avg(coalesce(answered, false)::IN
 
 
 def quantiles_by_group(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem")
-    return li.groupBy("l_returnflag", "l_linestatus").agg(*[F.round(F.percentile("l_extendedprice", F.lit(p)), 4).alias(n) for n, p in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95))], metrics.upper_median("l_quantity").alias("upper_median_quantity"))
+    li, by = table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"]
+    q = metrics.quantiles(li, by, "l_extendedprice", {"p05": 0.05, "p50": 0.5, "p95": 0.95})
+    m = metrics.order_statistics(li, by, "l_quantity", {"upper_median_quantity": lambda n: F.floor(n / 2)})
+    return q.select(*by, *[F.round(c, 4).alias(c) for c in ("p05", "p50", "p95")]).join(m, by)
 
 
 QUANTILE_SQL = """
@@ -183,16 +185,8 @@ def grouping_sets_counts(spark: SparkSession, d: str) -> DataFrame:
 SETS_SQL = "SELECT lang, source, grouping_id(lang, source)::BIGINT AS level, count(*) AS n FROM documents GROUP BY GROUPING SETS ((lang), (source), (lang, source), ())"
 
 
-def explode_counts(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("token"))
-    return docs.groupBy("lang", "token").agg(F.count("*").alias("n")).filter("n >= 5")
-
-
-EXPLODE_SQL = "SELECT lang, token, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS token FROM documents) GROUP BY ALL HAVING count(*) >= 5"
-
-
 def explode_counts_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every token of each language with its count, however rare (``explode_counts`` has those from 5 on)."""
+    """Every token of each language with its count, however rare."""
     docs = table(spark, d, "documents").select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("token"))
     return docs.groupBy("lang", "token").agg(F.count("*").alias("n"))
 
@@ -313,7 +307,7 @@ QUERIES = {
     "threshold_sweep_ba": (threshold_sweep_ba, SWEEP_SQL), "threshold_sweep_f1": (threshold_sweep_f1, SWEEP_F1_SQL), "pairwise_metrics": (pairwise_metrics, PAIRWISE_SQL), "multilabel_prf": (multilabel_prf, MULTI_SQL),
     "sample_set_f1": (sample_set_f1, SETF1_SQL), "bucket_confusion": (bucket_confusion, BUCKET_SQL), "group_variance_rate": (group_variance_rate, VARIANCE_SQL),
     "pass_at_k": (pass_at_k, PASS_SQL), "quantiles_by_group": (quantiles_by_group, QUANTILE_SQL), "grouping_sets_counts": (grouping_sets_counts, SETS_SQL),
-    "explode_counts": (explode_counts, EXPLODE_SQL), "explode_counts_all": (explode_counts_all, EXPLODE_ALL_SQL), "rolling_centered": (rolling_centered, ROLLING_SQL), "window_stats_slope_corr": (window_stats_slope_corr, STATS_SQL),
+    "explode_counts_all": (explode_counts_all, EXPLODE_ALL_SQL), "rolling_centered": (rolling_centered, ROLLING_SQL), "window_stats_slope_corr": (window_stats_slope_corr, STATS_SQL),
     "longest_run": (longest_run_hours, RUN_SQL), "runs_max_gap": (runs_max_gap, GAP_SQL), "cosine_steps": (cosine_steps, COSINE_SQL), "gate_table": (gate_table, GATE_SQL),
     "coverage_report": (coverage_report, COVERAGE_SQL), "bootstrap_rate": (bootstrap_rate, BOOT_SQL),
 }

@@ -156,10 +156,9 @@ SELECT user_id, count(*) AS events, max(us - s) AS last_offset FROM e JOIN s USI
 
 
 def blocked_pair_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Per part the three nearest in price among parts of its type and size."""
+    """The three parts nearest in price to each part among those of its type and size."""
     p = table(spark, d, "part").select("p_partkey", "p_type", "p_size", "p_retailprice")
-    q = p.select(F.col("p_partkey").alias("other"), "p_type", "p_size", F.col("p_retailprice").alias("price"))
-    return joins.blocked_top_k(p, q, ["p_type", "p_size"], "p_partkey", "other", F.col("p_partkey") != F.col("other"), F.round(-F.abs(F.col("p_retailprice") - F.col("price")), 4), 3, F.col("other"))
+    return joins.nearest_in_block(p, ["p_type", "p_size"], "p_partkey", "p_retailprice", 3)
 
 
 BLOCKED_SQL = """
@@ -169,24 +168,8 @@ FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_p
 """
 
 
-def cascade_match_best(spark: SparkSession, d: str) -> DataFrame:
-    """The best partner of each part in its brand: same type (100) before same first word (60) before same size (30) before any."""
-    p = table(spark, d, "part").filter("p_size <= 10").select("p_partkey", "p_brand", "p_type", "p_size")
-    q = p.select(F.col("p_partkey").alias("other"), "p_brand", F.col("p_type").alias("t"), F.col("p_size").alias("s"))
-    first = lambda c: F.substring_index(c, " ", 1)
-    score = F.when(F.col("p_type") == F.col("t"), 100).when(first("p_type") == first("t"), 60).when(F.col("p_size") == F.col("s"), 30).otherwise(1)
-    return joins.blocked_top_k(p, q, ["p_brand"], "p_partkey", "other", F.col("p_partkey") != F.col("other"), score, 1, F.col("other")).select("p_brand", "p_partkey", "other", "score")
-
-
-CASCADE_SQL = """
-WITH p AS (SELECT * FROM part WHERE p_size <= 10)
-SELECT a.p_brand, a.p_partkey, b.p_partkey AS other, CASE WHEN a.p_type = b.p_type THEN 100 WHEN split_part(a.p_type, ' ', 1) = split_part(b.p_type, ' ', 1) THEN 60 WHEN a.p_size = b.p_size THEN 30 ELSE 1 END AS score
-FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_partkey != b.p_partkey QUALIFY row_number() OVER (PARTITION BY a.p_partkey ORDER BY score DESC, b.p_partkey) = 1
-"""
-
-
 def cascade_match_all(spark: SparkSession, d: str) -> DataFrame:
-    """The best partner of every part in its brand, by the tiers of ``cascade_match_best``, whatever the part's size."""
+    """The best partner of every part in its brand, same type (100) before same first word (60) before same size (30) before any."""
     p = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", F.substring_index("p_type", " ", 1).alias("word"), "p_size")
     return joins.best_by_tiers(p, ["p_brand"], "p_partkey", [("p_type", 100), ("word", 60), ("p_size", 30)], 1).select("p_brand", "p_partkey", "other", "score")
 
@@ -314,8 +297,10 @@ URL_SQL = "SELECT regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extra
 
 
 def last_message_by_role(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
-    return c.select("conv_id", F.length(text.last_message(F.col("m"), "assistant")).alias("last_assistant_chars"), F.length(text.last_message(F.col("m"), "user")).alias("last_user_chars"))
+    """Length of each conversation's last message of a role: one running maximum a role, no list of messages."""
+    last = lambda role: F.max(F.when((F.col("role") == role) & F.col("text").isNotNull(), F.struct("turn", "text")))
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(last("assistant").alias("a"), last("user").alias("u"))
+    return c.select("conv_id", F.length("a.text").alias("last_assistant_chars"), F.length("u.text").alias("last_user_chars"))
 
 
 MESSAGE_SQL = """
@@ -378,23 +363,8 @@ SELECT doc_id, cls, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS
 """
 
 
-def capped_assignment(spark: SparkSession, d: str) -> DataFrame:
-    """Orders to suppliers of their lines: best quantity first, at most three orders a supplier, two rounds."""
-    c = table(spark, d, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.sum("l_quantity").alias("score"))
-    return assign.capped_assignment(c, "l_orderkey", "l_suppkey", "score", 3, 2)
-
-
-ASSIGN_SQL = """
-WITH c AS (SELECT l_orderkey, l_suppkey, sum(l_quantity) AS score FROM lineitem GROUP BY ALL),
-a1 AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, l_suppkey) = 1), r1 AS (SELECT * FROM a1 QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY score DESC, l_orderkey) <= 3),
-f AS (SELECT l_suppkey, count(*) AS used FROM r1 GROUP BY l_suppkey), c2 AS (SELECT c.*, coalesce(used, 0) AS used FROM c LEFT JOIN f USING (l_suppkey) WHERE l_orderkey NOT IN (SELECT l_orderkey FROM r1) AND coalesce(used, 0) < 3),
-a2 AS (SELECT * FROM c2 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, l_suppkey) = 1), r2 AS (SELECT * FROM a2 QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY score DESC, l_orderkey) <= 3 - used)
-SELECT l_orderkey, l_suppkey, score, 0 AS round FROM r1 UNION ALL SELECT l_orderkey, l_suppkey, score, 1 FROM r2
-"""
-
-
 def assignment_until_full(spark: SparkSession, d: str) -> DataFrame:
-    """``capped_assignment`` in as many rounds as accept anything, with the orders that stay open and why."""
+    """Orders to suppliers of their lines: best quantity first, at most three orders a supplier, and the orders that stay open."""
     c = table(spark, d, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.sum("l_quantity").alias("score"))
     return assign.assign_all(c, "l_orderkey", "l_suppkey", "score", 3)
 
@@ -506,10 +476,10 @@ QUERIES = {
     "dup_policy_last": (dup_policy_last, LAST_SQL), "dup_policy_first": (dup_policy_first, FIRST_SQL), "unmatched_counts": (unmatched_counts, UNMATCHED_SQL), "coverage_join": (coverage_join, COVER_SQL),
     "precedence_join": (precedence_join, PRECEDENCE_SQL), "unanimous_fallback_join": (unanimous_fallback_join, UNANIMOUS_SQL), "ancestor_path_join": (ancestor_path_join, ANCESTOR_SQL),
     "longest_prefix_join": (longest_prefix_join, PREFIX_SQL), "nearest_join_tolerance": (nearest_join_tolerance, NEAREST_SQL), "interval_contains": (interval_contains, INTERVAL_SQL),
-    "blocked_pair_topk": (blocked_pair_topk, BLOCKED_SQL), "cascade_match_best": (cascade_match_best, CASCADE_SQL), "cascade_match_all": (cascade_match_all, CASCADE_ALL_SQL), "compat_rules_join": (compat_rules_join, COMPAT_SQL), "upsert_merge": (upsert_merge, UPSERT_SQL),
+    "blocked_pair_topk": (blocked_pair_topk, BLOCKED_SQL), "cascade_match_all": (cascade_match_all, CASCADE_ALL_SQL), "compat_rules_join": (compat_rules_join, COMPAT_SQL), "upsert_merge": (upsert_merge, UPSERT_SQL),
     "overlap_exact_normalised": (overlap_normalised, OVERLAP_SQL), "dedup_signature": (dedup_signature, DEDUP_SQL), "reasoned_filter": (reasoned_filter, REASON_SQL), "failed_rule_tags": (failed_rule_tags, TAGS_SQL),
     "keyword_bucket": (keyword_bucket, KEYWORD_SQL), "tag_extract": (tag_extract, TAG_SQL), "url_parts": (url_parts, URL_SQL), "last_message_by_role": (last_message_by_role, MESSAGE_SQL), "box_overlap": (box_overlap, BOX_SQL),
-    "variant_expand": (variant_expand, VARIANT_SQL), "pair_swap_control": (pair_swap_control, SWAP_SQL), "label_cycle": (label_cycle, CYCLE_SQL), "capped_assignment": (capped_assignment, ASSIGN_SQL), "assignment_until_full": (assignment_until_full, ASSIGN_ALL_SQL),
+    "variant_expand": (variant_expand, VARIANT_SQL), "pair_swap_control": (pair_swap_control, SWAP_SQL), "label_cycle": (label_cycle, CYCLE_SQL), "assignment_until_full": (assignment_until_full, ASSIGN_ALL_SQL),
     "content_digest": (content_digest, DIGEST_SQL), "status_fold": (status_fold, FOLD_SQL), "tumbling_2h": (tumbling_2h, TUMBLING_SQL), "sliding_6h": (sliding_6h, SLIDING_SQL), "lineage_upsert": (lineage_upsert, LINEAGE_SQL),
     "modal_caption": (modal_caption, MODAL_SQL), "zip_join": (zip_join, ZIP_SQL), "topk_per_key": (topk_per_key, TOPK_SQL), "top1_tuple": (top1_tuple, TOP1_SQL),
 }

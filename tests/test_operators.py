@@ -31,7 +31,11 @@ def test_confusion_counts_unknown_as_missed(spark):
 
 def test_medians_and_set_f1(spark):
     df = frame(spark, [(1,), (2,), (3,), (10,)], "x int")
-    assert df.agg(metrics.upper_median("x").alias("m")).first().m == 3 and df.agg(F.median("x").alias("m")).first().m == 2.5
+    assert metrics.order_statistics(df, [], "x", {"m": lambda n: F.floor(n / 2)}).first().m == 3
+    groups = frame(spark, [("a", float(x % 7), x) for x in range(50)] + [("b", 1.0, 0), ("c", None, 0), (None, 2.0, 1), (None, 5.0, 2)], "g string, v double, i int")
+    got = {r.g: (r.lo, r.mid, r.hi) for r in metrics.quantiles(groups, ["g"], "v", {"lo": 0.05, "mid": 0.5, "hi": 0.95}).collect()}
+    want = {r.g: tuple(r.q) for r in groups.filter("v IS NOT NULL").groupBy("g").agg(F.percentile("v", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q")).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
     f1 = metrics.set_f1(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.array(F.lit("a"), F.lit("b")))
     assert spark.range(1).select(f1.alias("f")).first().f == pytest.approx(0.8)
 
@@ -93,9 +97,27 @@ def test_gate_states(spark):
 
 def test_assignment_respects_caps(spark):
     rows = [(t, d, float((t * 7 + d * 3) % 11)) for t in range(30) for d in range(4)]
-    got = assign.capped_assignment(frame(spark, rows, "t int, d int, s double"), "t", "d", "s", 5, 4).collect()
+    got = assign.assign_all(frame(spark, rows, "t int, d int, s double"), "t", "d", "s", 5).collect()
     used = [r.d for r in got]
-    assert len({r.t for r in got}) == len(got) == 20 and all(used.count(d) == 5 for d in range(4))
+    assert len({r.t for r in got}) == len(got) == 30 and all(used.count(d) == 5 for d in range(4)) and used.count(None) == 10
+
+
+def test_nearest_in_block(spark):
+    rows = [(i, ["a", "b", None][i % 3], float((i * 7) % 13) if i % 11 else None) for i in range(90)] + [(100 + i, "a", 4.0) for i in range(40)] + [(200, "lone", 1.0)]
+    got = joins.nearest_in_block(frame(spark, rows, "id int, b string, v double"), ["b"], "id", "v", 3).collect()
+    want = []
+    for i, b, v in rows:
+        near = sorted((round(abs(v - w), 4), j) for j, c, w in rows if c == b and w is not None and j != i) if b is not None and v is not None else []
+        want += [(b, i, j, 0.0 - s, r + 1) for r, (s, j) in enumerate(near[:3])]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_first_n_beyond_the_limit_of_tasks(spark):
+    df = frame(spark, [(i % 2, i) for i in range(3000)], "g int, id int")
+    for n in (999, 1000, 1400):
+        got = sampling.first_n(df, ["g"], "s", "id", n)
+        assert got.count() == 2 * n and got.agg(F.max("rn")).first()[0] == n
+    assert {r.id for r in sampling.first_n(df, ["g"], "s", "id", 999).collect()} < {r.id for r in sampling.first_n(df, ["g"], "s", "id", 1000).collect()}
 
 
 def test_best_partner_of_every_row(spark):
