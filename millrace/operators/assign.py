@@ -1,11 +1,12 @@
-"""Capped assignment in rounds: each round is a join and two windows, not a walk over all rows on one task."""
+"""Capped assignment in rounds: each round is a few joins and windows, not a walk over all rows on one task."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut as _cut
+from ..session import cut
+from .order import placed
 
 
 def assign_all(candidates: DataFrame, target: str, donor: str, score: str, cap: int) -> DataFrame:
@@ -17,22 +18,79 @@ def assign_all(candidates: DataFrame, target: str, donor: str, score: str, cap:
     It then has no donor, score and round, and the reason "all donors full"; a target whose donors or scores are all
     null has "no donor"."""
     valid = candidates.filter(F.col(donor).isNotNull() & F.col(score).isNotNull())
-    open_ = _cut(valid.groupBy(target, donor).agg(F.max(score).alias(score)).withColumn("_room", F.lit(cap).cast("long")))
+    open_ = cut(valid.groupBy(target, donor).agg(F.max(score).alias(score)).withColumn("_room", F.lit(cap).cast("long")))
     done = None
     turn = 0
     while True:
         best = open_.groupBy(target).agg(F.min(F.struct((-F.col(score)).alias("_s"), F.col(donor).alias("_d"), "_room")).alias("_b"))
         asked = best.select(target, F.col("_b._d").alias(donor), (-F.col("_b._s")).alias(score), F.col("_b._room").alias("_room"))
         rank = F.row_number().over(Window.partitionBy(donor).orderBy(F.desc(score), target))
-        taken = _cut(asked.withColumn("_r", rank).filter((F.col("_r") <= cap) & (F.col("_r") <= F.col("_room"))).select(target, donor, score, F.lit(turn).alias("round")))
+        taken = cut(asked.withColumn("_r", rank).filter((F.col("_r") <= cap) & (F.col("_r") <= F.col("_room"))).select(target, donor, score, F.lit(turn).alias("round")))
         if taken.isEmpty():
             break
-        done = taken if done is None else _cut(done.unionByName(taken))
+        done = taken if done is None else cut(done.unionByName(taken))
         used = taken.groupBy(donor).agg(F.count("*").alias("_new"))
         left = open_.join(taken.select(target), target, "left_anti").join(used, donor, "left")
-        open_ = _cut(left.withColumn("_room", F.col("_room") - F.coalesce("_new", F.lit(0))).filter("_room > 0").select(target, donor, score, "_room"))
+        open_ = cut(left.withColumn("_room", F.col("_room") - F.coalesce("_new", F.lit(0))).filter("_room > 0").select(target, donor, score, "_room"))
         turn += 1
     done = taken if done is None else done
     every = candidates.groupBy(target).agg(F.max(F.col(donor).isNotNull() & F.col(score).isNotNull()).alias("_any"))
     reason = F.when(F.col("round").isNull(), F.when(F.col("_any"), "all donors full").otherwise("no donor"))
     return every.join(done, target, "left").select(target, donor, score, "round", reason.alias("reason"))
+
+
+#: Rounds in which targets ask for their best candidates; in later ones they spread by hash, so that targets with one taste don't fill one donor a round.
+BEST_ROUNDS = 8
+
+
+def assign_with_ledgers(candidates: DataFrame, quotas: DataFrame, target_cap: int, donor_cap: int, group_cap: int) -> DataFrame:
+    """target, operation, donor, donor_group, score, round, reason: each target of ``candidates`` once, within four ledgers.
+
+    ``candidates`` has target, target_group, operation, donor, donor_group, score; ``quotas`` has operation and quota, a row
+    each.  A target group is served at most ``target_cap`` times, a donor ``donor_cap`` times, a donor group ``group_cap``
+    times and an operation as often as its quota says (operations without one: never).
+
+    In a round each open target asks for one candidate whose four ledgers have room: the operation with the fewest
+    candidates first, then by score, then donor (after BEST_ROUNDS by a hash instead of the score).  The ledgers then keep, one after the
+    other, the best of those that ask (by score, then target) up to their room.  Each keeps at least one, so rounds end
+    only when no open target has a candidate with room; their reason is the first that holds of "no candidate" (none with
+    all keys and a score), "target group served", "operations full" and "all donors full"."""
+    ledgers = {"target_group": target_cap, "donor": donor_cap, "donor_group": group_cap}
+    keys = ["target", "target_group", "operation", "donor", "donor_group"]
+    valid = candidates.dropna(subset=[*keys, "score"]).groupBy(*keys).agg(F.max("score").alias("score"))
+    scarce = valid.groupBy("operation").agg(F.count("*").alias("_many"))
+    valid = cut(valid.join(scarce, "operation").join(quotas.select("operation", F.col("quota").cast("long").alias("_operation")), "operation", "left"), "candidates")
+    rooms = {f"_{k}": F.lit(cap).cast("long") for k, cap in ledgers.items()} | {"_operation": F.coalesce("_operation", F.lit(0))}
+    open_ = valid.withColumns(rooms).filter("_operation > 0")
+    done, turn = None, 0
+    while True:
+        best = turn < BEST_ROUNDS
+        taste = (-F.col("score")) if best else F.sha2(F.concat_ws(":", "target", "donor"), 256)
+        whole = F.struct("_many", "operation", taste.alias("taste"), "donor", *[c for c in open_.columns if c not in ("_many", "operation", "donor")])
+        asked = cut(open_.groupBy("target").agg(F.min(whole).alias("_b")).select("_b.*").drop("taste"), "asked")
+        for key, cap in ledgers.items():
+            rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "target"))
+            asked = asked.withColumn("_r", rank).filter((F.col("_r") <= cap) & (F.col("_r") <= F.col(f"_{key}"))).drop("_r")
+        # Operations are few and large: places over range partitions.
+        taken = cut(placed(asked, ["operation"], [F.desc("score"), F.col("target")], "_r").filter("_r <= _operation").select(*keys, "score", F.lit(turn).alias("round")), "taken")
+        if taken.isEmpty():
+            break
+        done = taken if done is None else cut(done.unionByName(taken), "done")
+        left = open_.join(taken.select("target"), "target", "left_anti")
+        for key in (*ledgers, "operation"):
+            used = taken.groupBy(key).agg(F.count("*").alias("_new"))
+            left = left.join(used, key, "left").withColumn(f"_{key}", F.col(f"_{key}") - F.coalesce("_new", F.lit(0))).drop("_new").filter(f"_{key} > 0")
+        open_ = cut(left.select(*open_.columns), "open")
+        turn += 1
+    done = taken if done is None else done
+    used = {key: done.groupBy(key).agg(F.count("*").alias(f"_used_{key}")) for key in ("target_group", "operation")}
+    rest = valid.join(done.select("target"), "target", "left_anti")
+    for key, counts in used.items():
+        rest = rest.join(counts, key, "left")
+    served = F.coalesce("_used_target_group", F.lit(0)) >= target_cap
+    full = F.coalesce("_used_operation", F.lit(0)) >= F.coalesce("_operation", F.lit(0))
+    why = rest.groupBy("target").agg(F.min(served).alias("served"), F.min(full | served).alias("full"))
+    reason = F.when(F.col("served"), "target group served").when(F.col("full"), "operations full").when(F.col("full").isNotNull(), "all donors full").otherwise("no candidate")
+    every = candidates.filter(F.col("target").isNotNull()).select("target").distinct().join(why, "target", "left")
+    out = every.join(done.drop("target_group"), "target", "left")
+    return out.select("target", "operation", "donor", "donor_group", "score", "round", F.when(F.col("round").isNull(), reason).alias("reason"))
