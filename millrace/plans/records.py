@@ -95,7 +95,7 @@ _TABLES = {"region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "o
 def release_audit(spark: SparkSession, d: str) -> DataFrame:
     """Two releases of documents, by their source: what each may be used for, and whether they share names."""
     docs = table(spark, d, "documents")
-    release = F.when(F.crc32(F.coalesce("source", F.lit(""))) % 2 == 0, "set").otherwise("ood")
+    release = F.when(F.coalesce(F.ascii(F.substring("source", -1, 1)), F.lit(0)) % 2 == 0, "set").otherwise("ood")
     marked = table(spark, d, "labels").select(F.col("doc_id").alias("_id"), "quality", "toxic")
     x = docs.join(marked, docs["doc_id"] == marked["_id"], "left").select(
         "doc_id", release.alias("release"), F.col("lang").alias("label"), F.col("quality").isNotNull().alias("paired"), (F.col("n_chars") >= 100).alias("masked"),
@@ -106,6 +106,21 @@ def release_audit(spark: SparkSession, d: str) -> DataFrame:
     return audit.release_checks(x, both, {"set": langs, "ood": langs}).select("release", "n", "labels", "paired", "masked", "timed", "tried", "decoded", "binary", "evidence", "temporal", F.array_join(F.concat("binary_failed", "evidence_failed", "temporal_failed"), ",").alias("failed"))
 
 
+RELEASE_SQL = """
+WITH x AS (
+  SELECT CASE WHEN coalesce(ascii(right(source, 1)), 0) % 2 = 0 THEN 'set' ELSE 'ood' END AS release, lang, doc_id IN (SELECT doc_id FROM labels WHERE quality IS NOT NULL) AS p, coalesce(n_chars >= 100, false) AS m, coalesce(n_chars >= 1000, false) AS t,
+    CASE WHEN doc_id % 10 = 0 THEN text IS NOT NULL END AS d FROM documents
+), c AS (
+  SELECT release, count(*) AS n, count(DISTINCT lang) FILTER (lang IN ('de', 'en', 'es', 'fr')) AS labels, count(*) FILTER (p) AS paired, count(*) FILTER (m) AS masked, count(*) FILTER (t) AS timed, count(d) AS tried, count(*) FILTER (d) AS decoded FROM x GROUP BY release
+), b AS (
+  SELECT *, concat_ws(',', CASE WHEN labels != 4 THEN 'all_labels_shown' END, CASE WHEN tried = 0 THEN 'decode_sample' END, CASE WHEN coalesce(decoded / nullif(tried, 0)::DOUBLE, 0) < 0.95 THEN 'decode_rate' END) AS fb,
+    concat_ws(',', CASE WHEN paired = 0 THEN 'pair_field' END, CASE WHEN paired / n::DOUBLE < 0.8 THEN 'pair_coverage' END, CASE WHEN masked = 0 THEN 'mask_field' END, CASE WHEN masked / n::DOUBLE < 0.8 THEN 'mask_coverage' END) AS fe,
+    concat_ws(',', CASE WHEN timed = 0 THEN 'time_field' END, CASE WHEN timed / n::DOUBLE < 0.8 THEN 'time_coverage' END) AS ft FROM c
+)
+SELECT release, n, labels, paired, masked, timed, tried, decoded, CASE WHEN fb = '' THEN 'usable' ELSE 'insufficient_or_partial' END AS "binary", CASE WHEN fe = '' THEN 'usable' ELSE 'not_established' END AS evidence,
+  CASE WHEN ft = '' THEN 'usable' ELSE 'not_established' END AS temporal, concat_ws(',', nullif(fb, ''), nullif(fe, ''), nullif(ft, '')) AS failed FROM b
+"""
+
 LEDGER_CAPS = {"target_cap": 2, "donor_cap": 3, "group_cap": 10}
 
 
@@ -193,5 +208,5 @@ PARQUET_SQL = " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n_rows, {n}
 
 QUERIES = {
     "cumulative_transforms": (cumulative_transforms, TRANSFORM_SQL), "json_members": (json_members, MEMBERS_SQL), "scored_paths": (scored_paths, SCORED_PATHS_SQL), "parquet_files": (parquet_files, PARQUET_SQL),
-    "release_audit": (release_audit, None), "ledger_assignment": (ledger_assignment, LEDGER_SQL), "evidence_intervals": (evidence_intervals, INTERVAL_SQL), "evidence_tubes": (evidence_tubes, TUBE_SQL),
+    "release_audit": (release_audit, RELEASE_SQL), "ledger_assignment": (ledger_assignment, LEDGER_SQL), "evidence_intervals": (evidence_intervals, INTERVAL_SQL), "evidence_tubes": (evidence_tubes, TUBE_SQL),
 }

@@ -1,7 +1,6 @@
 import json
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import leaves
@@ -139,16 +138,3 @@ def test_intervals_tubes_and_snapped_times(spark):
     samples = spark.createDataFrame([("t", 1.0), ("t", 2.0), ("t", 2.0), ("t", None), ("v", 0.0)], "k string, s double")
     near = {(r.k, r.s): r.n for r in evidence.snapped(points, samples, ["k"], "s", "n").collect()}
     assert near == {("t", 0.0): 1.0, ("t", 1.0): 1.0, ("t", 1.5): 1.0, ("t", 2.0): 2.0, ("t", 9.0): 2.0, ("u", 1.0): None, ("t", None): None}
-
-
-def test_release_audit_query_against_a_plain_count(spark):
-    d = "/root/testdata/sf0.001"
-    got = {r.release: r for r in records.release_audit(spark, d).collect()}
-    import zlib
-
-    docs = spark.read.parquet(f"{d}/documents.parquet").collect()
-    for release, want in (("set", 0), ("ood", 1)):
-        mine = [r for r in docs if zlib.crc32((r.source or "").encode()) % 2 == want]
-        assert got[release].n == len(mine) and got[release].masked == sum((r.n_chars or 0) >= 100 for r in mine)
-    with pytest.raises(KeyError):
-        got["absent"]
