@@ -9,7 +9,7 @@ digits digits, separators stay; card numbers keep a valid check digit, phones th
 that their digits begin with, mail goes to reserved domains, addresses to the reserved block 240.0.0.0/4 or the
 documentation prefix 2001:db8::/32, names come from the list of the title's gender and the name's script.
 So equal units get equal surrogates everywhere, however they are written: "Mr John Smith" and "Mr Smith"
-keep one family name, "+1 212 555 1234" and "+12125551234" one number.
+keep one family name, "Mr John" and "Dr John" of one text one given name, "Господин Иванов" and "Госпожа Иванова" one family name in both forms, "+1 212 555 1234" and "+12125551234" one number.
 
 Distinctness is checked over the whole corpus: where two units of a kind would
 share a surrogate, or a surrogate is itself a unit of the corpus, all but the
@@ -37,10 +37,14 @@ ADDRESS = r"(?<![\w.-])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[
 HEX4 = "[0-9A-Fa-f]{1,4}"
 ADDRESS6 = r"(?<![\w:.])(?=[0-9A-Fa-f:]*(?:\d|[0-9A-Fa-f]{4}))" + f"(?:(?:{HEX4}:){{7}}{HEX4}|(?:{HEX4}(?::{HEX4}){{0,5}})?::(?:{HEX4}(?::{HEX4}){{0,5}})?)" + r"(?![\w:])"
 NATIONAL = r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])"
-MALE = r"(?:Mr|Herr|Monsieur|Señor|Господин)"
-FEMALE = r"(?:Mrs|Ms|Miss|Frau|Madame|Señora|Госпожа)"
-EITHER = r"(?:Dr|Prof|Доктор|Профессор)"
-NAME = r"(?<![\p{L}\w])" + f"(?:{MALE}|{FEMALE}|{EITHER})" + r"\.? \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?"
+MALE = r"(?:Mr|MR|Herr|HERR|Monsieur|MONSIEUR|Señor|SEÑOR|Господин|ГОСПОДИН)"
+FEMALE = r"(?:Mrs|MRS|Ms|MS|Miss|MISS|Frau|FRAU|Madame|MADAME|Señora|SEÑORA|Госпожа|ГОСПОЖА)"
+EITHER = r"(?:Dr|DR|Prof|PROF|Доктор|ДОКТОР|Профессор|ПРОФЕССОР)"
+#: A word of a name, hyphens and apostrophes between its letters included.
+WORD = r"\p{Lu}(?:\p{L}|(?<=\p{L})[-'’](?=\p{L}))+"
+NAME = r"(?<![\p{L}\w])" + f"(?:{MALE}|{FEMALE}|{EITHER})" + r"\.? " + f"{WORD}(?: {WORD})?"
+#: Endings of Cyrillic family names in their feminine form.
+FEMININE = "(?:ов|ев|ёв|ин|ын|ОВ|ЕВ|ЁВ|ИН|ЫН)[аА]$"
 ENTITY = "|".join((EMAIL, ADDRESS6, ADDRESS, NATIONAL, CARD, PHONE, NAME))
 
 # Names by script and gender; family names by script.
@@ -104,15 +108,26 @@ def _unit(kind: Column, value: Column, shown: Column) -> Column:
     return F.struct(kind.alias("kind"), value.alias("value"), shown.alias("shown"))
 
 
-def units(e: Column) -> Column:
+def titled(entities: Column, title: str) -> Column:
+    """The given names, in lower case, that stand under a title of the pattern in a text's entities."""
+    full = F.filter(entities, lambda e: e.rlike(f"^{title}\\.? [^ ]+ [^ ]+$"))
+    return F.transform(full, lambda e: F.lower(F.element_at(F.split(e, " "), 2)))
+
+
+def units(e: Column, male: Column | None = None, female: Column | None = None) -> Column:
     """The units of an entity in order: (kind, value, shown), where shown is the unit as it stands.
 
-    Names give family or given and family; the kind of a given name carries the title's gender."""
+    Names give family or given and family; the kind of a given name carries the title's gender, or where the title has
+    none that under which the name stands in the lists ``male`` and ``female`` of the same text.  A feminine family name in
+    Cyrillic under a female title has the value of its masculine form."""
     def of_name(words: Column) -> Column:
-        family = F.element_at(words, -1)
-        last = F.array(_unit(F.lit("family"), F.lower(family), family))
+        family, gender = F.element_at(words, -1), _gender(e)
+        value = F.when((gender == "f") & family.rlike(FEMININE), F.lower(F.substring(family, F.lit(1), F.length(family) - 1))).otherwise(F.lower(family))
+        last = F.array(_unit(F.lit("family"), value, family))
         given = F.element_at(words, 2)
-        return F.when(F.size(words) > 2, F.concat(F.array(_unit(F.concat(F.lit("given-"), _gender(e)), F.lower(given), given)), last)).otherwise(last)
+        if male is not None:
+            gender = F.when(gender != "n", gender).when(F.array_contains(male, F.lower(given)), "m").when(F.array_contains(female, F.lower(given)), "f").otherwise("n")
+        return F.when(F.size(words) > 2, F.concat(F.array(_unit(F.concat(F.lit("given-"), gender), F.lower(given), given)), last)).otherwise(last)
 
     return let(kind_of(e), lambda kind: F.when(kind == "name", let(F.split(e, " "), of_name)).otherwise(F.array(_unit(kind, _value(e, kind), e))))
 
@@ -191,6 +206,7 @@ def _name(kind: Column, value: Column, shown: Column, h: Column, attempt: Column
         return F.concat(one(9), more, _longer(h, (attempt - 1) * 2, LETTERS[script]))
 
     made = F.when(value.rlike(r"^\p{IsCyrillic}"), named("cyrillic")).otherwise(named("latin"))
+    made = F.concat(made, F.when((kind == "family") & (F.lower(shown) == F.concat(value, F.lit("а"))), "а").otherwise(""))
     return F.when(shown == F.upper(shown), F.upper(made)).otherwise(made)
 
 
@@ -216,14 +232,14 @@ def unit_surrogate(unit: Column, attempt: Column, key: str = KEY) -> Column:
     )
 
 
-def surrogate(e: Column, attempt=None, key: str = KEY) -> Column:
+def surrogate(e: Column, attempt=None, key: str = KEY, male: Column | None = None, female: Column | None = None) -> Column:
     """The replacement of one entity; ``attempt`` gives the draw of its i-th unit, all first draws where it is None."""
     def made(parts: Column) -> Column:
         new = F.transform(parts, lambda unit, i: unit_surrogate(unit, F.lit(0) if attempt is None else attempt(i), key))
         title = F.when(kind_of(e) == "name", F.concat(F.substring_index(e, " ", 1), F.lit(" "))).otherwise("")
         return F.concat(title, F.array_join(new, " "))
 
-    return let(units(e), made)
+    return let(units(e, male, female), made)
 
 
 def redrawn(found: DataFrame, key: str = KEY, rounds: int = 40) -> DataFrame:
@@ -238,7 +254,8 @@ def redrawn(found: DataFrame, key: str = KEY, rounds: int = 40) -> DataFrame:
     state = cut(own.select("kind", "value", F.lit(0).alias("attempt"), drawn(F.lit(0)).alias("s")), "drawn", small=True)
     real_values = own.select("kind", F.col("value").alias("s"), F.lit(True).alias("real"))
     for turn in range(1, rounds + 1):
-        twice = state.groupBy("kind", "s").agg(F.min(F.struct("attempt", "value")).alias("first"), F.count("*").alias("m")).filter("m > 1").select("kind", "s", "first")
+        # Written, so that the join may split the many units of a frequent first name: an aggregate's own shuffle can't be split.
+        twice = cut(state.groupBy("kind", "s").agg(F.min(F.struct("attempt", "value")).alias("first"), F.count("*").alias("m")).filter("m > 1").select("kind", "s", "first"), "twice", small=True)
         clash = state.join(twice, ["kind", "s"], "left").join(real_values, ["kind", "s"], "left")
         bad = F.coalesce(F.struct("attempt", "value") != F.col("first"), F.lit(False)) | F.coalesce("real", F.lit(False))
         marked = cut(clash.withColumn("bad", bad).select("kind", "value", "attempt", "s", "bad"), "marked", small=True)
@@ -263,7 +280,8 @@ def replace_entities(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     found = F.when(any_sign, F.regexp_extract_all("_t", F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     # Entities follow from the text alone: half of a SHA-256 of it stands for the row, so hashes of two texts don't meet.
     base = base.withColumn("_e", found).withColumn("_h", F.when(F.size("_e") > 0, F.unhex(F.substring(F.sha2("_t", 256), 1, 32))))
-    each = base.filter(F.size("_e") > 0).select("_h", F.posexplode("_e").alias("at", "e")).select("_h", "at", F.posexplode(units(F.col("e"))).alias("part", "unit"))
+    base = base.withColumn("_m", titled(F.col("_e"), MALE)).withColumn("_f", titled(F.col("_e"), FEMALE))
+    each = base.filter(F.size("_e") > 0).select("_h", "_m", "_f", F.posexplode("_e").alias("at", "e")).select("_h", "at", F.posexplode(units(F.col("e"), F.col("_m"), F.col("_f"))).alias("part", "unit"))
     spots = cut(each.select("_h", (F.col("at") * 2 + F.col("part")).alias("pos"), "unit.kind", "unit.value"), "spots")
     again = cut(redrawn(spots, secret), "redrawn", small=True)
     n = again.count()
@@ -271,9 +289,9 @@ def replace_entities(docs: DataFrame, key: str = "doc_id", text: str = "text", s
         moved = spots.join(F.broadcast(again) if n <= BROADCAST_ROWS else again, ["kind", "value"]).select("_h", "pos", "attempt").distinct()
         moved = cut(moved.groupBy("_h").agg(F.map_from_entries(F.collect_list(F.struct("pos", "attempt"))).alias("_a")), "moved", small=True)
         base = base.join(F.broadcast(moved) if moved.count() <= BROADCAST_ROWS else moved, "_h", "left")
-        changed = F.transform("_e", lambda e, i: surrogate(e, lambda part: F.coalesce(F.try_element_at(F.col("_a"), i * 2 + part), F.lit(0)), secret))
+        changed = F.transform("_e", lambda e, i: surrogate(e, lambda part: F.coalesce(F.try_element_at(F.col("_a"), i * 2 + part), F.lit(0)), secret, F.col("_m"), F.col("_f")))
     else:
-        changed = F.transform("_e", lambda e: surrogate(e, key=secret))
+        changed = F.transform("_e", lambda e: surrogate(e, key=secret, male=F.col("_m"), female=F.col("_f")))
     pieces = F.split("_t", ENTITY, -1)
     joined = F.array_join(F.zip_with(pieces, F.concat(changed, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     out = F.when(F.size("_e") > 0, joined).otherwise(F.col("_t"))
