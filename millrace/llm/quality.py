@@ -108,7 +108,7 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     scored = base.select("_key", "host", "path", "label", model.log_odds().alias("odds")).withColumn("p", 1 / (1 + F.exp(-F.col("odds"))))
     evidence = F.coalesce("label", "p")
     paths = cut(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(evidence).alias("s")), "paths", small=True)
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    hosts = cut(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s")), "hosts", small=True)
     total = hosts.agg(F.sum("s") / F.sum("n")).first()[0]
     k_host = _prior_strength(hosts, F.lit(float(total)))
     hosts = hosts.select(F.col("host").alias("_host"), F.col("n").alias("_hn"), F.col("s").alias("_hs"), ((F.col("s") + k_host * float(total)) / (F.col("n") + k_host)).alias("host_rate"))

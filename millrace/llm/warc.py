@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, shared_dir, ship
+from .mixing import ordinals
 
 #: Payloads below this many bytes are never replaced by a revisit.
 LEAST = 100
@@ -220,17 +221,23 @@ def record_types(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     base = pages.select(pages[key].cast("long").alias("page_id"), pages[url].cast("string").alias("url"), body.alias("html"), F.octet_length(body).cast("long").alias("size"), F.sha2(body, 256).alias("digest"))
     # The bodies stay where they are: ids and digests decide, and only the ids of revisits come back.
     big = base.filter((F.col("size") >= least) & F.col("page_id").isNotNull()).select("page_id", "digest")
-    first = big.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("m")).filter("m > 1").select("digest", "first")
+    # Written, so that the join may split the ids of a frequent body: an aggregate's own shuffle can't be split.
+    first = cut(big.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("m")).filter("m > 1").select("digest", "first"), "first", small=True)
     revisits = cut(big.join(first, "digest").filter("page_id > first").distinct(), "revisits", small=True)
     joined = base.join(F.broadcast(revisits) if revisits.count() <= BROADCAST_ROWS else revisits, ["page_id", "digest"], "left")
     again = F.col("first").isNotNull()
     return joined.select("page_id", "url", F.when(again, None).otherwise(F.col("html")).alias("html"), "size", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
 
 
+def _one_a_task(archives: DataFrame, n: int) -> DataFrame:
+    """One archive a task, by place: a hash of few paths leaves tasks empty and others with several archives."""
+    return ordinals(archives, "path", "_n").repartitionById(n, F.col("_n").cast("int")).drop("_n")
+
+
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST, folder: str | None = None) -> DataFrame:
     """Write the pages as whole-stream archives, normalise these, and read the normalised ones back."""
     folder = folder or f"{shared_dir(pages.sparkSession)}/millrace/warc-{uuid.uuid4().hex}"
     raw = cut(write_archives(record_types(pages, key, url, html, least), folder), "raw", small=True)
     n = max(1, raw.count())
-    normal = cut(normalise(raw.repartition(n, "path"), folder), "normal", small=True)
-    return read_archives(normal.repartition(n, "path"))
+    normal = cut(normalise(_one_a_task(raw, n), folder), "normal", small=True)
+    return read_archives(_one_a_task(normal, n))
