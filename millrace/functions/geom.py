@@ -47,5 +47,15 @@ def to_thousand(value: Column, size: Column) -> Column:
     return F.bround(F.least(F.greatest(value * 1000.0 / size, F.lit(0.0)), F.lit(1000.0)), 3)
 
 
+def whole_box(b: Column, width: Column, height: Column) -> Column:
+    """A pixel box rounded and clipped to the picture, then to whole 0..1000 (half to even); null where it is empty, lacks a corner or the picture has no size."""
+    pixel = lambda v, size: F.greatest(F.lit(0.0), F.least(size.cast("double"), F.bround(v.cast("double"), 0)))
+    x1, y1, x2, y2 = pixel(b["x1"], width), pixel(b["y1"], height), pixel(b["x2"], width), pixel(b["y2"], height)
+    scaled = lambda v, size: F.bround(F.try_divide(v, size) * 1000.0, 0).cast("int")
+    out = F.struct(scaled(x1, width).alias("x1"), scaled(y1, height).alias("y1"), scaled(x2, width).alias("x2"), scaled(y2, height).alias("y2"))
+    whole = b["x1"].isNotNull() & b["y1"].isNotNull() & b["x2"].isNotNull() & b["y2"].isNotNull()
+    return F.when(whole & (width > 0) & (height > 0) & (x2 > x1) & (y2 > y1), out)
+
+
 def overlap_seconds(a1: Column, a2: Column, b1: Column, b2: Column) -> Column:
     return F.greatest(F.least(a2, b2) - F.greatest(a1, b1), F.lit(0.0))

@@ -47,6 +47,22 @@ def cascade(text: Column, patterns: list[tuple[str, str]]) -> tuple[Column, Colu
     return F.coalesce(*[h for h, _ in hits]), F.coalesce(*[F.when(h.isNotNull(), F.lit(n)) for h, n in hits])
 
 
+def pair_side(explicit: Column, key: Column, paths: Column, answer: Column, sides: tuple[str, str]) -> tuple[Column, Column]:
+    """(side, source): stated, else the key's ending ``:side``, else the one side that is a folder of the paths, else an answer tag.
+
+    Blank and unknown values pass to the next source; paths that name both sides or none decide nothing; null where no source decides."""
+    stated, ending = F.lower(F.trim(explicit)), F.lower(F.trim(key))
+    folders = F.replace(F.array_join(paths, "/"), F.lit("\\"), F.lit("/"))
+    inside = [F.contains(folders, F.lit(f"/{s}/")) for s in sides]
+    found = [
+        (F.when(stated.isin(*sides), stated), "stated"),
+        (F.coalesce(*[F.when(F.endswith(ending, F.lit(f":{s}")), s) for s in sides]), "key"),
+        (F.when(inside[0] & ~inside[1], sides[0]).when(inside[1] & ~inside[0], sides[1]), "path"),
+        (F.coalesce(*[F.when(F.contains(F.lower(answer), F.lit(f"<answer>{s}</answer>")), s) for s in sides]), "answer"),
+    ]
+    return F.coalesce(*[v for v, _ in found]), F.coalesce(*[F.when(v.isNotNull(), F.lit(n)) for v, n in found])
+
+
 def keyword_bucket(text: Column, rules: list[tuple[str, list[str]]], default: str) -> Column:
     """The bucket of the first rule one of whose keywords the text contains."""
     out = None

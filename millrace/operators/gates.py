@@ -150,6 +150,16 @@ def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).count().filter("count > 1")
 
 
+def manifest_faults(rows: DataFrame, key: str, required: list[str]) -> DataFrame:
+    """(key, fault): ``missing <field>`` once for a key with a null or blank required field, ``repeated`` for a key of several rows.
+
+    Rows with a null key count as rows of one key."""
+    blank = lambda f: F.trim(F.coalesce(F.col(f).cast("string"), F.lit(""))) == ""
+    flags = [(f"missing {f}", F.max(blank(f))) for f in required] + [("repeated", F.count("*") > 1)]
+    each = rows.groupBy(key).agg(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in flags])).alias("_f"))
+    return each.select(key, F.explode("_f").alias("fault"))
+
+
 def coverage(rows: DataFrame, fields: list[str]) -> DataFrame:
     """(field, filled, rows, share): rows whose field is neither null nor empty."""
     counts = rows.agg(F.count("*").alias("rows"), *[F.count_if(F.coalesce(F.col(f).cast("string"), F.lit("")) != "").alias(f"_{f}") for f in fields])

@@ -25,17 +25,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def cut(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Write ``df`` below ``spark.checkpoint.dir`` and read it back: plans don't nest, lost executors cost no earlier work.
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path below ``spark.checkpoint.dir``.
 
     Where that setting is unset, a new local folder takes its place if the master is local."""
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/millrace/{label}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/millrace/{label}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, label: str = "cut") -> DataFrame:
+    """Write ``df`` to a scratch path and read it back: plans don't nest, lost executors cost no earlier work."""
+    spark = df.sparkSession
+    path = scratch(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -5,10 +5,13 @@ Every reader is a Spark scan with a stated policy for bad rows; nothing is parse
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import enum_or_default, first_number
+
 CORRUPT = "_corrupt_record"
 
 
@@ -36,9 +39,9 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def csv_strings(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV with a header, all columns strings; a byte-order mark is stripped from the first name."""
+    """A CSV with a header, all columns strings, empty and missing fields empty strings; a byte-order mark is stripped from the first name."""
     df = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    return df.toDF(*[c.lstrip("﻿") for c in df.columns])
+    return df.toDF(*[c.lstrip("﻿") for c in df.columns]).fillna("")
 
 
 def shards(spark: SparkSession, path: str, schema: str | T.StructType, pattern: str, skip: str = "summary|metrics", expected: int | None = None) -> DataFrame:
@@ -50,6 +53,23 @@ def shards(spark: SparkSession, path: str, schema: str | T.StructType, pattern:
     return df
 
 
+def ranked_shards(spark: SparkSession, path: str, schema: str | T.StructType, patterns: list[str], fallback: str = "*.json*") -> DataFrame:
+    """JSON lines of the first of several globs below ``path`` that names a file, else of all files below it that match ``fallback``."""
+    for pattern in patterns:
+        try:
+            return json_lines(spark, f"{path}/{pattern}", schema)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    return shards(spark, path, schema, fallback)
+
+
+def documents_below(spark: SparkSession, roots: list[str], schema: str | T.StructType, pattern: str) -> DataFrame:
+    """One JSON document a file, of all files at any depth below ``roots`` that match ``pattern``, with ``source_file``."""
+    reader = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST")
+    return reader.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).json(roots).withColumn("source_file", F.col("_metadata.file_path"))
+
+
 def step_of(file_path: Column) -> Column:
     """The integer stem of a file name such as 120.jsonl."""
     return F.regexp_extract(file_path, r"(\d+)\.[a-z]+$", 1).try_cast("int")
@@ -64,6 +84,26 @@ def envelope(payload: DataFrame, aliases: list[str], item: str | T.DataType) ->
     return payload.select(F.explode(items).alias("r")).select("r.*")
 
 
+def index_rows(payload: DataFrame, aliases: list[str], item: str, enums: dict[str, tuple[list[str], str]], numbers: dict[str, tuple[float, float, float]]) -> DataFrame:
+    """The rows of an ``envelope``; enum fields (allowed, default) and number fields (low, high, default) are set right.
+
+    A null or unknown enum and a number that is null or doesn't parse become the default, other numbers are clamped."""
+    rows = envelope(payload, aliases, item)
+    fixed = {c: enum_or_default(F.col(c), allowed, default) for c, (allowed, default) in enums.items()}
+    clamped = {c: first_number(F.col(c), low=low, high=high, otherwise=F.lit(default)) for c, (low, high, default) in numbers.items()}
+    return rows.withColumns(fixed | clamped)
+
+
+def inventory(payload: DataFrame, outer: str, inner: str, parent: str, child: str, inherited: list[str]) -> DataFrame:
+    """A row per child of JSON texts ``value`` in two shapes: ``outer`` lists of parents with ``inner`` lists, or a flat ``inner`` list.
+
+    A field that the child lacks or leaves null comes from its parent.  Parents without children give no rows, nor do texts of another shape."""
+    shape = F.from_json("value", f"struct<{outer}:array<struct<{parent},{inner}:array<struct<{child}>>>>,{inner}:array<struct<{child}>>>")
+    read = payload.select(shape.alias("_p"))
+    nested = flatten_children(read.select(F.explode(f"_p.{outer}").alias("_o")).select("_o.*"), inner, inherited)
+    return nested.unionByName(read.select(F.explode(f"_p.{inner}").alias("_c")).select("_c.*"), allowMissingColumns=True)
+
+
 def flatten_children(parents: DataFrame, children: str, inherited: list[str]) -> DataFrame:
     """A row per child struct; a field that the child lacks or leaves null comes from its parent."""
     x = parents.withColumn("_c", F.explode(children))
@@ -111,6 +151,12 @@ def write_parquet(df: DataFrame, path: str, by: list[str] | None = None) -> None
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
+def write_split(df: DataFrame, path: str, outputs: list[tuple[str, Column]], rest: str = "rest") -> None:
+    """Each row goes to the folder ``output=name`` of the first (name, condition) that holds, else of ``rest``: one pass for all outputs."""
+    name = F.coalesce(*[F.when(c, F.lit(n)) for n, c in outputs], F.lit(rest))
+    write_parquet(df.withColumn("output", name), path, ["output"])
+
+
 def ledger(outputs: dict[str, DataFrame], keys: dict[str, list[str]]) -> DataFrame:
     """(output, records, digest) of each output.  A record's hash is summed modulo 2**64, so that the digest needs no order and no gathering."""
     parts = []
