@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .order import placed
+from .order import placed, with_totals
 
 
 def deduplicate(rows: DataFrame, keys: list[str], order: list[Column], keep: str = "last") -> DataFrame:
@@ -118,20 +118,38 @@ def nearest_in_block(rows: DataFrame, block: list[str], id_col: str, value: str,
     return out.select(*block, id_col, F.col("_x.id").alias("other"), (-F.col("_x.d")).alias("score"), (F.col("_i") + 1).cast("int").alias("rank"))
 
 
-def best_by_tiers(rows: DataFrame, block: list[str], id_col: str, tiers: list[tuple[str, int]], rest: int) -> DataFrame:
+def least_sharing(rows: DataFrame, block: list[str], id_col: str, words: str) -> DataFrame:
+    """block, ``id_col``, other: the least id of another row of the block that shares one of the array ``words``; rows without one are left out.
+
+    The two least ids of each word are all that rows meet, never the rows of a word; null and empty words count for nothing."""
+    each = rows.select(*block, id_col, F.explode(F.array_distinct(words)).alias("_w")).filter("_w != ''")
+    least = cut(each.groupBy(*block, "_w").agg(F.min(id_col).alias("_least")), "least")
+    met = with_totals(each, [*block, "_w"], least)
+    second = met.filter(F.col(id_col) != F.col("_least")).groupBy(*block, "_w").agg(F.min(id_col).alias("_second"))
+    met = with_totals(met, [*block, "_w"], cut(second, "second"))
+    other = F.when(F.col(id_col) != F.col("_least"), F.col("_least")).otherwise(F.col("_second"))
+    return met.groupBy(*block, id_col).agg(F.min(other).alias("other")).filter("other IS NOT NULL")
+
+
+def best_by_tiers(rows: DataFrame, block: list[str], id_col: str, tiers: list[tuple[str, int]], rest: int, words: tuple[str, int] | None = None) -> DataFrame:
     """The partner (``other``, ``score``) of each row among the other rows of its block: of equal value in the first tier
-    that has one, else any (score ``rest``); the least id.  Ids are distinct.  Rows alone in their block are left out.
+    that has one, else one that shares a word (``words``: array column, score), else any (score ``rest``); the least id.
+    Ids are distinct.  Rows alone in their block are left out.
 
     The partner by a column is the least id of its value, or the second least for that row itself: the two least ids of a
     value are all that is joined, never pairs of rows.  A null value has no partner in its tier."""
-    out = rows
-    for i, (value, _) in enumerate([*tiers, (None, rest)]):
+    out, found = rows, []
+    for i, (value, score) in enumerate([*tiers, (None, rest)]):
+        if value is None and words:
+            near = cut(least_sharing(rows, block, id_col, words[0]), "sharing").withColumnRenamed("other", "_pw")
+            out = out.join(near, [*block, id_col], "left")
+            found.append(("_pw", words[1]))
         by = [*block, value] if value else block
         least = rows.groupBy(*by).agg(F.min(id_col).alias("_least"))
         second = rows.join(least, by).filter(F.col(id_col) != F.col("_least")).groupBy(*by).agg(F.min(id_col).alias("_second"))
         two = least.join(second, by)
         out = out.join(two, by, "left").withColumn(f"_p{i}", F.when(F.col(id_col) == F.col("_least"), F.col("_second")).otherwise(F.col("_least"))).drop("_least", "_second")
-    found = [F.col(f"_p{i}").isNotNull() for i in range(len(tiers) + 1)]
-    score = F.coalesce(*[F.when(f, F.lit(s)) for f, s in zip(found, [*(s for _, s in tiers), rest], strict=True)])
-    out = out.withColumn("other", F.coalesce(*[f"_p{i}" for i in range(len(tiers) + 1)])).withColumn("score", score)
-    return out.filter("other IS NOT NULL").drop(*[f"_p{i}" for i in range(len(tiers) + 1)])
+        found.append((f"_p{i}", score))
+    score = F.coalesce(*[F.when(F.col(p).isNotNull(), F.lit(s)) for p, s in found])
+    out = out.withColumn("other", F.coalesce(*[p for p, _ in found])).withColumn("score", score)
+    return out.filter("other IS NOT NULL").drop(*[p for p, _ in found])

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .order import running, with_totals
+from .order import placed, running, with_totals
 
 
 def ratio(a: Column, b: Column, empty: float | None = 0.0) -> Column:
@@ -59,16 +59,44 @@ def average_precision(rows: DataFrame, by: list[str], score: str, label: str) ->
     return agg.select(*by, "pos", ratio(F.col("_a"), F.col("pos")).alias("ap"))
 
 
-def threshold_sweep(rows: DataFrame, by: list[str], score: str, label: str, goal: str = "balanced_accuracy") -> DataFrame:
-    """Best threshold of ``score >= t`` by ``goal`` (balanced_accuracy or f1); ties go to the nearest 0.5, then the larger.
-
-    Candidates are 0, 1 and all scores of the group, however many."""
+def _cuts(rows: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
+    """0, 1 and all scores of each group with what stands at or above them (``_tp``, ``_fp``), how many candidates do (``_down``), and totals."""
     ends = F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("_s")
     each = _steps(rows, by, score, label)
     none = each.select(*by).distinct().select(*by, ends, F.lit(0).cast("long").alias("_p"), F.lit(0).cast("long").alias("_n"))
     each = each.unionByName(none).groupBy(*by, "_s").agg(F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
-    steps = running(each, by, [F.desc("_s")], {"_tp": F.col("_p"), "_fp": F.col("_n")})
-    steps = with_totals(steps, by, steps.groupBy(*by).agg(F.sum("_p").alias("_pos"), F.sum("_n").alias("_neg")))
+    steps = running(each, by, [F.desc("_s")], {"_tp": F.col("_p"), "_fp": F.col("_n"), "_down": F.lit(1).cast("long")})
+    return with_totals(steps, by, steps.groupBy(*by).agg(F.sum("_p").alias("_pos"), F.sum("_n").alias("_neg"), F.count("*").alias("_m")))
+
+
+def _on_grid(steps: DataFrame, by: list[str], grid: int) -> DataFrame:
+    """``steps`` of groups with at most ``grid`` candidates; of larger ones the ``grid`` evenly spaced quantiles, linear between two candidates.
+
+    A threshold between two candidates counts as the upper one does.  The candidate at place j from 0 is the upper end of
+    at most one quantile and the lower end of at most one, so quantiles are grouped from their two ends."""
+    few, many = steps.filter(F.col("_m") <= grid), steps.filter(F.col("_m") > grid)
+    at, span, parts = F.col("_m") - F.col("_down"), F.col("_m") - 1, grid - 1
+    up, low = F.floor(at * parts / span), F.ceil(at * parts / span)
+    ends = F.array(
+        F.when(F.ceil(up * span / parts) == at, F.struct(up.alias("i"), F.lit(True).alias("up"))),
+        F.when(F.floor(low * span / parts) == at, F.struct(low.alias("i"), F.lit(False).alias("up"))),
+    )
+    each = many.withColumn("_e", F.explode(F.array_compact(ends)))
+    upper = lambda c: F.max(F.when(F.col("_e.up"), F.col(c))).alias(c)
+    made = each.groupBy(*by, F.col("_e.i").alias("_i")).agg(F.max(F.when(~F.col("_e.up"), F.col("_s"))).alias("_lo"), *[upper(c) for c in ("_s", "_tp", "_fp", "_pos", "_neg", "_m")])
+    place = F.col("_i") * (F.col("_m") - 1) / parts
+    made = made.withColumn("_s", F.col("_lo") + (F.col("_s") - F.col("_lo")) * (place - F.floor(place)))
+    names = [*by, "_s", "_tp", "_fp", "_pos", "_neg"]
+    return few.select(*names).unionByName(made.select(*names))
+
+
+def threshold_sweep(rows: DataFrame, by: list[str], score: str, label: str, goal: str = "balanced_accuracy", grid: int | None = None) -> DataFrame:
+    """Best threshold of ``score >= t`` by ``goal`` (balanced_accuracy or f1); ties go to the nearest 0.5, then the larger.
+
+    Candidates are 0, 1 and all scores of the group, however many; with ``grid`` and more of them, their ``grid`` even quantiles."""
+    steps = _cuts(rows, by, score, label)
+    if grid:
+        steps = _on_grid(cut(steps, "steps"), by, grid)
     value = {
         "balanced_accuracy": (ratio(F.col("_tp"), F.col("_pos")) + 1 - ratio(F.col("_fp"), F.col("_neg"))) / 2,
         "f1": ratio(2 * F.col("_tp"), F.col("_tp") + F.col("_fp") + F.col("_pos")),
@@ -131,3 +159,18 @@ def bootstrap_counts(ids: DataFrame, key: str, repeats: int, seed: str) -> DataF
     u = F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("double") / float(1 << 52)
     times = sum(((u >= c).cast("int") for c in poisson_steps()), F.lit(0))
     return ids.select(key).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("times", times).filter("times > 0")
+
+
+def bootstrap_draws(ids: DataFrame, key: str, repeats: int, seed: str) -> DataFrame:
+    """(repeat, key, times): n draws with replacement from n distinct ids in each resample, by a keyed hash of repeat and draw.
+
+    Draws are made by a range over repeats x n, counted by place before they are shuffled, and meet the ids by their
+    place in order; ids that a resample doesn't draw have no row there."""
+    at = cut(placed(ids.select(key).filter(F.col(key).isNotNull()).distinct(), [], [F.asc(key)], "_at"), "places")
+    n = at.count()
+    if not n:
+        return at.select(F.lit(0).cast("long").alias("repeat"), key, F.lit(0).cast("long").alias("times"))
+    draw = F.concat_ws(":", F.lit(seed), F.floor(F.col("id") / n).cast("string"), F.pmod("id", F.lit(n)).cast("string"))
+    u = F.conv(F.substring(F.sha2(draw, 256), 1, 13), 16, 10).cast("long")
+    drawn = ids.sparkSession.range(repeats * n).select(F.floor(F.col("id") / n).alias("repeat"), (F.pmod(u, F.lit(n)) + 1).alias("_at"))
+    return drawn.groupBy("repeat", "_at").agg(F.count("*").alias("times")).join(at, "_at").select("repeat", key, "times")

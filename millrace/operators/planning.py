@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import metrics
+from .order import with_totals
 from .sampling import hash_key, hash_unit
 
 
@@ -60,6 +62,23 @@ def continuation(cases: DataFrame, case: str, video: str, ordinal: str, done_cas
     return x.withColumn("decision", F.when(F.col("_dc"), "completed_case").when(F.col("_dv"), "completed_video").when(first, "keep").otherwise("reserve")).select(*cases.columns, "decision")
 
 
+def continue_by_strategy(cases: DataFrame, case: str, video: str, ordinal: str, done_cases: DataFrame, done_videos: DataFrame, selected: Column, strategies: list[tuple[str, Column]]) -> DataFrame:
+    """``decision`` for each case: completed_case, completed_video, no_selection, rerun where no strategy holds, reserve where
+    an earlier open case (by ordinal, then case) with a strategy takes the video, else the first strategy that holds.
+
+    ``selected`` says whether the video has a selection; null conditions don't hold.  Cases are distinct; a case without a
+    video has no selection.  The case that takes a video is one aggregate, no window over a video's cases."""
+    name = F.coalesce(*[F.when(c, F.lit(n)) for n, c in strategies])
+    early = F.when(F.col("_dc"), "completed_case").when(F.col("_dv"), "completed_video").when(~F.coalesce(selected, F.lit(False)) | F.col(video).isNull(), "no_selection").when(name.isNull(), "rerun")
+    mark = lambda done, key, flag: done.select(key).filter(F.col(key).isNotNull()).distinct().withColumn(flag, F.lit(True))
+    x = with_totals(with_totals(cases, [case], mark(done_cases, case, "_dc")), [video], cut(mark(done_videos, video, "_dv"), "done"))
+    x = cut(x.withColumns({"_early": early, "_name": name}), "cases")
+    takes = x.filter("_early IS NULL").groupBy(video).agg(F.min(F.struct(ordinal, case)).alias("_f")).select(video, F.col(f"_f.{case}").alias("_taker"))
+    x = with_totals(x, [video], cut(takes, "takers"))
+    decision = F.coalesce("_early", F.when(F.col(case) == F.col("_taker"), F.col("_name")).otherwise("reserve"))
+    return x.select(*cases.columns, decision.alias("decision"))
+
+
 def pair_label_status(pairs: DataFrame, pair: str, side: str, label: str) -> DataFrame:
     """both_known_consistent, both_known_mismatch, one_sided or missing, for pairs that have both sides."""
     g = pairs.groupBy(pair).agg(F.count_distinct(side).alias("sides"), F.count(label).alias("known"), F.min(label).alias("lo"), F.max(label).alias("hi")).filter("sides = 2")

@@ -287,6 +287,36 @@ SELECT field, filled, rows, round(filled / rows::DOUBLE, 6) AS share FROM c
 """
 
 
+def threshold_on_grid(spark: SparkSession, d: str) -> DataFrame:
+    """The best threshold of a price for a returned line by status, among 2001 quantiles of the prices."""
+    li = table(spark, d, "lineitem").select("l_linestatus", (F.col("l_extendedprice") / 100000).alias("score"), (F.col("l_returnflag") == "R").cast("int").alias("returned"))
+    return metrics.threshold_sweep(li, ["l_linestatus"], "score", "returned", "f1", 2001).select("l_linestatus", r6("threshold"), r6("f1"))
+
+
+GRID_SQL = """
+WITH x AS (SELECT l_linestatus AS g, l_extendedprice / 100000 AS s, (l_returnflag = 'R')::INT AS y FROM lineitem),
+e AS (SELECT g, s, y AS p, 1 - y AS n FROM x UNION ALL SELECT DISTINCT g, unnest([0.0::DOUBLE, 1.0::DOUBLE]), 0, 0 FROM x), c AS (SELECT g, s, sum(p) AS p, sum(n) AS n FROM e GROUP BY g, s),
+m AS (SELECT g, s, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER (PARTITION BY g) AS ap FROM c WINDOW w AS (PARTITION BY g ORDER BY s DESC)),
+q AS (SELECT g, unnest(CASE WHEN count(*) > 2001 THEN quantile_cont(s, [i / 2000::DOUBLE for i in range(2001)]) ELSE list(s) END) AS t FROM c GROUP BY g),
+v AS (SELECT q.g, q.t, round(coalesce(2 * tp / nullif(tp + fp + ap, 0)::DOUBLE, 0), 12) AS v FROM q ASOF JOIN m ON q.g = m.g AND q.t <= m.s)
+SELECT g AS l_linestatus, round(t, 6) AS threshold, round(v, 6) AS f1 FROM v QUALIFY row_number() OVER (PARTITION BY g ORDER BY v DESC, abs(t - 0.5::DOUBLE), t DESC) = 1
+"""
+
+
+def bootstrap_of_draws(spark: SparkSession, d: str) -> DataFrame:
+    """The toxic rate of 20 resamples of as many draws as there are labelled documents."""
+    lab = table(spark, d, "labels").select("doc_id", "toxic")
+    drawn = metrics.bootstrap_draws(lab, "doc_id", 20, "draws").join(lab.filter("toxic IS NOT NULL"), "doc_id")
+    return drawn.groupBy("repeat").agg(F.sum("times").alias("drawn"), F.count("*").alias("distinct_ids"), F.round(F.sum(F.col("times") * F.col("toxic")) / F.sum("times"), 6).alias("rate"))
+
+
+DRAWS_SQL = """
+WITH i AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT doc_id FROM labels WHERE doc_id IS NOT NULL)),
+w AS (SELECT r AS repeat, ('0x' || substr(sha256('draws:' || r || ':' || place), 1, 13))::BIGINT % n AS place FROM i, range(20) t(r)), x AS (SELECT repeat, doc_id, count(*) AS times FROM w JOIN i USING (place) GROUP BY ALL)
+SELECT repeat, sum(times)::BIGINT AS drawn, count(*) AS distinct_ids, round(sum(times * toxic) / sum(times), 6) AS rate FROM x JOIN labels USING (doc_id) WHERE toxic IS NOT NULL GROUP BY repeat
+"""
+
+
 def bootstrap_rate(spark: SparkSession, d: str) -> DataFrame:
     """Spread of the toxic rate over 50 resamples (Poisson weights from a hash)."""
     lab = table(spark, d, "labels").select("doc_id", "toxic")
@@ -309,5 +339,5 @@ QUERIES = {
     "pass_at_k": (pass_at_k, PASS_SQL), "quantiles_by_group": (quantiles_by_group, QUANTILE_SQL), "grouping_sets_counts": (grouping_sets_counts, SETS_SQL),
     "explode_counts_all": (explode_counts_all, EXPLODE_ALL_SQL), "rolling_centered": (rolling_centered, ROLLING_SQL), "window_stats_slope_corr": (window_stats_slope_corr, STATS_SQL),
     "longest_run": (longest_run_hours, RUN_SQL), "runs_max_gap": (runs_max_gap, GAP_SQL), "cosine_steps": (cosine_steps, COSINE_SQL), "gate_table": (gate_table, GATE_SQL),
-    "coverage_report": (coverage_report, COVERAGE_SQL), "bootstrap_rate": (bootstrap_rate, BOOT_SQL),
+    "coverage_report": (coverage_report, COVERAGE_SQL), "bootstrap_rate": (bootstrap_rate, BOOT_SQL), "bootstrap_of_draws": (bootstrap_of_draws, DRAWS_SQL), "threshold_on_grid": (threshold_on_grid, GRID_SQL),
 }

@@ -180,6 +180,23 @@ FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey != b.p_partkey
 """
 
 
+def cascade_match_words(spark: SparkSession, d: str) -> DataFrame:
+    """The best partner of every part of its size: same name (100), type and brand (80), brand (60), type (40), price band (30), a shared word (15), any (1)."""
+    p = table(spark, d, "part")
+    both = F.concat_ws("|", "p_type", "p_brand").alias("both")
+    words = F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " +").alias("words")
+    p = p.select("p_partkey", "p_size", "p_name", both, "p_brand", "p_type", F.floor(F.col("p_retailprice") / 50).alias("band"), words)
+    tiers = [("p_name", 100), ("both", 80), ("p_brand", 60), ("p_type", 40), ("band", 30)]
+    return joins.best_by_tiers(p, ["p_size"], "p_partkey", tiers, 1, ("words", 15)).select("p_size", "p_partkey", "other", "score")
+
+
+CASCADE_WORDS_SQL = """
+WITH p AS (SELECT *, string_split(lower(p_name || ' ' || p_type), ' ') AS w, floor(p_retailprice / 50) AS band FROM part)
+SELECT a.p_size, a.p_partkey, b.p_partkey AS other, CASE WHEN a.p_name = b.p_name THEN 100 WHEN a.p_type = b.p_type AND a.p_brand = b.p_brand THEN 80 WHEN a.p_brand = b.p_brand THEN 60 WHEN a.p_type = b.p_type THEN 40 WHEN a.band = b.band THEN 30 WHEN list_has_any(a.w, b.w) THEN 15 ELSE 1 END AS score
+FROM p a JOIN p b ON a.p_size = b.p_size AND a.p_partkey != b.p_partkey QUALIFY row_number() OVER (PARTITION BY a.p_partkey ORDER BY score DESC, b.p_partkey) = 1
+"""
+
+
 def compat_rules_join(spark: SparkSession, d: str) -> DataFrame:
     """Nation pairs in one region that no rule blocks; an empty rule side stands for any nation."""
     n = table(spark, d, "nation")
@@ -476,7 +493,7 @@ QUERIES = {
     "dup_policy_last": (dup_policy_last, LAST_SQL), "dup_policy_first": (dup_policy_first, FIRST_SQL), "unmatched_counts": (unmatched_counts, UNMATCHED_SQL), "coverage_join": (coverage_join, COVER_SQL),
     "precedence_join": (precedence_join, PRECEDENCE_SQL), "unanimous_fallback_join": (unanimous_fallback_join, UNANIMOUS_SQL), "ancestor_path_join": (ancestor_path_join, ANCESTOR_SQL),
     "longest_prefix_join": (longest_prefix_join, PREFIX_SQL), "nearest_join_tolerance": (nearest_join_tolerance, NEAREST_SQL), "interval_contains": (interval_contains, INTERVAL_SQL),
-    "blocked_pair_topk": (blocked_pair_topk, BLOCKED_SQL), "cascade_match_all": (cascade_match_all, CASCADE_ALL_SQL), "compat_rules_join": (compat_rules_join, COMPAT_SQL), "upsert_merge": (upsert_merge, UPSERT_SQL),
+    "blocked_pair_topk": (blocked_pair_topk, BLOCKED_SQL), "cascade_match_all": (cascade_match_all, CASCADE_ALL_SQL), "cascade_match_words": (cascade_match_words, CASCADE_WORDS_SQL), "compat_rules_join": (compat_rules_join, COMPAT_SQL), "upsert_merge": (upsert_merge, UPSERT_SQL),
     "overlap_exact_normalised": (overlap_normalised, OVERLAP_SQL), "dedup_signature": (dedup_signature, DEDUP_SQL), "reasoned_filter": (reasoned_filter, REASON_SQL), "failed_rule_tags": (failed_rule_tags, TAGS_SQL),
     "keyword_bucket": (keyword_bucket, KEYWORD_SQL), "tag_extract": (tag_extract, TAG_SQL), "url_parts": (url_parts, URL_SQL), "last_message_by_role": (last_message_by_role, MESSAGE_SQL), "box_overlap": (box_overlap, BOX_SQL),
     "variant_expand": (variant_expand, VARIANT_SQL), "pair_swap_control": (pair_swap_control, SWAP_SQL), "label_cycle": (label_cycle, CYCLE_SQL), "assignment_until_full": (assignment_until_full, ASSIGN_ALL_SQL),

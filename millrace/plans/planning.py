@@ -75,6 +75,25 @@ SELECT CASE WHEN dc THEN 'completed_case' WHEN dv THEN 'completed_video' WHEN r
 """
 
 
+def continuation_by_strategy(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as cases of customers with their decision: some orders and customers done, customers in debt not selected, three strategies in order."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority", "o_totalprice")
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey", "c_acctbal", "c_mktsegment")
+    x = o.join(c, "o_custkey", "left")
+    grade = F.substring("o_orderpriority", 1, 1)
+    strategies = [("person_preferred", (F.col("c_mktsegment") == "BUILDING") & (F.col("o_totalprice") > 100000)), ("keep_person_swap", grade == "1"), ("keep_good_base_pair", grade.isin("2", "3"))]
+    out = planning.continue_by_strategy(x, "o_orderkey", "o_custkey", "o_orderdate", o.filter("o_orderstatus = 'P'"), c.filter("c_nationkey < 5"), F.col("c_acctbal") >= 0, strategies)
+    return out.select("o_orderkey", "o_custkey", "decision")
+
+
+STRATEGY_SQL = """
+WITH x AS (SELECT o_orderkey, o_custkey, o_orderdate, CASE WHEN o_orderstatus = 'P' THEN 'completed_case' WHEN c_nationkey < 5 THEN 'completed_video' WHEN NOT coalesce(c_acctbal >= 0, false) THEN 'no_selection' END AS early,
+  CASE WHEN c_mktsegment = 'BUILDING' AND o_totalprice > 100000 THEN 'person_preferred' WHEN o_orderpriority[1] = '1' THEN 'keep_person_swap' WHEN o_orderpriority[1] IN ('2', '3') THEN 'keep_good_base_pair' END AS strategy FROM orders LEFT JOIN customer ON c_custkey = o_custkey),
+k AS (SELECT *, coalesce(early, CASE WHEN strategy IS NULL THEN 'rerun' END) AS e FROM x), r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, e IS NULL ORDER BY o_orderdate, o_orderkey) AS n FROM k)
+SELECT o_orderkey, o_custkey, coalesce(e, CASE WHEN n = 1 THEN strategy ELSE 'reserve' END) AS decision FROM r
+"""
+
+
 def pair_label_status(spark: SparkSession, d: str) -> DataFrame:
     """Neighbouring documents as pairs: what is known of their quality."""
     docs = table(spark, d, "documents").select("doc_id", F.floor(F.col("doc_id") / 2).alias("pair"), F.pmod("doc_id", F.lit(2)).alias("side"))
@@ -105,5 +124,5 @@ SELECT alpha, round(auc, 6) AS auc FROM c ORDER BY c.auc DESC, alpha LIMIT 1
 
 QUERIES = {
     "weighted_choice": (weighted_choice, WEIGHTED_SQL), "repair_cascade": (repair_cascade, REPAIR_SQL), "plan_validation": (plan_validation, VALID_SQL),
-    "continuation_plan": (continuation, CONTINUE_SQL), "pair_label_status": (pair_label_status, STATUS_SQL), "score_fusion": (score_fusion, FUSION_SQL),
+    "continuation_plan": (continuation, CONTINUE_SQL), "continuation_by_strategy": (continuation_by_strategy, STRATEGY_SQL), "pair_label_status": (pair_label_status, STATUS_SQL), "score_fusion": (score_fusion, FUSION_SQL),
 }
