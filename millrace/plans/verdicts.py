@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import decisions
+from ..operators import decisions, signal
 from ..session import table
 
 
@@ -133,4 +133,56 @@ UNION ALL SELECT 'questions', NULL, NULL, NULL, NULL, NULL, f1, CASE WHEN f1 = '
 UNION ALL SELECT 'joint', NULL, NULL, NULL, NULL, NULL, f2, CASE WHEN f2 = '' THEN 'passed_for_short_rl' WHEN f2 = 'beats_flipped' THEN 'borderline_short_rl_only' ELSE 'not_ready_for_rl' END FROM l
 """
 
-QUERIES = {"transfer_verdicts": (transfer_verdicts, TRANSFER_SQL), "signal_verdicts": (signal_verdicts, SIGNAL_SQL), "judge_verdicts": (judge_verdicts, JUDGE_SQL), "question_verdicts": (question_verdicts, QUESTION_SQL)}
+def _frame_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as pictures of 8 x 8: even ones real, the next one fake, three frames a pair; masks of 4 x 4, every fourth pair a box."""
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: (x.cast("double") + 1) / 2).alias("v"))
+    k = F.floor(F.col("vec_id") / 2).alias("k")
+    real, fake = (e.filter(F.col("vec_id") % 2 == side).select(k, F.col("v").alias(name)) for side, name in ((0, "a"), (1, "b")))
+    x = real.join(fake, "k").select("a", "b", "k", F.floor(F.col("k") / 3).alias("pair"), (F.col("k") % 3).alias("frame"))
+    picture = lambda h, w, c: F.struct(h.alias("height"), w.alias("width"), c.alias("data"))
+    odd = F.col("k") % 40 == 7
+    cells = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: ((i + F.col("pair")) % 3 == 0) & (F.col("pair") % 11 != 0))
+    mask = F.when(F.col("pair") % 4 != 0, picture(F.lit(4), F.lit(4), F.transform(cells, lambda c: c.cast("int"))))
+    box = F.array(F.col("pair") % 5 * 125, F.lit(100), F.lit(600), F.lit(700))
+    shape = picture(F.when(odd, 4).otherwise(8), F.when(odd, 16).otherwise(8), F.col("b"))
+    return signal.pair_differences(signal.frame_differences(x, ["pair", "frame"], picture(F.lit(8), F.lit(8), F.col("a")), shape, mask, box), ["pair"], "frame")
+
+
+def frame_differences(spark: SparkSession, d: str) -> DataFrame:
+    """Differences of the pairs inside and outside their region, with the failures."""
+    measures = ("inside", "outside", "identity", "area", "ratio")
+    return _frame_pairs(spark, d).select("pair", "ok", "failure", "region", "frames", *[F.round(c, 6).alias(c) for c in measures])
+
+
+FRAMES = """
+x AS (SELECT r.vec_id // 2 AS k, r.vec_id // 6 AS pair, (r.vec_id // 2) % 3 AS frame, r.embedding AS a, f.embedding AS b FROM embeddings r JOIN embeddings f ON f.vec_id = r.vec_id + 1 WHERE r.vec_id % 2 = 0),
+p AS (SELECT k, pair, frame, abs((b[i + 1]::DOUBLE + 1) / 2 - (a[i + 1]::DOUBLE + 1) / 2) AS d,
+  CASE WHEN pair % 4 = 0 THEN i % 8 >= pair % 5 AND i % 8 < 5 AND i // 8 >= 1 AND i // 8 < 6 ELSE ((i // 16) * 4 + (i % 8) // 2 + pair) % 3 = 0 AND pair % 11 != 0 END AS m FROM x, range(64) t(i)),
+f AS (SELECT k, pair, frame, avg(d) FILTER (m) AS i, avg(d) FILTER (NOT m) AS o, avg((d <= 2 / 255::DOUBLE)::INT) FILTER (NOT m) AS s, avg(m::INT) AS area, bool_or(m) AND NOT bool_and(m) AND k % 40 != 7 AS good FROM p GROUP BY k, pair, frame),
+g AS (SELECT pair, CASE WHEN bool_or(k % 40 = 7) THEN 'shape_mismatch' WHEN NOT bool_or(good) THEN 'no_valid_masked_frames' END AS failure, max(CASE WHEN k % 40 != 7 THEN CASE WHEN pair % 4 = 0 THEN 'box' ELSE 'mask' END END) AS region,
+  count(*) FILTER (good) AS n, avg(i) FILTER (good) AS i, avg(o) FILTER (good) AS o, avg(s) FILTER (good) AS s, avg(area) FILTER (good) AS area FROM f GROUP BY pair)
+"""
+FRAMES_SQL = f"""
+WITH {FRAMES} SELECT pair, failure IS NULL AS ok, failure, region, CASE WHEN failure IS NULL THEN n ELSE 0 END AS frames, CASE WHEN failure IS NULL THEN round(i, 6) END AS inside, CASE WHEN failure IS NULL THEN round(o, 6) END AS outside,
+  CASE WHEN failure IS NULL THEN round(s, 6) END AS identity, CASE WHEN failure IS NULL THEN round(area, 6) END AS area, CASE WHEN failure IS NULL THEN round(i / greatest(o, 1e-8), 6) END AS ratio FROM g
+"""
+
+
+def frame_signal_verdict(spark: SparkSession, d: str) -> DataFrame:
+    """The gate of localised signals on the differences that were measured, for pairs in three groups."""
+    x = _frame_pairs(spark, d).select((F.col("pair") % 3).alias("part"), F.col("ok").alias("valid"), (F.col("region") == "mask").alias("true_mask"), F.lit(True).alias("labelled"), F.lit(True).alias("consistent"), "inside", "outside")
+    out = decisions.signal_gate(x, ["part"])
+    rates = ("valid_rate", "mask_rate", "inside_rate", "median_ratio", "median_outside")
+    return out.select("part", "n", *[F.round(c, 6).alias(c) for c in rates], F.array_join("failed", ",").alias("failed"), "status")
+
+
+FRAME_SIGNAL_SQL = f"""
+WITH {FRAMES}, r AS (SELECT pair % 3 AS part, count(*) AS n, avg((failure IS NULL)::INT) AS valid_rate, avg((failure IS NULL AND region = 'mask')::INT) AS mask_rate, count(*) FILTER (failure IS NULL AND i > o) / nullif(count(*) FILTER (failure IS NULL), 0)::DOUBLE AS inside_rate,
+  quantile_cont(CASE WHEN failure IS NULL AND o != 0 THEN i / o END, 0.5) AS median_ratio, quantile_cont(CASE WHEN failure IS NULL THEN o END, 0.5) AS median_outside FROM g GROUP BY 1),
+v AS (SELECT *, concat_ws(',', CASE WHEN valid_rate < 0.9 THEN 'valid_pairs' END, CASE WHEN mask_rate < 0.9 THEN 'true_masks' END, CASE WHEN median_ratio < 2 THEN 'median_ratio' END, CASE WHEN median_outside > 0.03 THEN 'median_outside' END, CASE WHEN inside_rate < 0.7 THEN 'inside_over_outside' END) AS failed FROM r)
+SELECT part, n, round(valid_rate, 6) AS valid_rate, round(mask_rate, 6) AS mask_rate, round(inside_rate, 6) AS inside_rate, round(median_ratio, 6) AS median_ratio, round(median_outside, 6) AS median_outside, failed,
+  CASE WHEN mask_rate < 0.9 THEN 'diagnostic_only' WHEN failed = '' THEN 'passed' ELSE 'failed' END AS status FROM v
+"""
+
+
+QUERIES = {"transfer_verdicts": (transfer_verdicts, TRANSFER_SQL), "signal_verdicts": (signal_verdicts, SIGNAL_SQL), "judge_verdicts": (judge_verdicts, JUDGE_SQL), "question_verdicts": (question_verdicts, QUESTION_SQL), "frame_differences": (frame_differences, FRAMES_SQL), "frame_signal_verdict": (frame_signal_verdict, FRAME_SIGNAL_SQL)}
