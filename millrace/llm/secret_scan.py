@@ -4,7 +4,7 @@ The patterns find assignments, access keys and long hex runs.  The novelty
 method looks at every further token of key-like characters in a block (lines up to
 blank ones) with a sensitive word, before or after it: it compresses the code before
 the token with and without the token, under a zstandard dictionary of identifiers and
-common code words, the document's own identifiers and the text on both sides.
+common code words, the document's own identifiers that share most with it and the text on both sides.
 The bytes the token adds, over its length, say how little of it the dictionary
 and its surroundings explain; what stays incompressible is reported.  Further copies
 of a token don't explain it, unless the document uses it as an identifier elsewhere.
@@ -40,6 +40,8 @@ PEM = re.compile(r"""-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:((?
 USED = re.compile(r"""(?<![\w"'+/=-])(?:(?:def|class|function|func|fn|var|let|const|import)\x20+([A-Za-z_]\w{3,})|([A-Za-z_]\w{3,})(?=\x20?\(|\x20?=(?!=)|\.[A-Za-z_]|\[))|(?<=[\w)\]]\.)([A-Za-z_]\w{3,})(?![\w+/=-])""", re.ASCII)
 #: Characters before a token that are compressed with it, and on both sides of it that prime the compression.
 CONTEXT, AROUND = 48, 1024
+#: Characters that an identifier must share with a token to explain it, and those by which identifiers are ordered.
+SHARED, REACH = 4, 64
 #: Least marginal compressed bytes a character for a token to be reported.
 NOVELTY = 0.55
 #: Fixed words that prime the compressor.
@@ -85,6 +87,37 @@ class Novelty:
         return (len(packer.compress((before + token).encode(errors="replace"))) - plain) / len(token)
 
 
+class Names:
+    """A document's identifiers by all their suffixes in order: those that agree longest with a string at any of its places are
+    neighbours of that place, so a token meets a few identifiers a character, however many there are."""
+
+    def __init__(self, text: str):
+        self.used: dict[str, list[int]] = {}
+        for m in USED.finditer(text):
+            self.used.setdefault(m[m.lastindex], []).append(m.start(m.lastindex))
+        words = list(self.used)
+        order = sorted((w[i : i + REACH], n) for n, w in enumerate(words) for i in range(len(w) - SHARED + 1))
+        self.words, self.keys, self.of = words, [k for k, _ in order], [n for _, n in order]
+
+    def near(self, start: int, end: int, token: str) -> list[str]:
+        """The identifiers used outside start..end that share the longest stretch, of ``SHARED`` characters at least, with a place of ``token``."""
+        found: set[int] = set()
+        outside: dict[int, bool] = {}
+        for i in range(len(token) - SHARED + 1):
+            stretch = token[i : i + REACH]
+            at = bisect.bisect_left(self.keys, stretch)
+            for step, k in ((-1, at - 1), (1, at)):
+                while 0 <= k < len(self.keys) and self.keys[k].startswith(stretch[:SHARED]):
+                    n = self.of[k]
+                    if n not in outside:
+                        outside[n] = any(not start <= p < end for p in self.used[self.words[n]])
+                    if outside[n]:
+                        found.add(n)
+                        break
+                    k += step
+        return [self.words[n] for n in sorted(found)]
+
+
 class Surroundings:
     """What a document says about a token: whether its block is sensitive, and what may explain the token."""
 
@@ -92,7 +125,7 @@ class Surroundings:
         self.text = text
         self.ends = [m.start() for m in BLANK.finditer(text)]
         self.sensitive: dict[int, tuple[int, int]] = {}
-        self.used: dict[str, list[int]] | None = None
+        self.names: Names | None = None
 
     def is_sensitive(self, start: int, end: int) -> bool:
         """Whether a sensitive word stands in the block beside the token; a word inside a token is none of its own."""
@@ -105,14 +138,25 @@ class Surroundings:
         return first_end <= start or last_start >= end
 
     def around(self, start: int, end: int) -> str:
-        """The document's identifiers used elsewhere, and the text on both sides without copies of the token."""
-        if self.used is None:
-            self.used = {}
-            for m in USED.finditer(self.text):
-                self.used.setdefault(m[m.lastindex], []).append(m.start(m.lastindex))
-        names = [w for w, at in self.used.items() if any(not start <= a < end for a in at)]
+        """The document's identifiers used elsewhere that may explain the token, and the text on both sides without copies of it."""
+        if self.names is None:
+            self.names = Names(self.text)
+        token = self.text[start:end]
         sides = self.text[max(0, start - AROUND) : start] + " " + self.text[end : end + AROUND]
-        return " ".join([sides.replace(self.text[start:end], " "), *names, ""])
+        return " ".join([sides.replace(token, " "), *self.names.near(start, end, token), ""])
+
+
+def merged(taken: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the disjoint intervals that cover the same places."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, e in sorted(taken):
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
 
 
 def spans(text: str | None, novelty: Novelty) -> list[tuple[int, int, int]]:
@@ -122,19 +166,19 @@ def spans(text: str | None, novelty: Novelty) -> list[tuple[int, int, int]]:
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    taken = sorted(found)
     for m in PEM.finditer(text) if "PRIVATE KEY" in text else ():
         body = m[m.lastindex]
         start, end = m.start(m.lastindex) + len(body) - len(body.lstrip()), m.end() - len(body) + len(body.rstrip())
         if end - start >= 16 and novelty("", text[start:end]) >= NOVELTY:
             found.append((start, 3, end))
-            taken.append((start, 3, end))
+    starts, ends = merged([(s, e) for s, _, e in found])
     document = Surroundings(text)
     for m in TOKEN.finditer(text):
         token = m[0]
         if not (re.search(r"[0-9]", token) and re.search(r"[A-Za-z]", token)) or not document.is_sensitive(m.start(), m.end()):
             continue
-        if any(s < m.end() and m.start() < e for s, _, e in taken):
+        k = bisect.bisect_left(starts, m.end()) - 1
+        if k >= 0 and ends[k] > m.start():
             continue
         before = text[max(0, m.start() - CONTEXT) : m.start()].replace(token, " ")
         if novelty(before, token) >= NOVELTY and novelty(before, token, document.around(m.start(), m.end())) >= NOVELTY:

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+from millrace.llm import secret_scan
 from millrace.llm.secret_scan import Novelty, scan_secrets, spans
 
 KINDS = ("assign", "access", "hex")
@@ -61,3 +62,26 @@ def test_novelty_takes_both_sides_and_the_document_into_account():
     for extra, ends in (("", "-----END RSA PRIVATE KEY-----"), ("Proc-Type: 4,ENCRYPTED\nDEK-Info: AES\n\n", "-----END RSA PRIVATE KEY-----"), ("", "")):
         body = extra + "\n".join(draw(64) for _ in range(12))
         assert novel(f"text\n-----BEGIN RSA PRIVATE KEY-----\n{body}\n{ends}\nmore words\n") == [body]
+
+
+def test_identifiers_that_share_most_are_found_at_every_place():
+    import os
+    import random
+
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abc_") for _ in range(rng.randrange(4, 12)))
+    for _ in range(20):
+        names = sorted({"x" + word() for _ in range(30)})
+        token = "".join(rng.choice("abc_") for _ in range(24))
+        text = f"{token}(1)\n" + "\n".join(f"{n}(2)" for n in names)
+        near = secret_scan.Names(text).near(0, len(token), token)
+        assert token not in near and set(near) <= set(names)
+        longest = lambda at, words: max((len(os.path.commonprefix([token[at:], w[i:]])) for w in words for i in range(len(w) - 3)), default=0)
+        for at in range(len(token) - 3):
+            best = longest(at, names)
+            assert best < 4 or longest(at, near) == best
+
+
+def test_merged_intervals_cover_the_same_places():
+    starts, ends = secret_scan.merged([(5, 9), (0, 2), (8, 12), (12, 13), (20, 21), (1, 2)])
+    assert list(zip(starts, ends, strict=True)) == [(0, 2), (5, 13), (20, 21)] and secret_scan.merged([]) == ([], [])
