@@ -23,15 +23,31 @@ def weighted_choice(rows: DataFrame, by: list[str], key: str, weight: str, seed:
     return best.select("_r.*")
 
 
-def repair(candidates: DataFrame, target: str, tiers: list[tuple[str, Column]], score: str, donor: str) -> DataFrame:
-    """(target, donor, tier): the best donor of the first tier that any candidate reaches; tiers are (name, condition) in order."""
+def _best(candidates: DataFrame, target: str, tiers: list[tuple[str, Column]], score: str, donor: str) -> DataFrame:
+    """(target, _b): the least struct of tier number, negative score, donor and tier."""
     number, name = None, None
     for i, (n, c) in enumerate(tiers):
         number = F.when(c, i) if number is None else number.when(c, i)
         name = F.when(c, n) if name is None else name.when(c, n)
     ranked = candidates.withColumns({"_tier": number, "tier": name}).filter("_tier IS NOT NULL")
-    best = ranked.groupBy(target).agg(F.min(F.struct("_tier", (-F.col(score)).alias("_s"), F.col(donor).alias("_d"), "tier")).alias("_b"))
-    return best.select(target, F.col("_b._d").alias(donor), "_b.tier")
+    return ranked.groupBy(target).agg(F.min(F.struct("_tier", (-F.col(score)).alias("_s"), F.col(donor).alias("_d"), "tier")).alias("_b"))
+
+
+def repair(candidates: DataFrame, target: str, tiers: list[tuple[str, Column]], score: str, donor: str) -> DataFrame:
+    """(target, donor, tier): the best donor of the first tier that any candidate reaches; tiers are (name, condition) in order."""
+    return _best(candidates, target, tiers, score, donor).select(target, F.col("_b._d").alias(donor), "_b.tier")
+
+
+def repair_by_class(targets: DataFrame, target: str, traits: list[str], donors: DataFrame, on: list[str], tiers: list[tuple[str, Column]], score: str, donor: str) -> DataFrame:
+    """``repair`` of ``targets`` whose candidates are the ``donors`` equal in ``on`` and whose tiers read no target columns but ``traits``.
+
+    Targets with equal traits have the same best donor, so candidates are made for each different tuple of traits (``on``
+    are among them), not for each target; targets with a null in ``on`` have no candidate."""
+    own = F.struct(*traits)
+    each = targets.select(*traits).distinct().withColumn("_class", own)
+    best = _best(each.join(donors, on), "_class", tiers, score, donor)
+    mine = targets.select(target, own.alias("_class")).join(best, "_class").groupBy(target).agg(F.min("_b").alias("_b"))
+    return mine.select(target, F.col("_b._d").alias(donor), "_b.tier")
 
 
 def validate_plan(plan: DataFrame, case: str, target: str, donor: str, needs_donor: Column, donor_cap: int) -> DataFrame:

@@ -28,7 +28,8 @@ def repair_cascade(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_nationkey", "s_acctbal", "n_regionkey")
     same = F.col("c_nationkey") == F.col("s_nationkey")
     tiers = [("good", same & (F.col("s_acctbal") > 5000)), ("nation", same), ("region", F.lit(True))]
-    return planning.repair(c.join(s, "n_regionkey"), "c_custkey", tiers, "s_acctbal", "s_suppkey").groupBy("tier", "s_suppkey").agg(F.count("*").alias("n"))
+    best = planning.repair_by_class(c, "c_custkey", ["c_nationkey", "n_regionkey"], s, ["n_regionkey"], tiers, "s_acctbal", "s_suppkey")
+    return best.groupBy("tier", "s_suppkey").agg(F.count("*").alias("n"))
 
 
 REPAIR_SQL = """

@@ -46,3 +46,15 @@ def test_grid_of_quantiles_equals_numpy(spark):
                 best.append((round(v, 12), -abs(t - 0.5), t))
             assert abs(got["g"][0] - max(best)[2]) < 1e-9 and abs(got["g"][1] - max(best)[0]) < 1e-9
             assert got["small"] == (0.3, 1.0)
+
+
+def test_repair_by_class_pairs_no_targets(spark):
+    targets = spark.createDataFrame([(i, i % 3, i % 2) for i in range(60)] + [(90, 1, None), (91, None, 1), (5, 0, 0)], "t long, a int, b int")
+    donors = spark.createDataFrame([(i, i % 4, i % 2, float(i % 5)) for i in range(40)] + [(70, 1, None, 9.0)], "d long, x int, b int, s double")
+    tiers = [("good", (F.col("a") == F.col("x")) & (F.col("s") > 3)), ("same", F.col("a") == F.col("x")), ("any", F.lit(True))]
+    want = planning.repair(targets.join(donors, "b"), "t", tiers, "s", "d")
+    got = planning.repair_by_class(targets, "t", ["a", "b"], donors, ["b"], tiers, "s", "d")
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 61
+    # 2 x 4 classes meet 40 donors: no row of targets times donors.
+    joins = [n for n in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in n]
+    assert len(joins) == 2 and "_class" in joins[0]
