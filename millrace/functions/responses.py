@@ -6,6 +6,7 @@ Everything is a Column of text in, a Column or struct out; a response that is nu
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -58,6 +59,11 @@ def _sole(found: Column) -> Column:
     return F.when(F.size(found) == 1, F.element_at(found, 1))
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` computed once a row: a lambda binds it, where a column that is named twice may be computed twice."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def answer(text: Column) -> Column:
     """Fake or Real where exactly one answer tag says so, else null."""
     return F.initcap(F.lower(_sole(_every(text, ANSWER, 1))))
@@ -138,8 +144,9 @@ def _folded(label: Column) -> Column:
 
 def known_labels(labels: Column) -> Column:
     """The motion labels among ``labels``, each once and in the vocabulary's order, however they are written."""
-    folded = F.transform(labels, _folded)
-    return F.filter(F.array(*map(F.lit, MOTIONS)), lambda m: F.array_contains(folded, F.lower(m)))
+    names = F.create_map(*[F.lit(x) for m in MOTIONS for x in (m.lower(), m)])
+    found = F.array_intersect(F.array(*[F.lit(m.lower()) for m in MOTIONS]), F.transform(labels, _folded))
+    return F.coalesce(F.transform(found, lambda m: F.element_at(names, m)), F.array().cast("array<string>"))
 
 
 def unknown_labels(labels: Column) -> Column:
@@ -150,13 +157,16 @@ def unknown_labels(labels: Column) -> Column:
 
 def label_response(text: Column) -> Column:
     """Struct of valid, duplicate, labels and unknown of a response with one tag that holds a JSON list of non-blank strings."""
-    body = _sole(_every(text, LABELS_TAG, 1))
-    shape = body.rlike(r'^\s*\[\s*"([^"\\]|\\.)*"\s*(,\s*"([^"\\]|\\.)*"\s*)*\]\s*$')
-    items = F.from_json(F.when(shape, body), "array<string>")
-    valid = F.coalesce(shape & ~F.exists(items, lambda x: F.trim(x) == ""), F.lit(False))
-    items = F.when(valid, items).otherwise(F.array().cast("array<string>"))
-    folded = F.transform(items, _folded)
-    return F.struct(valid.alias("valid"), (F.size(F.array_distinct(folded)) < F.size(folded)).alias("duplicate"), known_labels(items).alias("labels"), unknown_labels(items).alias("unknown"))
+    def listed(body: Column) -> Column:
+        shape = body.rlike(r'^\s*\[\s*"([^"\\]|\\.)*"\s*(,\s*"([^"\\]|\\.)*"\s*)*\]\s*$')
+        return F.from_json(F.when(shape, body), "array<string>")
+
+    def read(items: Column) -> Column:
+        valid = items.isNotNull() & ~F.coalesce(F.exists(items, lambda x: F.trim(x) == ""), F.lit(False))
+        kept = F.when(valid, items).otherwise(F.array().cast("array<string>"))
+        return bound(F.transform(kept, _folded), lambda folded: F.struct(valid.alias("valid"), (F.size(F.array_distinct(folded)) < F.size(folded)).alias("duplicate"), known_labels(folded).alias("labels"), unknown_labels(folded).alias("unknown")))
+
+    return bound(bound(bound(_every(text, LABELS_TAG, 1), _sole), listed), read)
 
 
 def label_rewards(parsed: Column, true: Column) -> dict[str, Column]:

@@ -3,6 +3,7 @@ import math
 from pyspark.sql import functions as F
 
 from millrace.functions import geom, text
+from millrace.functions import responses as R
 
 
 def one(spark, column, **values):
@@ -63,3 +64,14 @@ def test_first_balanced_braces(spark):
     cases = {'a } {"x": "}{", "y": {"z": 1}} {2}': '{"x": "}{", "y": {"z": 1}}', r'{"q": "\"}"} tail': r'{"q": "\"}"}', "{ open": None, "none": None, "": None, None: None}
     df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", responses.first_balanced(F.col("t")).alias("b"))
     assert {r.t: r.b for r in df.collect()} == cases
+
+
+def test_label_responses_are_read_once(spark):
+    rows = [('x <camera_motion>["Pan_Left", "warp", "static", "roll-cw"]</camera_motion>',), ('<camera_motion>["tilt-up", "TILT_UP"]</camera_motion>',), ('<camera_motion>["a", " "]</camera_motion>',), ("none",), (None,)]
+    x = spark.createDataFrame(rows, "t string").select(R.label_response(F.col("t")).alias("r"), R.known_labels(F.array(F.lit("arc_CW"), F.lit(None), F.lit("pan-left"))).alias("true"))
+    x = x.select("r.*", *[c.alias(n) for n, c in R.label_rewards(F.col("r"), F.col("true")).items()])
+    got = [(r.valid, r.duplicate, r.labels, r.unknown, r.set_f1) for r in x.collect()]
+    assert got == [(True, False, ["pan-left", "roll-CW"], ["warp"], 0.4), (True, True, ["tilt-up"], [], 0.0), (False, False, [], [], 0.0), (False, False, [], [], 0.0), (False, False, [], [], 0.0)]
+    # The tag is searched and the list parsed a few times at most, not once for each known label and use.
+    plan = spark.createDataFrame(rows, "t string").select(R.label_response(F.col("t")).alias("r"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and plan.count("from_json") + plan.count("from_json".upper()) <= 2
