@@ -36,13 +36,17 @@ def snapped(points: DataFrame, samples: DataFrame, by: list[str], at: str, name:
     return points.join(found, [*by, at], "left")
 
 
-def tubes(frames: DataFrame, track: str, frame: str, time: str, area: str, corners: list[str]) -> DataFrame:
-    """A row a track: its frames with an area, union box, key frame (largest area, the first of equal ones) and area statistics."""
+def tubes(frames: DataFrame, track: str, frame: str, time: str, area: str, corners: list[str], digits: int | None = None) -> DataFrame:
+    """A row a track: its frames with an area, union box, key frame (largest area, the first of equal ones) and area statistics.
+
+    With ``digits``, areas have at most so many decimals and their mean is that of decimals, rounded once: the same in any
+    order of the frames, where a sum of doubles may fall on either side of a tie."""
     seen = frames.filter((F.col(area) > 0) & F.col(track).isNotNull())
     x1, y1, x2, y2 = corners
     key = F.max_by(F.struct(frame, time), F.struct(area, (-F.col(frame)).alias("f")))
+    mean = F.avg(area) if digits is None else F.avg(F.col(area).cast(f"decimal(30,{digits + 6})")).cast("double")
     boxes = [F.min(x1).alias("x1"), F.min(y1).alias("y1"), F.max(x2).alias("x2"), F.max(y2).alias("y2")]
-    out = seen.groupBy(track).agg(F.count("*").alias("n_frames"), *boxes, key.alias("_k"), F.min(area).alias("area_min"), F.max(area).alias("area_max"), F.avg(area).alias("area_mean"))
+    out = seen.groupBy(track).agg(F.count("*").alias("n_frames"), *boxes, key.alias("_k"), F.min(area).alias("area_min"), F.max(area).alias("area_max"), mean.alias("area_mean"))
     empty = frames.filter(F.col(track).isNotNull()).groupBy(track).agg(F.count_if(~F.coalesce(F.col(area) > 0, F.lit(False))).alias("n_empty"))
     return empty.join(out, track, "left").select(track, F.coalesce("n_frames", F.lit(0)).alias("n_frames"), "n_empty", "x1", "y1", "x2", "y2", F.col(f"_k.{frame}").alias("key_frame"), F.col(f"_k.{time}").alias("key_time"), "area_min", "area_max", "area_mean")
 

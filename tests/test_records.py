@@ -138,3 +138,13 @@ def test_intervals_tubes_and_snapped_times(spark):
     samples = spark.createDataFrame([("t", 1.0), ("t", 2.0), ("t", 2.0), ("t", None), ("v", 0.0)], "k string, s double")
     near = {(r.k, r.s): r.n for r in evidence.snapped(points, samples, ["k"], "s", "n").collect()}
     assert near == {("t", 0.0): 1.0, ("t", 1.0): 1.0, ("t", 1.5): 1.0, ("t", 2.0): 2.0, ("t", 9.0): 2.0, ("u", 1.0): None, ("t", None): None}
+
+
+def test_mean_area_of_a_tie_is_the_same_in_any_order(spark):
+    areas = [round(0.01 * (i % 97) + 40, 2) for i in range(79)]
+    areas.append(round(80 * 40.50125 - sum(areas), 2))  # the mean is 40.50125
+    for order in (areas, areas[::-1], sorted(areas)):
+        df = spark.createDataFrame([("t", f, float(f), a, 0.0, 0.0, 1.0, 1.0) for f, a in enumerate(order)], "k string, f int, s double, a double, x1 double, y1 double, x2 double, y2 double")
+        for parts in (1, 3, 5, 7):
+            got = evidence.tubes(df.repartition(parts), "k", "f", "s", "a", ["x1", "y1", "x2", "y2"], digits=4).first()
+            assert got.area_mean == 40.50125 and (got.area_min, got.n_frames) == (min(areas), 80)
