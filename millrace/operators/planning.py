@@ -50,16 +50,21 @@ def repair_by_class(targets: DataFrame, target: str, traits: list[str], donors:
     return mine.select(target, F.col("_b._d").alias(donor), "_b.tier")
 
 
+def _marked(rows: DataFrame, key: str, most: int, name: str) -> DataFrame:
+    """``rows`` with ``name``, true where more than ``most`` of them have their ``key``: counts that are joined, so that no task
+    holds all rows of a key."""
+    over = rows.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select("_k", F.lit(True).alias(name))
+    return rows.join(over, F.col(key).eqNullSafe(F.col("_k")), "left").drop("_k")
+
+
 def validate_plan(plan: DataFrame, case: str, target: str, donor: str, needs_donor: Column, donor_cap: int) -> DataFrame:
     """A row (case, error) for each fault: case repeated, target reused, donor missing, donor is the target, donor over its cap."""
-    each = Window.partitionBy
-    x = plan.withColumns({
-        "_cases": F.count("*").over(each(case)), "_targets": F.count("*").over(each(target)),
-        "_donors": F.when(F.col(donor).isNotNull(), F.count("*").over(each(donor))).otherwise(0),
-    })
+    x = plan.withColumn("_needs", needs_donor).select(case, target, donor, "_needs")
+    x = _marked(_marked(_marked(x, donor, donor_cap, "_donors"), target, 1, "_targets"), case, 1, "_cases")
+    known = F.col(donor).isNotNull()
     errors = F.array_compact(F.array(
-        F.when(F.col("_cases") > 1, "case_repeated"), F.when(F.col("_targets") > 1, "target_reused"), F.when(needs_donor & F.col(donor).isNull(), "donor_missing"),
-        F.when(F.col(donor) == F.col(target), "donor_is_target"), F.when(F.col("_donors") > donor_cap, "donor_limit_exceeded"),
+        F.when(F.col("_cases"), "case_repeated"), F.when(F.col("_targets"), "target_reused"), F.when(F.col("_needs") & ~known, "donor_missing"),
+        F.when(F.col(donor) == F.col(target), "donor_is_target"), F.when(F.col("_donors") & known, "donor_limit_exceeded"),
     ))
     return x.select(case, F.explode(errors).alias("error"))
 

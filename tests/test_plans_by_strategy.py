@@ -58,3 +58,14 @@ def test_repair_by_class_pairs_no_targets(spark):
     # 2 x 4 classes meet 40 donors: no row of targets times donors.
     joins = [n for n in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in n]
     assert len(joins) == 2 and "_class" in joins[0]
+
+
+def test_plan_faults_without_windows_over_a_key(spark):
+    rows = [("a", 1, 9, True), ("a", 2, None, True), ("b", 2, 9, False), ("c", 3, 9, False), ("d", 4, 4, True), (None, None, None, False), (None, None, None, None)]
+    plan = spark.createDataFrame(rows, "case string, target int, donor int, needs boolean")
+    errors = planning.validate_plan(plan, "case", "target", "donor", F.col("needs"), 2)
+    got = sorted((r.case or "", r.error) for r in errors.collect())
+    over = "donor_limit_exceeded"
+    assert got == sorted([("", "case_repeated"), ("", "target_reused")] * 2 + [("a", "case_repeated")] * 2 + [("a", "donor_missing"), ("a", "target_reused"), ("b", "target_reused"), ("a", over), ("b", over), ("c", over), ("d", "donor_is_target")])
+    # Rows without a donor were one window, which a task held whole.
+    assert "Window" not in errors._jdf.queryExecution().optimizedPlan().toString()
