@@ -66,7 +66,7 @@ def bound(value: Column, f: Callable[[Column], Column]) -> Column:
 
 def answer(text: Column) -> Column:
     """Fake or Real where exactly one answer tag says so, else null."""
-    return F.initcap(F.lower(_sole(_every(text, ANSWER, 1))))
+    return F.initcap(F.lower(bound(_every(text, ANSWER, 1), _sole)))
 
 
 def truth(value: Column) -> Column:
@@ -82,21 +82,32 @@ def format_valid(text: Column) -> Column:
 
 def number_list(text: Column, n: int) -> Column:
     """[a, b, ...] of exactly ``n`` plain decimal numbers as an array, else null."""
-    text = F.trim(text)
-    parts = F.transform(F.split(F.substring(text, F.lit(2), F.length(text) - 2), ","), lambda x: F.trim(x))
-    good = text.rlike(r"(?s)^\[.*\]$") & (F.size(parts) == n) & F.forall(parts, lambda x: x.rlike(NUMBER))
-    return F.when(good, F.transform(parts, lambda x: x.try_cast("double")))
+    def read(text: Column) -> Column:
+        parts = F.transform(F.split(F.substring(text, F.lit(2), F.length(text) - 2), ","), lambda x: F.trim(x))
+        good = lambda p: text.rlike(r"(?s)^\[.*\]$") & (F.size(p) == n) & F.forall(p, lambda x: x.rlike(NUMBER))
+        return bound(parts, lambda p: F.when(good(p), F.transform(p, lambda x: x.try_cast("double"))))
+
+    return bound(F.trim(text), read)
 
 
 def evidence(text: Column, predicted: Column, seconds: Column) -> Column:
     """Struct of raw, strict (valid and different), duplicate, invalid, bad_box, bad_time and bad_type blocks of the only thought.
 
     A fake answer needs typed blocks; for a real one the untyped blocks outside typed ones count."""
-    thought = _sole(_every(text, THINK, 1))
-    typed = F.arrays_zip(_every(thought, FAKE_BLOCK, 1).alias("kind"), _every(thought, FAKE_BLOCK, 2).alias("t"), _every(thought, FAKE_BLOCK, 3).alias("b"))
-    rest = F.regexp_replace(F.coalesce(thought, F.lit("")), FAKE_BLOCK, "")
-    plain = F.transform(F.arrays_zip(_every(rest, REAL_BLOCK, 1).alias("t"), _every(rest, REAL_BLOCK, 2).alias("b")), lambda x: F.struct(F.lit(None).cast("string").alias("kind"), x["t"].alias("t"), x["b"].alias("b")))
-    blocks = F.when(predicted == "Fake", typed).when(predicted == "Real", plain).otherwise(F.array().cast("array<struct<kind:string,t:string,b:string>>"))
+    block = lambda kind, t, b: F.struct(kind.alias("kind"), t.alias("t"), b.alias("b"))
+
+    def typed(thought: Column) -> Column:
+        # A whole block is found once; its parts are read from it.
+        part = lambda x, i: F.regexp_extract(x, FAKE_BLOCK, i)
+        return F.transform(_every(thought, FAKE_BLOCK, 0), lambda x: block(part(x, 1), part(x, 2), part(x, 3)))
+
+    def plain(thought: Column) -> Column:
+        rest = F.regexp_replace(F.coalesce(thought, F.lit("")), FAKE_BLOCK, "")
+        part = lambda x, i: F.regexp_extract(x, REAL_BLOCK, i)
+        return F.transform(_every(rest, REAL_BLOCK, 0), lambda x: block(F.lit(None).cast("string"), part(x, 1), part(x, 2)))
+
+    def blocks(thought: Column) -> Column:
+        return F.when(predicted == "Fake", typed(thought)).when(predicted == "Real", plain(thought)).otherwise(F.array().cast("array<struct<kind:string,t:string,b:string>>"))
 
     def parsed(x: Column) -> Column:
         return F.struct(F.lower(F.trim(x["kind"])).alias("kind"), number_list(x["t"], 2).alias("t"), number_list(x["b"], 4).alias("b"))
@@ -110,11 +121,15 @@ def evidence(text: Column, predicted: Column, seconds: Column) -> Column:
         sure = lambda c: F.coalesce(c, F.lit(False))
         return F.struct(x.alias("block"), sure(time_ok).alias("time_ok"), sure(box_ok).alias("box_ok"), sure(kind_ok).alias("kind_ok"))
 
-    rows = F.transform(F.transform(blocks, parsed), judged)
-    valid = F.transform(F.filter(rows, lambda r: r["time_ok"] & r["box_ok"] & r["kind_ok"]), lambda r: r["block"])
-    strict = F.size(F.array_distinct(valid))
-    bad = lambda f: F.size(F.filter(rows, lambda r: ~r[f]))
-    return F.struct(F.size(rows).alias("raw"), strict.alias("strict"), (F.size(valid) - strict).alias("duplicate"), (F.size(rows) - F.size(valid)).alias("invalid"), bad("box_ok").alias("bad_box"), bad("time_ok").alias("bad_time"), bad("kind_ok").alias("bad_type"))
+    def counted(rows: Column) -> Column:
+        good = lambda f: F.size(F.filter(rows, f))
+        whole = F.transform(F.filter(rows, lambda r: r["time_ok"] & r["box_ok"] & r["kind_ok"]), lambda r: r["block"])
+        sizes = lambda v: F.struct(F.size(v).alias("valid"), F.size(F.array_distinct(v)).alias("strict"))
+        bad = lambda f: good(lambda r: ~r[f])
+        return bound(bound(whole, sizes), lambda n: F.struct(F.size(rows).alias("raw"), n["strict"].alias("strict"), (n["valid"] - n["strict"]).alias("duplicate"), (F.size(rows) - n["valid"]).alias("invalid"), bad("box_ok").alias("bad_box"), bad("time_ok").alias("bad_time"), bad("kind_ok").alias("bad_type")))
+
+    found = bound(bound(_every(text, THINK, 1), _sole), lambda thought: F.transform(F.transform(blocks(thought), parsed), judged))
+    return bound(found, counted)
 
 
 def inspection(n: Column) -> Column:
@@ -124,18 +139,25 @@ def inspection(n: Column) -> Column:
 
 def rewards(text: Column, true: Column, seconds: Column, predicted: Column, found: Column) -> dict[str, Column]:
     """Score by variant of VARIANTS; ``true`` and ``predicted`` as truth() and answer() give them, ``found`` from evidence()."""
+    thought = F.coalesce(bound(_every(text, THINK, 1), _sole), F.lit(""))
+    blocks = lambda t: F.when(true == "Fake", F.regexp_count(t, F.lit(REAL_BLOCK))).otherwise(F.regexp_count(F.regexp_replace(t, REAL_BLOCK, ""), F.lit(REAL_BLOCK)))
+
+    def scored(x: Column) -> Column:
+        return F.struct(*[s.alias(v) for v, s in zip(VARIANTS, _scores(true, predicted, x["good"], x["untyped"], found), strict=True)])
+
+    every = bound(F.struct(format_valid(text).alias("good"), bound(thought, blocks).alias("untyped")), scored)
+    return {v: every[v] for v in VARIANTS}
+
+
+def _scores(true: Column, predicted: Column, good: Column, untyped: Column, found: Column) -> tuple[Column, ...]:
     right = F.coalesce(predicted == true, F.lit(False))
     wrongly_fake = F.coalesce((true == "Real") & (predicted == "Fake"), F.lit(False))
     lopsided = F.when(right, 1.0).when(wrongly_fake, WRONGLY_FAKE).otherwise(0.0)
     even = right.cast("double")
-    good = format_valid(text)
     looked = F.when(good, inspection(found["raw"])).otherwise(0.0)
     strictly = F.when(good & right, inspection(found["strict"])).otherwise(0.0)
-    thought = F.coalesce(_sole(_every(text, THINK, 1)), F.lit(""))
-    untyped = F.when(true == "Fake", F.regexp_count(thought, F.lit(REAL_BLOCK))).otherwise(F.regexp_count(F.regexp_replace(thought, REAL_BLOCK, ""), F.lit(REAL_BLOCK)))
     as_published = F.when(wrongly_fake, WRONGLY_FAKE).when(right, 0.8 * inspection(untyped)).otherwise(0.0)
-    scores = (0.8 * lopsided + 0.2 * looked, 0.8 * even + 0.2 * looked, 0.8 * lopsided + 0.2 * good.cast("double"), lopsided, 0.8 * lopsided + 0.2 * strictly, looked, as_published)
-    return dict(zip(VARIANTS, scores, strict=True))
+    return (0.8 * lopsided + 0.2 * looked, 0.8 * even + 0.2 * looked, 0.8 * lopsided + 0.2 * good.cast("double"), lopsided, 0.8 * lopsided + 0.2 * strictly, looked, as_published)
 
 
 def _folded(label: Column) -> Column:

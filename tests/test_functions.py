@@ -75,3 +75,11 @@ def test_label_responses_are_read_once(spark):
     # The tag is searched and the list parsed a few times at most, not once for each known label and use.
     plan = spark.createDataFrame(rows, "t string").select(R.label_response(F.col("t")).alias("r"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1 and plan.count("from_json") + plan.count("from_json".upper()) <= 2
+
+
+def test_evidence_is_read_once(spark):
+    t = "<think>a <type>Texture Flicker</type> in <t>[0, 1]</t> at <bbox>[1,1,5,5]</bbox> b <type> texture flicker </type> in <t>[0,1]</t> at <bbox>[1, 1, 5, 5]</bbox> <t>[0,9]</t> at <bbox>[1,1]</bbox></think><answer>Fake</answer>"
+    x = spark.createDataFrame([(t, "Fake"), (t, "Real"), (t, None), (None, "Fake")], "t string, p string")
+    got = x.select(R.evidence(F.col("t"), F.col("p"), F.lit(1.5)).alias("e"))
+    assert [tuple(r.e) for r in got.collect()] == [(2, 1, 1, 0, 0, 0, 0), (1, 0, 0, 1, 1, 1, 0), (0,) * 7, (0,) * 7]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 3  # thoughts, typed blocks and others
