@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .gates import NAMED, OPS
 from .metrics import average_precision, confusion, quantiles, ratio
 
@@ -113,14 +114,40 @@ def condition_metrics(items: DataFrame, least: int = 1) -> DataFrame:
     ``items`` has condition, question, label, truth and score (null: no answer, which is wrong and scores 0); an answer is yes
     from a score of 0.5 on.  Labels count that have at least ``least`` items of either truth; paired questions share question
     and condition, and are right if all of them are."""
-    said = F.coalesce(F.col("score") >= 0.5, ~F.col("truth"))
-    c = confusion(items, ["condition"], F.col("truth"), said).select("condition", "balanced_accuracy")
-    ap = average_precision(items.withColumns({"_s": F.coalesce("score", F.lit(0.0)), "_t": F.col("truth").cast("int")}), ["condition", "label"], "_s", "_t")
-    sides = items.groupBy("condition", "label").agg(F.count_if("truth").alias("p"), F.count_if(~F.col("truth")).alias("q")).filter(F.least("p", "q") >= least)
-    macro = sides.join(ap, ["condition", "label"]).groupBy("condition").agg(F.avg("ap").alias("macro_ap"), F.count("*").alias("labels"))
-    pairs = items.groupBy("condition", "question").agg(F.min(said == F.col("truth")).alias("ok"), F.count("score").alias("m"), F.count("*").alias("n"))
+    right = _said(F.col("score")) == F.col("truth")
+    pairs = items.groupBy("condition", "question").agg(F.min(right).alias("ok"), F.count("score").alias("m"), F.count("*").alias("n"))
     paired = pairs.groupBy("condition").agg(F.avg(F.col("ok").cast("double")).alias("paired_accuracy"), ratio(F.sum("m"), F.sum("n")).alias("coverage"))
-    return c.join(paired, "condition").join(macro, "condition", "left").na.fill(0, ["macro_ap", "labels"])
+    return _of_cells(items.groupBy("condition", "label", "truth", "score").agg(F.count("*").alias("times")), paired, least)
+
+
+def metrics_of_conditions(rows: DataFrame, scores: dict[str, Column], least: int = 1) -> DataFrame:
+    """``condition_metrics`` of items that have the ``scores`` of all conditions beside question, label and truth.
+
+    Each row is read twice, for its question and for its scores, and no row is made for an item and condition."""
+    x = rows.select("question", "label", "truth", *[c.alias(f"_s{i}") for i, c in enumerate(scores.values())])
+    all_ = [(i, name, F.col(f"_s{i}")) for i, name in enumerate(scores)]
+    each = x.groupBy("question").agg(F.count("*").alias("n"), *[F.min(_said(s) == F.col("truth")).alias(f"ok{i}") for i, _, s in all_], *[F.count(s).alias(f"m{i}") for i, _, s in all_])
+    sums = each.agg(*[F.struct(F.lit(name).alias("condition"), F.avg(F.col(f"ok{i}").cast("double")).alias("paired_accuracy"), ratio(F.sum(f"m{i}"), F.sum("n")).alias("coverage")).alias(f"p{i}") for i, name, _ in all_])
+    paired = sums.select(F.explode(F.array(*[f"p{i}" for i, _, _ in all_])).alias("p")).select("p.*")
+    cells = x.groupBy("label", "truth", *[f"_s{i}" for i, _, _ in all_]).agg(F.count("*").alias("times"))
+    cells = cells.select("label", "truth", "times", F.explode(F.array(*[F.struct(F.lit(name).alias("condition"), s.alias("score")) for _, name, s in all_])).alias("c")).select("c.*", "label", "truth", "times")
+    return _of_cells(cells, paired, least)
+
+
+def _said(score: Column) -> Column:
+    return F.coalesce(score >= 0.5, ~F.col("truth"))
+
+
+def _of_cells(cells: DataFrame, paired: DataFrame, least: int) -> DataFrame:
+    """The metrics of ``cells`` (condition, label, truth, score, times), beside those of ``paired``."""
+    cells = cut(cells.groupBy("condition", "label", "truth", "score").agg(F.sum("times").alias("times")), "cells")
+    truth, said = F.col("truth"), _said(F.col("score"))
+    n = lambda c: F.sum(F.when(c, F.col("times")).otherwise(0))
+    c = cells.groupBy("condition").agg(((ratio(n(truth & said), n(truth)) + ratio(n(~truth & ~said), n(~truth))) / 2).alias("balanced_accuracy"))
+    ap = average_precision(cells.withColumns({"_s": F.coalesce("score", F.lit(0.0)), "_t": truth.cast("int")}), ["condition", "label"], "_s", "_t", "times")
+    sides = cells.groupBy("condition", "label").agg(n(truth).alias("p"), n(~truth).alias("q")).filter(F.least("p", "q") >= least)
+    macro = sides.join(ap, ["condition", "label"]).groupBy("condition").agg(F.avg("ap").alias("macro_ap"), F.count("*").alias("labels"))
+    return cut(c.join(paired, "condition").join(macro, "condition", "left").na.fill(0, ["macro_ap", "labels"]), "metrics")
 
 
 def _flat(metrics: DataFrame, conditions: dict[str, str]) -> DataFrame:

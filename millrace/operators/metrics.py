@@ -37,11 +37,14 @@ def confusion(rows: DataFrame, by: list[str], gold: Column, predicted: Column) -
     return agg.withColumns({"balanced_accuracy": (c("recall") + c("specificity")) / 2, "f1": ratio(2 * c("precision") * c("recall"), c("precision") + c("recall"))})
 
 
-def _steps(rows: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
-    """One row per group and score: positives and negatives there; non-finite scores and other labels are left out."""
+def _steps(rows: DataFrame, by: list[str], score: str, label: str, times: str | None = None) -> DataFrame:
+    """One row per group and score: positives and negatives there; non-finite scores and other labels are left out.
+
+    A row counts ``times`` times, once without it."""
+    w = F.lit(1) if times is None else F.col(times)
     s = F.col(score).cast("double")
     ok = s.isNotNull() & ~F.isnan(s) & (F.abs(s) < float("inf")) & F.col(label).isin(0, 1)
-    return rows.filter(ok).groupBy(*by, s.alias("_s")).agg(F.sum(F.col(label)).cast("long").alias("_p"), F.sum(1 - F.col(label)).cast("long").alias("_n"))
+    return rows.filter(ok).groupBy(*by, s.alias("_s")).agg(F.sum(w * F.col(label)).cast("long").alias("_p"), F.sum(w * (1 - F.col(label))).cast("long").alias("_n"))
 
 
 def roc_auc(rows: DataFrame, by: list[str], score: str, label: str, empty: str = "null") -> DataFrame:
@@ -52,9 +55,9 @@ def roc_auc(rows: DataFrame, by: list[str], score: str, label: str, empty: str =
     return agg.select(*by, "pos", "neg", ratio(F.col("_w"), F.col("pos") * F.col("neg"), missing).alias("auc"))
 
 
-def average_precision(rows: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
+def average_precision(rows: DataFrame, by: list[str], score: str, label: str, times: str | None = None) -> DataFrame:
     """``by``, pos, ap: sum over scores from the top of precision times the gain in recall; 0 without positives."""
-    steps = running(_steps(rows, by, score, label), by, [F.desc("_s")], {"_tp": F.col("_p"), "_all": F.col("_p") + F.col("_n")})
+    steps = running(_steps(rows, by, score, label, times), by, [F.desc("_s")], {"_tp": F.col("_p"), "_all": F.col("_p") + F.col("_n")})
     agg = steps.groupBy(*by).agg(F.sum("_p").alias("pos"), F.sum(F.col("_p") * F.col("_tp") / F.col("_all")).alias("_a"))
     return agg.select(*by, "pos", ratio(F.col("_a"), F.col("pos")).alias("ap"))
 

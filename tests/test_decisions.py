@@ -62,3 +62,17 @@ def test_improvement(spark):
     of = lambda rows: decisions.improvement_gate(spark.createDataFrame(rows, "metric string, change double")).first()
     assert of([("a", 0.006), ("b", -0.0005)]).status == "passed"
     assert of([("a", 0.006), ("b", -0.002)]).failed == ["no_regression"] and of([("a", 0.001)]).failed == ["gain"] and of([]).status == "failed"
+
+
+def test_wide_conditions_equal_exploded_ones(spark):
+    rows = [(q, q % 5, None if q % 31 == 3 else (q * k) % 3 == 0, *[None if (q + k + i) % 17 == 0 else ((q * 7 + k * 3 + i) % 10) / 10 for i in range(3)]) for q in range(90) for k in (1, 2)]
+    x = spark.createDataFrame(rows, "question int, label int, truth boolean, a double, b double, c double")
+    items = x.selectExpr("question", "label", "truth", "stack(3, 'a', a, 'b', b, 'c', c) AS (condition, score)")
+    names = ["condition", "balanced_accuracy", "macro_ap", "labels", "paired_accuracy", "coverage"]
+    want = {r.condition: r for r in decisions.condition_metrics(items).select(names).collect()}
+    got = decisions.metrics_of_conditions(x, {n: F.col(n) for n in "abc"})
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()  # written: the gates don't compute it again
+    for r in got.select(names).collect():
+        assert tuple(r)[1:] == pytest.approx(tuple(want.pop(r.condition))[1:])
+    assert not want
+    assert decisions.metrics_of_conditions(x.limit(0), {"a": F.col("a")}).collect() == []
