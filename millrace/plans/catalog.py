@@ -116,11 +116,13 @@ SELECT l_returnflag, count(*) AS n, round(sum(CASE WHEN low THEN 0 ELSE 10 - n E
 
 
 def clip_frames(spark: SparkSession, d: str) -> DataFrame:
-    """Windows and sampled frames of clips as long as the lines' quantities."""
-    n, fps = F.col("l_quantity").cast("int"), F.col("l_linenumber") * 4.0
-    x = table(spark, d, "lineitem").select("l_linenumber", L.window_starts(n, 8, 3).alias("w"), L.window_starts(n, 8, 3, 4).alias("few"), L.dense_frames(n, fps, 10.0).alias("f"))
-    total = lambda c: F.sum(F.aggregate(c, F.lit(0), lambda s, v: s + v))
-    return x.groupBy("l_linenumber").agg(F.sum(F.size("w")).alias("windows"), total("w").alias("starts"), total("few").alias("few_starts"), F.sum(F.size("f")).alias("frames"), total("f").alias("indices"))
+    """Windows and sampled frames of clips as long as the lines' quantities; those of equal clips are made once."""
+    n, fps = F.col("n"), F.col("l_linenumber") * 4.0
+    clips = table(spark, d, "lineitem").groupBy("l_linenumber", F.col("l_quantity").cast("int").alias("n")).agg(F.count("*").alias("k"))
+    x = clips.select("l_linenumber", "k", L.window_starts(n, 8, 3).alias("w"), L.window_starts(n, 8, 3, 4).alias("few"), L.dense_frames(n, fps, 10.0).alias("f"))
+    total = lambda c: F.sum(F.col("k") * F.aggregate(c, F.lit(0), lambda s, v: s + v))
+    size = lambda c: F.sum(F.col("k") * F.size(c))
+    return x.groupBy("l_linenumber").agg(size("w").alias("windows"), total("w").alias("starts"), total("few").alias("few_starts"), size("f").alias("frames"), total("f").alias("indices"))
 
 
 CLIP_SQL = """

@@ -41,3 +41,11 @@ def test_orders_of_few_rows(spark):
     assert {r.id: r.split for r in sampling.resolved_split(df, tests, "s", "id", 0.5).collect()} == {0: "train", 1: "test", 2: "train"}
     with pytest.raises(Exception, match="in both splits"):
         sampling.resolved_split(df, tests.union(spark.createDataFrame([(1, "train")], tests.schema)), "s", "id", 0.5).collect()
+
+
+def test_frames_of_equal_clips_are_made_once(spark):
+    from millrace.plans import catalog
+
+    plan = catalog.clip_frames(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    grouped = [i for i, line in enumerate(plan) if "Aggregate" in line]
+    assert len(grouped) == 2 and "transform(" not in "".join(plan[grouped[1] + 1 :]) and "sequence(" not in "".join(plan[grouped[1] + 1 :])
