@@ -1,6 +1,7 @@
 import json
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from millrace.functions import leaves
@@ -148,3 +149,20 @@ def test_mean_area_of_a_tie_is_the_same_in_any_order(spark):
         for parts in (1, 3, 5, 7):
             got = evidence.tubes(df.repartition(parts), "k", "f", "s", "a", ["x1", "y1", "x2", "y2"], digits=4).first()
             assert got.area_mean == 40.50125 and (got.area_min, got.n_frames) == (min(areas), 80)
+
+
+def test_only_a_partitions_first_and_last_group_are_carried():
+    rng = np.random.default_rng(3)
+    for sizes in ([4], [1] * 9, [3, 1, 5, 2], [1, 7], [6, 1]):
+        keys = [f"k{g}" for g, n in enumerate(sizes) for _ in range(n)]
+        cells = [(np.eye(2) + rng.normal(size=(2, 2)) * 0.1).ravel().tolist() for _ in keys]
+        table = pa.table({"_key": keys, "m": pa.array(cells, pa.list_(pa.float64()))})
+        for batch in (1, 2, 3, 100):
+            out = pa.Table.from_batches(scan._local_products(iter(table.to_batches(batch)), "_key", "m", 2, True)).to_pylist()
+            assert [r["_key"] for r in out] == keys
+            assert [i for i, r in enumerate(out) if r["_end"]] == sorted({sizes[0] - 1, len(keys) - 1})
+            now, name = np.eye(2), None
+            for r in out:
+                now = np.array(r["m"]).reshape(2, 2) @ (now if r["_key"] == name else np.eye(2))
+                now, name = now / now[1, 1], r["_key"]
+                assert np.allclose(np.array(r["_local"]).reshape(2, 2), now)
