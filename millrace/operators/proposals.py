@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse
 from ..session import cut
-from .order import placed
+from .order import placed, small_groups
 
 #: Input columns beside doc, kind (candidate or deferred) and pos (a proposal's place in its document).
 FIELDS = ("raw_id", "family", "cls", "scope", "concept", "phrase", "prompt", "hint", "parent")
@@ -26,7 +26,8 @@ def normalise_proposals(rows: DataFrame, families: dict[str, tuple[str, tuple[st
     ambiguous_prompt (a generic prompt for possibly several), beyond_limit (``most`` are accepted before it).  A deferred one
     for: invalid_family_or_text, duplicate_signature, beyond_limit.  Accepted ones are numbered in their document; a deferred
     one's parent is the new id of the last accepted candidate with the raw id it names, null where that was refused.
-    Whether a prompt came before is a minimum of places by document and prompt, so no document is walked in one task.
+    Whether a prompt came before is a minimum of places by document and prompt, so no document is walked in one task; where
+    all documents are counted and small, it and the numbers are windows over a document.
     ``pos`` has no ties within a document and kind; rows with a null doc, kind or pos are refused as unplaced."""
     spark = rows.sparkSession
     known = spark.createDataFrame([(f, s, list(c)) for f, (s, c) in families.items()], "family string, _scope string, _classes array<string>")
@@ -49,12 +50,18 @@ def normalise_proposals(rows: DataFrame, families: dict[str, tuple[str, tuple[st
     vague = candidate & (F.col("hint") == "possibly_multiple") & F.col("prompt").isin(*generic)
     signature = F.when(candidate, F.col("prompt")).otherwise(F.concat_ws("\x1f", "family", F.lower("phrase")))
     x = cut(x.withColumns({"_local": local, "_vague": F.coalesce(vague, F.lit(False)), "_sig": signature}), "proposals")
-    first = x.filter("_local IS NULL AND NOT _vague").groupBy("doc", "kind", "_sig").agg(F.min("pos").alias("_first"))
-    x = x.join(cut(first, "first"), ["doc", "kind", "_sig"], "left")
-    again = F.when(F.col("_first") < F.col("pos"), F.when(candidate, "duplicate_prompt").otherwise("duplicate_signature"))
-    x = x.withColumn("_why", F.coalesce("_local", again, F.when(F.col("_vague"), "ambiguous_prompt")))
-    kept = placed(x.filter("_why IS NULL").select("doc", "kind", "pos"), ["doc", "kind"], [F.col("pos")], "_n")
-    x = cut(x.join(kept, ["doc", "kind", "pos"], "left"), "numbered")
+    why = lambda first: F.coalesce("_local", F.when(first < F.col("pos"), F.when(candidate, "duplicate_prompt").otherwise("duplicate_signature")), F.when(F.col("_vague"), "ambiguous_prompt"))
+    if small_groups(x, ["doc"]):
+        # Documents are dealt once; both windows and the links to parents start from there.
+        first = F.min(F.when(F.expr("_local IS NULL AND NOT _vague"), F.col("pos"))).over(Window.partitionBy("doc", "kind", "_sig"))
+        x = x.repartition("doc").withColumn("_first", first).withColumn("_why", why(F.col("_first")))
+        place = F.sum(F.when(F.col("_why").isNull(), 1)).over(Window.partitionBy("doc", "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        x = cut(x.withColumn("_n", place), "numbered")
+    else:
+        first = x.filter("_local IS NULL AND NOT _vague").groupBy("doc", "kind", "_sig").agg(F.min("pos").alias("_first"))
+        x = x.join(cut(first, "first"), ["doc", "kind", "_sig"], "left").withColumn("_why", why(F.col("_first")))
+        kept = placed(x.filter("_why IS NULL").select("doc", "kind", "pos"), ["doc", "kind"], [F.col("pos")], "_n")
+        x = cut(x.join(kept, ["doc", "kind", "pos"], "left"), "numbered")
     limit = F.when(candidate, most).otherwise(most_deferred)
     x = x.withColumn("_why", F.coalesce("_why", F.when(F.col("_n") > limit, "beyond_limit")))
     new_id = F.when(F.col("_why").isNull(), F.concat(F.when(candidate, "candidate_").otherwise("deferred_"), F.lpad(F.col("_n").cast("string"), 2, "0")))

@@ -104,3 +104,12 @@ def test_trajectory_features_of_short_and_broken_tracks(spark):
     assert [sq[f"d{i}"] for i in range(7)] == pytest.approx([1, 1, 1, 0, 0, 0, 0]) and [sq[f"a{i}"] for i in range(6)] == pytest.approx([1, 1, 0, 0, 0, 0])
     assert (sq.n, sq.distance_mean, sq.distance_var) == (4, pytest.approx(1), pytest.approx(0)) and math.isclose(sq.angle_max, 1)
     assert [got["two"][c] for c in trajectory.COLUMNS] == pytest.approx([0.0] * 21) and got["odd"].distance_max == 0.0
+
+
+def test_small_documents_give_what_large_ones_give(spark, monkeypatch):
+    rows = [(f"d{i % 7}" if i % 29 else None, "candidate" if i % 3 else "deferred", i, f"r{i % 5}", "object" if i % 3 else "overlay", "car", "whole", "c", f"p{i % 6}", f"q{i % 11}", None, f"r{i % 4}") for i in range(150)]
+    df = spark.createDataFrame(rows, "doc string, kind string, pos long, raw_id string, family string, cls string, scope string, concept string, phrase string, prompt string, hint string, parent string")
+    run = lambda: {(r.doc, r.kind, r.pos): tuple(r)[3:] for r in proposals.normalise_proposals(df, {"object": ("whole", ("car",))}, {"overlay": "needs_tracking"}, (), (), 3, 1).collect()}
+    small = run()
+    monkeypatch.setattr(proposals, "small_groups", lambda rows, by: False)
+    assert run() == small and len(small) == 150
