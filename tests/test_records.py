@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from millrace.functions import leaves
-from millrace.operators import assign, audit, evidence, scan
+from millrace.operators import assign, audit, evidence, order, scan
 from millrace.plans import records
 from millrace.sources import footers
 
@@ -127,6 +127,17 @@ def test_one_taste_takes_few_rounds_and_nulls_are_reported(spark):
     assert max(r["round"] for r in got if r["round"] is not None) < 30  # not one round a donor
 
 
+def test_tasks_of_the_ledgers_follow_the_rows(spark, monkeypatch):
+    rows = [(t, t // 3, "ab"[t % 2], d, d % 5, float((t * 7 + d) % 9)) for t in range(300) for d in range(t % 4, 12, 3)] + [(None, 1, "a", 1, 1, 1.0), (900, None, "a", 1, 1, 1.0), (3, 1, "b", 3, 3, 0.5)]
+    run = lambda: assign.assign_with_ledgers(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([("a", 70), ("b", 20)], "operation string, quota int"), 2, 3, 6)
+    few = sorted(map(str, run().collect()))
+    monkeypatch.setattr(order, "ROWS_A_TASK", 100, raising=False)
+    got = run()
+    # Adaptive execution made one task of these rows, as it makes one of millions that are narrow.
+    assert got.rdd.getNumPartitions() >= len(rows) / 100 > 10
+    assert sorted(map(str, got.collect())) == few and len(few) == 301
+
+
 def test_intervals_tubes_and_snapped_times(spark):
     frames = [("t", f, f / 10.0, 1.0, 0.0, 0.0, 1.0, 1.0) for f in (0, 1, 2, 5, 6, 20)] + [("t", 3, 0.3, 0.0, 9.0, 9.0, 9.0, 9.0), ("t", 7, 0.7, 5.0, -1.0, 2.0, 3.0, 4.0), (None, 1, 0.1, 1.0, 0.0, 0.0, 1.0, 1.0), ("e", 1, 0.1, 0.0, 0.0, 0.0, 1.0, 1.0), ("t", 2, 0.2, 1.0, 0.0, 0.0, 1.0, 1.0)]
     df = spark.createDataFrame(frames, "k string, f int, s double, a double, x1 double, y1 double, x2 double, y2 double")
