@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .order import placed, with_totals
+from .order import dealt, placed, sent, with_totals
 
 
 def deduplicate(rows: DataFrame, keys: list[str], order: list[Column], keep: str = "last") -> DataFrame:
@@ -72,11 +72,13 @@ def ancestor_join(rows: DataFrame, path: str, lookup: DataFrame, value: str, id_
 def longest_prefix_join(rows: DataFrame, text: str, rules: DataFrame, value: str, id_col: str) -> DataFrame:
     """The value of the longest rule(prefix, value) that ``text`` equals or continues at a slash.
 
-    A text has few prefixes that end at a slash, so it is an equi join on these, whatever the number of rules."""
+    A text has few prefixes that end at a slash, so it is an equi join on these, whatever the number of rules.  Rules are
+    broadcast where they are few; rows never are, and tasks get about the same number of them, however many there are."""
     parts = F.split(F.col(text), "/")
     fronts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    found = rows.select(id_col, F.explode(fronts).alias("prefix")).join(rules, "prefix").groupBy(id_col).agg(F.max_by(value, F.length("prefix")).alias(value), F.max(F.length("prefix")).alias("prefix_length"))
-    return rows.select(id_col, text).join(found, id_col, "left")
+    rows = dealt(cut(rows.select(*dict.fromkeys([id_col, text])), "texts"), id_col)
+    found = rows.select(id_col, F.explode(fronts).alias("prefix")).join(sent(rules), "prefix").groupBy(id_col).agg(F.max_by(value, F.length("prefix")).alias(value), F.max(F.length("prefix")).alias("prefix_length"))
+    return rows.join(found, id_col, "left")
 
 
 def positional_join(left: DataFrame, right: DataFrame, by: list[str], left_order: list[Column], right_order: list[Column]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .joins import longest_prefix_join
+from .order import tasks
 
 
 def probe_manifest(records: DataFrame, labels: DataFrame, tests: DataFrame, runs: DataFrame, expected: dict[str, int]) -> tuple[DataFrame, DataFrame]:
@@ -18,15 +19,22 @@ def probe_manifest(records: DataFrame, labels: DataFrame, tests: DataFrame, runs
     unless both sides have some; ``consistent`` says whether they agree.  ``contracts`` (contract, expected, actual, holds)
     is counted while the manifest is written: refused rows, missing or inconsistent labels and absent test cases must be 0,
     and the counts named in ``expected`` (cases, test_cases, or the name of a source) must be met."""
-    r = records.select(F.trim("case").alias("case"), "path", F.lower(F.trim("model")).alias("model")).withColumn("_id", F.struct("case", "path", "model"))
-    at = longest_prefix_join(r.select("path").distinct(), "path", runs.select("prefix", F.struct("source", F.col("model").alias("run_model")).alias("_run")), "_run", "path")
-    r = r.join(at.select(F.col("path").alias("_p"), "_run"), F.col("path") == F.col("_p"), "left").drop("_p")
-    least = cut(r.filter("case IS NOT NULL AND case != ''").groupBy("case").agg(F.min(F.struct("path", "model")).alias("_least"), F.count("*").alias("_n")), "least")
-    r = r.join(least, "case", "left")
+    r = cut(records.select(F.trim("case").alias("case"), "path", F.lower(F.trim("model")).alias("model")), "records")
+    parts = tasks(r)
+    by = lambda x, key="case": x.repartition(parts, key)
+    at = longest_prefix_join(by(r.select("path"), "path").distinct(), "path", runs.select("prefix", F.struct("source", F.col("model").alias("run_model")).alias("_run")), "_run", "path")
+    r = cut(by(r, "path").join(by(at.select("path", "_run"), "path"), "path", "left"), "found")
+    # Records without case may be many, and are no key: they have the one row of labels of an empty case at most, sent to them.
+    empty = F.coalesce(F.col("case"), F.lit("")) == ""
+    named = by(r.filter(~empty))
+    least = by(r.filter(~empty)).groupBy("case").agg(F.min(F.struct("path", "model")).alias("_least"))
     side = lambda role: F.max(F.when(F.col("role") == role, F.struct(F.col("labels"), F.col("caption"))))
-    both = labels.groupBy("case").agg(side("real").alias("_real"), side("fake").alias("_fake"))
-    test = tests.select(F.col("case").alias("_test")).dropna().distinct()
-    r = r.join(both, "case", "left").join(test, F.col("case") == F.col("_test"), "left")
+    both = lambda x: x.groupBy("case").agg(side("real").alias("_real"), side("fake").alias("_fake"))
+    test = by(tests.select(F.col("case").alias("_test")).dropna(), "_test").distinct()
+    labelled = named.join(least, "case", "left").join(both(by(labels)), "case", "left").join(test, F.col("case") == F.col("_test"), "left")
+    one = F.broadcast(both(labels.filter("case = ''")))
+    rest = r.filter(empty).join(one, "case", "left").join(F.broadcast(tests.filter("case = ''").select(F.col("case").alias("_test")).distinct()), F.col("case") == F.col("_test"), "left")
+    r = labelled.unionByName(rest, allowMissingColumns=True)
     reason = (
         F.when(F.coalesce(F.col("case"), F.lit("")) == "", "missing_case")
         .when(~F.struct("path", "model").eqNullSafe(F.col("_least")), "duplicate_case")
@@ -43,7 +51,7 @@ def probe_manifest(records: DataFrame, labels: DataFrame, tests: DataFrame, runs
     seen = Observation()
     manifest = cut(out.observe(seen, *[F.count_if(c).alias(f"c{i}") for i, c in enumerate(counts.values())]), "manifest")
     actual = {name: seen.get[f"c{i}"] for i, name in enumerate(counts)}
-    absent = test.join(manifest.filter(good), F.col("_test") == F.col("case"), "left_anti").count()
+    absent = test.join(by(manifest.filter(good).select("case")), F.col("_test") == F.col("case"), "left_anti").count()
     wanted = {"refused": 0, "labels_missing": 0, "labels_inconsistent": 0, "tests_absent": 0} | expected
     rows = [(n, w, (actual | {"tests_absent": absent})[n]) for n, w in wanted.items()]
     contracts = records.sparkSession.createDataFrame([(n, w, a, w == a) for n, w, a in rows], "contract string, expected long, actual long, holds boolean")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import votes as V
 from ..operators import probe, proposals, trajectory
+from ..operators.order import dealt
 from ..session import table
 from ..streaming import flush
 
@@ -100,7 +101,7 @@ def probe_contracts(spark: SparkSession, d: str) -> DataFrame:
     r = o.select(case.alias("case"), F.concat(F.lit("/runs/"), _pick(c, ("a", "a/b", "c", "a")), F.lit("/"), k.cast("string")).alias("path"), F.when(c % 7 == 0, "m1").otherwise("").alias("model"))
     r = r.unionByName(o.filter(k % 20 == 1).select(case.alias("case"), F.concat(F.lit("/runs/a/z"), k.cast("string")).alias("path"), F.lit(None).cast("string").alias("model")))
     li = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("case"), F.when(F.col("l_linenumber") % 2 == 1, "real").otherwise("fake").alias("role"), "l_returnflag")
-    labels = li.groupBy("case", "role").agg(F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("labels")).withColumn("caption", F.concat_ws(":", "role", "labels"))
+    labels = dealt(li, "case").groupBy("case", "role").agg(F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("labels")).withColumn("caption", F.concat_ws(":", "role", "labels"))
     tests = o.filter(k % 5 == 0).select(k.cast("string").alias("case"))
     runs = spark.createDataFrame([("/runs/a", "A", "M1"), ("/runs/a/b", "B", "m2")], "prefix string, source string, model string")
     manifest, contracts = probe.probe_manifest(r, labels, tests, runs, {"cases": o.count(), "A": 100})

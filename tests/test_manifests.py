@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import votes
-from millrace.operators import probe, proposals, trajectory
+from millrace.operators import order, probe, proposals, trajectory
 
 FAMILIES = {"object": ("whole", ("car", "boat")), "person": ("body", ("adult",))}
 SCHEMA = "doc int, kind string, pos int, raw_id string, family string, cls string, scope string, concept string, phrase string, prompt string, hint string, parent string"
@@ -96,6 +96,22 @@ def test_probe_manifest_counts_its_contracts(spark):
     assert {c.contract: (c.actual, c.holds) for c in contracts.collect()} == {"refused": (4, False), "labels_missing": (0, True), "labels_inconsistent": (1, False), "tests_absent": (1, False), "cases": (2, True), "test_cases": (1, True), "X": (2, False)}
 
 
+def test_probe_tasks_follow_the_records_and_empty_cases_have_labels(spark, monkeypatch):
+    monkeypatch.setattr(order, "ROWS_A_TASK", 100, raising=False)
+    r = spark.createDataFrame([(str(i) if i % 3 else [" ", "", None][i % 9 // 3], f"/r/x/{i}", "m") for i in range(1500)], "case string, path string, model string")
+    labels = spark.createDataFrame([(c, s, "l", "cap") for c in ("", "1", "2", None) for s in ("real", "fake")], "case string, role string, labels string, caption string")
+    tests = spark.createDataFrame([("",), ("1",), (None,)], "case string")
+    runs = spark.createDataFrame([("/r", "R", "m"), ("/r/x", "X", "m"), ("/q", "Q", "m")], "prefix string, source string, model string")
+    manifest, contracts = probe.probe_manifest(r, labels, tests, runs, {"cases": 1000, "X": 1000})
+    got = {x.path: (x.case, x.reason, x.source, x.split, x.labels) for x in manifest.collect()}
+    want = {i: (str(i), None, "X", "test" if i == 1 else "train", "l" if i < 3 else None) for i in range(1500) if i % 3}
+    want |= {i: (None, "missing_case", "X", "train", None) if i % 9 == 6 else ("", "missing_case", "X", "test", "l") for i in range(0, 1500, 3)}
+    assert got == {f"/r/x/{i}": w for i, w in want.items()} and manifest.count() == 1500
+    assert {c.contract: c.actual for c in contracts.collect()} == {"refused": 500, "labels_missing": 998, "labels_inconsistent": 0, "tests_absent": 1, "cases": 1000, "X": 1000}
+    # Tasks that wrote the manifest: adaptive execution made one of them.
+    assert len(manifest.inputFiles()) > 10
+
+
 def test_trajectory_features_of_short_and_broken_tracks(spark):
     rows = [("sq", i, v) for i, v in enumerate([[1.0, 0.0], [0.0, 1.0], [-1.0, 0.0], [0.0, -1.0]])] + [("one", 0, [1.0, 1.0]), ("two", 0, [2.0, 0.0]), ("two", 1, [5.0, 0.0]), ("odd", 0, [1.0, 0.0]), ("odd", 1, [1.0]), ("odd", 2, None), (None, 0, [1.0, 0.0])]
     got = {r.t: r for r in trajectory.trajectory_features(spark.createDataFrame(rows, "t string, i int, v array<float>"), "t", [F.col("i")], "v").collect()}
