@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geom, text
 from ..operators import assign, controls, gates, joins
+from ..operators.order import dealt
 from ..session import table
 
 
@@ -382,7 +383,7 @@ SELECT doc_id, cls, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS
 
 def assignment_until_full(spark: SparkSession, d: str) -> DataFrame:
     """Orders to suppliers of their lines: best quantity first, at most three orders a supplier, and the orders that stay open."""
-    c = table(spark, d, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.sum("l_quantity").alias("score"))
+    c = dealt(table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity"), "l_orderkey").groupBy("l_orderkey", "l_suppkey").agg(F.sum("l_quantity").alias("score"))
     return assign.assign_all(c, "l_orderkey", "l_suppkey", "score", 3)
 
 

@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import assign, gates, joins, metrics, sampling, windows
+from millrace.operators import assign, gates, joins, metrics, order, sampling, windows
 
 
 def frame(spark, rows, schema):
@@ -150,3 +150,14 @@ def test_assignment_goes_on_until_donors_are_full(spark):
             want[t], used[d] = d, used.get(d, 0) + 1
     assert {t: r.d for t, r in got.items() if r.d is not None} == want and max(r.round for r in got.values() if r.d is not None) == 3
     assert {t: r.reason for t, r in got.items() if r.reason} == {12: "all donors full", 13: "all donors full", 50: "no donor"}
+
+
+def test_tasks_of_an_assignment_follow_the_rows(spark, monkeypatch):
+    rows = [(t, d, float((t * 5 + d) % 7)) for t in range(400) for d in range(t % 3, 90, 23)] + [(7, 7, 0.5), (500, None, 1.0), (501, 3, None)]
+    run = lambda: assign.assign_all(frame(spark, rows, "t int, d int, s double"), "t", "d", "s", 3)
+    few = sorted(map(str, run().collect()))
+    monkeypatch.setattr(order, "ROWS_A_TASK", 100, raising=False)
+    got = run()
+    # Adaptive execution made one task of these rows, as it makes one of millions that are narrow.
+    assert got.rdd.getNumPartitions() >= len(rows) / 100 > 10
+    assert sorted(map(str, got.collect())) == few and len(few) == 402
