@@ -1,4 +1,5 @@
 import json
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -138,6 +139,34 @@ def test_tasks_of_the_ledgers_follow_the_rows(spark, monkeypatch):
     assert sorted(map(str, got.collect())) == few and len(few) == 301
 
 
+def test_rooms_of_the_ledgers_grow_with_the_tables(spark, tmp_path):
+    for times in (1, 3):
+        folder, n = tmp_path / str(times), 120 * times
+        tables = {
+            "orders": spark.range(n).selectExpr("id AS o_orderkey", "id % 4 AS o_custkey", "CAST(id % 3 AS string) AS o_orderpriority"),
+            "supplier": spark.range(6 * times).selectExpr("id AS s_suppkey", "CAST(id % 2 AS int) AS s_nationkey"),
+            # An order has a supplier of either nation, and three of four like that of the first better.
+            "lineitem": spark.range(2 * n).selectExpr("id DIV 2 AS l_orderkey", f"id DIV 2 % {3 * times} * 2 + id % 2 AS l_suppkey", "IF((id DIV 2 % 4 = 0) = (id % 2 = 0), 1.0D, 2.0D) AS l_quantity"),
+        }
+        for name, rows in tables.items():
+            rows.coalesce(1).write.parquet(str(folder / f"{name}.parquet"))
+        got = records.ledger_assignment(spark, str(folder)).collect()
+        assert sorted(r.target for r in got) == list(range(n)) and all(r["round"] is not None for r in got)
+        # Equal parts are 20 orders a supplier and 60 * times a nation; 30 like one supplier best.
+        assert max(Counter(r.donor for r in got).values()) == 24 and max(Counter(r.donor_group for r in got).values()) == 72 * times
+        assert {r["round"] for r in got} == {0, 1}
+
+
+def test_large_rooms_are_places_over_ranges(spark, monkeypatch):
+    rows = [(t, t % 5, "ab"[t % 2], d, d % 3, float((t * 7 + d) % 9)) for t in range(200) for d in range(t % 4, 12, 3)]
+    quotas, caps = [("a", 70), ("b", 90)], {"target_cap": 35, "donor_cap": 14, "group_cap": 50}
+    few = sorted(map(str, ledger_rows(spark, rows, quotas, **caps)))
+    monkeypatch.setattr(assign, "RANKED_IN_TASKS", 20)
+    assert sorted(map(str, ledger_rows(spark, rows, quotas, **caps))) == few and len(few) == 200
+    open_ = ledger_rows(spark, rows, [("a", 0)], **caps)
+    assert [r.reason for r in open_] == ["operations full"] * 200 and all(r["round"] is None for r in open_)
+
+
 def test_intervals_tubes_and_snapped_times(spark):
     frames = [("t", f, f / 10.0, 1.0, 0.0, 0.0, 1.0, 1.0) for f in (0, 1, 2, 5, 6, 20)] + [("t", 3, 0.3, 0.0, 9.0, 9.0, 9.0, 9.0), ("t", 7, 0.7, 5.0, -1.0, 2.0, 3.0, 4.0), (None, 1, 0.1, 1.0, 0.0, 0.0, 1.0, 1.0), ("e", 1, 0.1, 0.0, 0.0, 0.0, 1.0, 1.0), ("t", 2, 0.2, 1.0, 0.0, 0.0, 1.0, 1.0)]
     df = spark.createDataFrame(frames, "k string, f int, s double, a double, x1 double, y1 double, x2 double, y2 double")
